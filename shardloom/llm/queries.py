@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import topk, urls
+from . import bpe, secrets, topk, urls
 
-QUERIES = {"op2_exact_topk": topk.op2_exact_topk, "op5_url_filters": urls.op5_url_filters}
+QUERIES = {
+    "op1_secret_scans": secrets.op1_secret_scans,
+    "op2_exact_topk": topk.op2_exact_topk,
+    "op5_url_filters": urls.op5_url_filters,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
+}
 SQL = {"op2_exact_topk": topk.SQL, "op5_url_filters": urls.SQL}
