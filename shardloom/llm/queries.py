@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets, topk, urls
+from . import bpe, html, secrets, topk, toxicity, urls
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_exact_topk": topk.op2_exact_topk,
     "op5_url_filters": urls.op5_url_filters,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_html_extraction": html.op9_html_extraction,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 SQL = {"op2_exact_topk": topk.SQL, "op5_url_filters": urls.SQL}
