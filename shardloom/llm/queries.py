@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, html, secrets, topk, toxicity, urls
+from . import bpe, decontaminate, html, secrets, topk, toxicity, urls
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_exact_topk": topk.op2_exact_topk,
+    "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op5_url_filters": urls.op5_url_filters,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_html_extraction": html.op9_html_extraction,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
-SQL = {"op2_exact_topk": topk.SQL, "op5_url_filters": urls.SQL}
+SQL = {"op2_exact_topk": topk.SQL, "op3_benchmark_decontamination": decontaminate.SQL, "op5_url_filters": urls.SQL}
