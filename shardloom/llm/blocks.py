@@ -158,9 +158,9 @@ def answers_of(value: list | None, dtype=np.uint8) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def buckets_for(rows: DataFrame, keys_a_byte: float, total: int | None = None) -> int:
-    """How many buckets hold about KEYS_A_BUCKET keys each, for so many keys a byte of text."""
-    return max(2, -(-int(total * keys_a_byte) // KEYS_A_BUCKET))
+def buckets_for(keys: float) -> int:
+    """How many buckets hold about KEYS_A_BUCKET keys each."""
+    return max(2, -(-int(keys) // KEYS_A_BUCKET))
 
 
 def counts(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -174,6 +174,11 @@ def counts(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
     return out
 
 
+def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which of n places windows of `length` from these starts cover."""
+    return np.cumsum(np.bincount(starts, minlength=n + 1)[:n] - np.bincount(starts + length, minlength=n + 1)[:n]) > 0
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, the place of each key among them, and how often each occurs."""
     return np.unique(keys, return_inverse=True, return_counts=True)

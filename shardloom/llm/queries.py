@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, secrets, topk, toxicity, urls
+from . import bpe, decontaminate, html, secrets, substrings, suffixes, topk, toxicity, urls
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_exact_topk": topk.op2_exact_topk,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op4_suffix_array_dedup": suffixes.op4_suffix_array_dedup,
     "op5_url_filters": urls.op5_url_filters,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_html_extraction": html.op9_html_extraction,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
-SQL = {"op2_exact_topk": topk.SQL, "op3_benchmark_decontamination": decontaminate.SQL, "op5_url_filters": urls.SQL}
+SQL = {"op2_exact_topk": topk.SQL, "op3_benchmark_decontamination": decontaminate.SQL, "op5_url_filters": urls.SQL, "op6_substring_dedup": substrings.SQL}
