@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, secrets, substrings, suffixes, topk, toxicity, urls
+from . import bpe, decontaminate, html, jaccard, secrets, substrings, suffixes, topk, toxicity, urls
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -11,8 +11,9 @@ QUERIES = {
     "op4_suffix_array_dedup": suffixes.op4_suffix_array_dedup,
     "op5_url_filters": urls.op5_url_filters,
     "op6_substring_dedup": substrings.op6_substring_dedup,
+    "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_html_extraction": html.op9_html_extraction,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
-SQL = {"op2_exact_topk": topk.SQL, "op3_benchmark_decontamination": decontaminate.SQL, "op5_url_filters": urls.SQL, "op6_substring_dedup": substrings.SQL}
+SQL = {"op2_exact_topk": topk.SQL, "op3_benchmark_decontamination": decontaminate.SQL, "op5_url_filters": urls.SQL, "op6_substring_dedup": substrings.SQL, "op7_ngram_jaccard": jaccard.SQL}
