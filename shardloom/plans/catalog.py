@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import chunks
+
+QUERIES: dict = {**chunks.QUERIES}
+SQL: dict = {**chunks.SQL}
