@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks
+from . import chunks, shell
 
-QUERIES: dict = {**chunks.QUERIES}
-SQL: dict = {**chunks.SQL}
+QUERIES: dict = {**chunks.QUERIES, **shell.QUERIES}
+SQL: dict = {**chunks.SQL, **shell.SQL}
