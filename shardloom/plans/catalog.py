@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, shell
+from . import chunks, programs, shell
 
-QUERIES: dict = {**chunks.QUERIES, **shell.QUERIES}
-SQL: dict = {**chunks.SQL, **shell.SQL}
+QUERIES: dict = {**chunks.QUERIES, **shell.QUERIES, **programs.QUERIES}
+SQL: dict = {**chunks.SQL, **shell.SQL, **programs.SQL}

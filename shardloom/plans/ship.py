@@ -25,7 +25,6 @@ def _archive() -> str:
 def shipped(query):
     """query(spark, sf_dir), with this package sent to the executors first, once a session."""
 
-    @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str):
         if not any(x.endswith("/shardloom.zip") for x in spark.sparkContext.listFiles):
             spark.sparkContext.addPyFile(_archive())
