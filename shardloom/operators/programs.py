@@ -65,12 +65,42 @@ def _matches(text: Column, access: str, glob: bool, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if bare else 1)), one)
 
 
+def with_arguments(text: Column, argv: Column) -> Column:
+    """A python program with argv[1], argv[2], ... replaced by the literals it is run with; null ones stay."""
+    numbered = F.coalesce(F.transform(argv, lambda v, i: F.struct(v.alias("v"), (i + 1).cast("string").alias("n"))), F.array().cast("array<struct<v:string,n:string>>"))
+
+    def put(t: Column, a: Column) -> Column:
+        sure = a["v"].isNotNull() & ~a["v"].rlike(r"['\\\n]")
+        literal = F.concat(F.lit("'"), a["v"], F.lit("'"))
+        name = F.concat(F.lit("argv["), a["n"], F.lit("]"))
+        return F.when(sure, F.replace(F.replace(t, F.concat(F.lit("sys."), name), literal), name, literal)).otherwise(t)
+
+    return F.aggregate(numbered, text, put)
+
+
+CALLS = rf"(?<!\w)os\.system\(\s*{Q}\s*\)"
+LISTS = r"(?<!\w)subprocess\.(?:run|call|check_call|check_output|Popen)\(\s*\[((?:\s*(?:'[^'\\\n]*'|\"[^\"\\\n]*\")\s*,?)+)\]"
+
+
+def child_lines(programs: DataFrame, *keys: str) -> DataFrame:
+    """keys, command, base_cwd, home: command lines that python programs (keys, lang, text, cwd, home) run, to decompose in turn.
+
+    os.system with one literal; subprocess calls with a list of literals, joined by spaces.
+    """
+    text = F.col("text")
+    whole = F.transform(F.regexp_extract_all(text, F.lit(CALLS), F.lit(1)), lambda q: F.substr(q, F.lit(2), F.length(q) - 2))
+    words = F.transform(F.regexp_extract_all(text, F.lit(LISTS), F.lit(1)), lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit("'[^']*'|\"[^\"]*\""), F.lit(0)), lambda q: F.substr(q, F.lit(2), F.length(q) - 2)), " "))
+    rows = programs.where("lang = 'python'").select(*keys, F.col("cwd").alias("base_cwd"), "home", F.explode(F.concat(whole, words)).alias("command"))
+    return rows.select(*keys, "command", "base_cwd", "home")
+
+
 def program_files(programs: DataFrame, *keys: str) -> DataFrame:
     """keys, lang, access (read or write), path, resolvable, raw for programs (keys, lang, text, cwd, home).
 
     Every language has its own forms; programs in other languages, null and empty ones have no rows.
     `.output off` in SQL writes to /dev/null. The same path is reported once a program and access.
     """
+    programs = programs.withColumn("text", with_arguments(F.col("text"), F.col("argv"))) if "argv" in programs.columns else programs
     found = None
     for lang in LANGUAGES:
         forms = [_matches(F.col("text"), *form[1:]) for form in FORMS if form[0] == lang]

@@ -205,6 +205,17 @@ def _scan(program: Column, args: Column) -> Column:
     return F.aggregate(args, start, step, lambda a: a["out"])
 
 
+def _perl_operands(args: Column) -> Column:
+    """Operands that perl reads: only in a loop (-n or -p in a cluster) over a program given by a cluster that ends in e or E."""
+    value = lambda a: F.coalesce(a["value"], F.lit(""))
+    loops, given = F.exists(args, lambda a: value(a).rlike("^-[A-Za-z0-9]*[np][A-Za-z0-9]*$")), F.exists(args, lambda a: value(a).rlike("^-[A-Za-z0-9]*[eE]$"))
+    none = F.array().cast("array<struct<text:string,value:string>>")
+    state = lambda skip, out: F.struct(skip.alias("skip"), out.alias("out"))
+    step = lambda a, x: F.when(a["skip"], state(F.lit(False), a["out"])).when(value(x).startswith("-"), state(value(x).rlike("^-[A-Za-z0-9]*[eE]$"), a["out"])).otherwise(
+        state(F.lit(False), F.array_append(a["out"], F.struct(x["text"].alias("text"), x["value"].alias("value")))))
+    return F.when(loops & given, F.aggregate(args, state(F.lit(False), none), step, lambda a: a["out"])).otherwise(none)
+
+
 def reads(parsed: DataFrame) -> DataFrame:
     """cmd_id, command_index, origin, argv0, path, resolvable, raw: files and folders that commands read."""
     git = (F.col("argv0") == "git") & (F.get("args", F.lit(0))["value"] == "grep")
@@ -214,6 +225,8 @@ def reads(parsed: DataFrame) -> DataFrame:
     default = F.when(around, F.array(F.struct(F.lit(".").alias("text"), F.lit(".").alias("value")))).otherwise(F.array().cast("array<struct<text:string,value:string>>"))
     paths = F.when(F.size("_paths") > 0, F.col("_paths")).otherwise(default)
     argument = scanned.select("cmd_id", "command_index", F.lit("").alias("origin"), "argv0", "cwd", "cwd_resolvable", "home", F.explode(paths).alias("_p"))
+    perl = parsed.where(F.col("argv0") == "perl").select("cmd_id", "command_index", F.lit("").alias("origin"), "argv0", "cwd", "cwd_resolvable", "home", F.explode(_perl_operands(F.col("args"))).alias("_p"))
+    argument = argument.unionByName(perl)
     redirect = parsed.select("cmd_id", "command_index", F.lit("redirect").alias("origin"), "argv0", "cwd", "cwd_resolvable", "home", F.explode("redirects").alias("_r")).where(F.col("_r.op").rlike("^[0-9]*<$") & ~F.col("_r.text").rlike(r"^[<>]\("))
     redirect = redirect.select(*redirect.columns[:-1], F.struct(F.col("_r.text").alias("text"), F.col("_r.value").alias("value")).alias("_p"))
     return _resolved(argument.unionByName(redirect))
@@ -282,6 +295,24 @@ def regions(lines: DataFrame, parsed: DataFrame) -> DataFrame:
     return inner.unionByName(here.select("cmd_id", "command_index", "_r.lang", "_r.text", (F.col("_r.lang") == "shell").alias("new_scope")))
 
 
+def script_regions(parsed: DataFrame, scripts: DataFrame) -> DataFrame:
+    """cmd_id, command_index, lang, text, argv, cwd, home: python scripts that commands run, from scripts (path, content).
+
+    A script that isn't in the table has an empty text. -c and -m run no script; -W and -X take a
+    value. argv holds the operands behind the script; null where one is no literal.
+    """
+    value = lambda a: F.coalesce(a["value"], F.lit(""))
+    rows = parsed.where(F.col("argv0").isin("python", "python3") & ~F.exists("args", lambda a: value(a).isin("-c", "-m")))
+    state = lambda skip, out: F.struct(skip.alias("skip"), out.alias("out"))
+    step = lambda a, x: F.when(a["skip"], state(F.lit(False), a["out"])).when((F.size(a["out"]) == 0) & value(x).startswith("-"), state(value(x).isin("-W", "-X"), a["out"])).otherwise(
+        state(F.lit(False), F.array_append(a["out"], x["value"])))
+    rows = rows.withColumn("_o", F.aggregate("args", state(F.lit(False), F.array().cast("array<string>")), step, lambda a: a["out"]))
+    rows = rows.withColumn("_path", resolve_path(F.get("_o", F.lit(0)), F.when(F.col("cwd_resolvable"), F.col("cwd")), F.col("home"))).where("_path is not null")
+    files = scripts.select(F.col("path").alias("_path"), F.col("content").alias("text"))
+    argv = F.slice("_o", F.lit(2), F.size("_o"))
+    return rows.join(files, "_path", "left").select("cmd_id", "command_index", F.lit("python").alias("lang"), F.coalesce("text", F.lit("")).alias("text"), argv.alias("argv"), "cwd", "home")
+
+
 def effective_cwd(parsed: DataFrame, places: DataFrame) -> DataFrame:
     """places (cmd_id, byte) with the directory of the last command that starts at or before the byte: an as-of join."""
     spans = parsed.groupBy("cmd_id").agg(F.array_sort(F.collect_list(F.struct("start_byte", "cwd"))).alias("_s"))

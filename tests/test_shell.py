@@ -6,6 +6,7 @@ import pytest
 
 from shardloom.functions import paths as P
 from shardloom.operators import shell
+from shardloom.operators.programs import child_lines, program_files
 from pyspark.sql import functions as F
 
 LINES = [
@@ -28,6 +29,8 @@ LINES = [
     ("/w", "cat a 2>&1", {("R", "/w/a")}),
     ("/w", "rg TODO", {("R", "/w")}),
     ("/w", "cat ../b ~/c", {("R", "/b"), ("R", "/home/u/c")}),
+    ("/repo", "perl -ne 'print' a.pl b.pl", {("R", "/repo/a.pl"), ("R", "/repo/b.pl")}),
+    ("/repo", "perl -e 'print' a.pl", set()),
     (None, "cat rel /abs", {("R", "/abs")}),
     ("/w", None, set()),
     ("/w", "   ", set()),
@@ -66,3 +69,21 @@ def test_small_functions(spark):
         P.write_mode(F.lit("r+")), P.glob_prefix_dir(F.lit("/a/b*/c")), P.glob_prefix_dir(F.lit("*.x")), P.sql_unquote(F.lit("'it''s'")), P.sql_unquote(F.lit(r"'a\b'")), P.hfs_path(F.lit("A:b")),
     ).first()
     assert tuple(row) == ("a b", True, True, False, True, True, "/a", None, "it's", None, True)
+
+
+def test_scripts_and_their_arguments(spark):
+    lines = [(1, "python s.py /repo/x.go"), (2, "python3 -W ignore none.py a"), (3, "python -c 'x' s.py"), (4, "python -m mod")]
+    df = spark.createDataFrame([(i, c, "/repo", "/home/u") for i, c in lines], "cmd_id int, command string, base_cwd string, home string")
+    scripts = spark.createDataFrame([("/repo/s.py", "import sys\nopen(sys.argv[1])")], "path string, content string")
+    found = shell.script_regions(shell.decompose(df), scripts)
+    assert {(r.cmd_id, r.text) for r in found.collect()} == {(1, "import sys\nopen(sys.argv[1])"), (2, "")}
+    assert [(r.cmd_id, r.access, r.path) for r in program_files(found, "cmd_id").collect()] == [(1, "read", "/repo/x.go")]
+
+
+def test_child_commands(spark):
+    text = "import os\nos.system('rg P /repo')\nsubprocess.run(['grep', 'TODO', \"/repo/x.go\"])\nos.system(cmd)"
+    programs = spark.createDataFrame([(1, "python", text, "/w", "/home/u")], "cmd_id int, lang string, text string, cwd string, home string")
+    lines = child_lines(programs, "cmd_id")
+    assert {r.command for r in lines.collect()} == {"rg P /repo", "grep TODO /repo/x.go"}
+    keyed = lines.withColumn("cmd_id", F.monotonically_increasing_id())
+    assert {(r.argv0, r.path) for r in shell.reads(shell.decompose(keyed)).collect()} == {("rg", "/repo"), ("grep", "/repo/x.go")}
