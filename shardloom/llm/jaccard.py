@@ -31,7 +31,7 @@ from .common import LOWER, mix, rolling, shared_dir, stored, table, words
 
 SHINGLE = 5
 MASK = np.uint64((1 << 64) - (1 << 20))  # frequencies are those of the upper 44 bits of a shingle; they only order
-HUBS = (1, 8, 64, 1 << 30)  # hubs a list, by round
+HUBS = (1, 16, 1 << 30)  # hubs a list, by round
 GROUP_HUBS = 128
 GROUP_QUERIES = 1024
 
@@ -102,7 +102,7 @@ def divide_skip(lists: list[list[int]], least: int, cost: float = 0.01) -> list[
     return found
 
 
-INFO = "doc_id long, n_shingles long, node long, prefix array<bigint>, shared binary"
+INFO = "doc_id long, n_shingles long, node long, most long, prefix array<bigint>, shared binary"
 
 
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,7 +133,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, size: int =
             yield _describe(block, Sets(block, size), answers_of(row["answers"], np.uint32), num, den)
 
     info = stored(packed.join(frequencies, "block", "left").mapInArrow(describe, INFO), folder, "info")
-    classes = info.where("prefix is not null").select("node", "n_shingles", "prefix", "shared").dropDuplicates(["node"])
+    classes = info.where("prefix is not null").select("node", "n_shingles", "most", "prefix", "shared").dropDuplicates(["node"])
     classes = stored(classes, folder, "classes")
     links = _links(classes, folder, num, den)
     if links is None:
@@ -147,7 +147,10 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, size: int =
 
 
 def _describe(block: Block, sets: Sets, said: np.ndarray, num: int, den: int) -> pa.RecordBatch:
-    """INFO of each text; prefix and shared (shingles that others have) only where a partner is possible."""
+    """INFO of each text; prefix and shared (shingles that others have) only where a partner is possible.
+
+    most: with m shared shingles, a partner's size is (num + den) * m / num less the own size, at most.
+    """
     _, place, _ = distinct(sets.keys & MASK)
     often = said[place].astype(np.int64) if len(place) else np.zeros(0, np.int64)
     order = np.lexsort((sets.keys, often, sets.doc))
@@ -157,7 +160,7 @@ def _describe(block: Block, sets: Sets, said: np.ndarray, num: int, den: int) ->
     spread = mix(sets.keys ^ np.uint64(0x1D8E4E27C47D124F))
     sums = np.concatenate([[0], np.cumsum(spread, dtype=np.uint64)]).astype(np.uint64)
     node = mix(sums[sets.at[1:]] - sums[sets.at[:-1]] + sets.size.astype(np.uint64)).view(np.int64)
-    out: dict[str, list] = {k: [] for k in ("doc_id", "n_shingles", "node", "prefix", "shared")}
+    out: dict[str, list] = {k: [] for k in ("doc_id", "n_shingles", "node", "most", "prefix", "shared")}
     for i in range(sets.docs):
         a, b = sets.at[i], sets.at[i + 1]
         size = int(b - a)
@@ -167,31 +170,29 @@ def _describe(block: Block, sets: Sets, said: np.ndarray, num: int, den: int) ->
         out["doc_id"].append(None if block.null[i] else int(block.ids[i]))
         out["n_shingles"].append(size)
         out["node"].append(int(node[i]) if size else None)
+        out["most"].append((num + den) * int(known[b] - known[a]) // num - size)
         out["prefix"].append(head.view(np.int64) if open_ else None)
         out["shared"].append(squeeze(np.sort(keys[a:b][shared[a:b]])) if open_ else None)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
 
 def _links(classes: DataFrame, folder: str, num: int, den: int) -> DataFrame | None:
     """(node, other): enough links to join all classes that links reach from one another."""
-    lists = classes.select("node", F.col("n_shingles").alias("n"), F.explode("prefix").alias("key"))
-    some = lists.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key")
-    lists = stored(lists.join(some, "key", "left_semi"), folder, "lists")
+    lists = classes.select("node", F.col("n_shingles").alias("n"), "most", F.explode("prefix").alias("key"))
+    lists = stored(_possible(lists), folder, "lists").withColumn("root", F.col("node"))
     sets = classes.select("node", F.col("n_shingles").alias("n"), "shared")
     links, searched = None, None
     for r, hubs in enumerate(HUBS):
         if not lists.take(1):
             break
+        hub = F.struct("n", "node", "most", "root")  # the smallest sets of a list can be linked with most others
         if hubs == 1:
-            first = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.lit(0).cast("long").alias("hub_root"))
-            pairs = lists.join(first, "key").where("node <> hub")
+            first = lists.groupBy("key").agg(F.min(hub).alias("h"))
         else:
-            rank = F.row_number().over(Window.partitionBy("key").orderBy("root", "node"))
-            first = lists.withColumn("_r", rank).where(F.col("_r") <= hubs).select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
-            pairs = lists.join(first, "key").where("root <> hub_root")
-        pairs = pairs.where((F.col("n") * den >= F.col("hub_n") * num) & (F.col("hub_n") * den >= F.col("n") * num))
-        pairs = pairs.select(F.least("node", "hub").alias("hub"), F.greatest("node", "hub").alias("node")).distinct() if hubs > 1 else pairs.select("hub", "node").distinct()
+            first = lists.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("n", "node"))).where(F.col("_r") <= hubs).select("key", hub.alias("h"))
+        apart = (F.col("root") != F.col("h.root")) & (F.col("n") <= F.col("h.most")) & (F.col("h.n") <= F.col("most"))
+        pairs = lists.join(first, "key").where(apart).select(F.least("node", "h.node").alias("hub"), F.greatest("node", "h.node").alias("node")).distinct()
         if searched is not None:
             pairs = pairs.join(searched, ["hub", "node"], "left_anti")
         pairs = stored(pairs, folder, f"pairs{r}")
@@ -201,20 +202,28 @@ def _links(classes: DataFrame, folder: str, num: int, den: int) -> DataFrame | N
             links = found if links is None else links.unionByName(found)
         if hubs == HUBS[-1]:
             break
-        # what is left: lists whose classes are not yet joined
-        plain = lists.select("key", "node", "n")
         if links is not None:
             labels = components(links, folder, f"labels{r}")
-            rooted = plain.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            rooted = plain.withColumn("root", F.col("node"))
-        apart = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
-        lists = stored(rooted.join(apart, "key", "left_semi"), folder, f"lists{r}")
+            lists = lists.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        lists = stored(_possible(lists), folder, f"lists{r}")
     return links
 
 
+def _possible(lists: DataFrame) -> DataFrame:
+    """Entries of lists (key, node, n, most, maybe root) that can still have a partner in their list.
+
+    A list needs classes that aren't joined yet, and sizes that fit: one is too small or too large for
+    every other where it is beyond what the best of the list can have.
+    """
+    for _ in range(2):
+        joined = F.min("root") != F.max("root") if "root" in lists.columns else F.count("*") > 1
+        bounds = lists.groupBy("key").agg(F.min("n").alias("_n"), F.max("most").alias("_most"), joined.alias("_open")).where("_open")
+        lists = lists.join(bounds, "key").where("most >= _n and n <= _most").drop("_n", "_most", "_open")
+    return lists
+
+
 def _search(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, other): those of pairs (hub, node), and maybe more, whose sets overlap enough."""
+    """(node, other): links that join all those of pairs (hub, node) whose sets overlap enough, one a query and hub at most."""
     groups = max(1, -(-pairs.select("hub").distinct().count() // GROUP_HUBS))
     dealt = pairs.withColumn("group", F.pmod(F.xxhash64("hub"), F.lit(groups)))
     parts = dealt.groupBy("group").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("parts"))
@@ -224,16 +233,17 @@ def _search(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     rows = rows.repartition("group", "part").sortWithinPartitions("group", "part", "query")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, index, sizes, nodes = None, {}, [], []
+        now, index, sizes, nodes, root = None, {}, [], [], []
         for batch in batches:
             out: list[tuple[int, int]] = []
             for row in each([batch]):
                 if (place := (row["group"], row["part"])) != now:
-                    now, index, sizes, nodes = place, {}, [], []
+                    now, index, sizes, nodes, root = place, {}, [], [], []
                 keys = expand(row["shared"], np.uint64).tolist()
                 if not row["query"]:
                     for k in keys:
                         index.setdefault(k, []).append(len(nodes))
+                    root.append(len(nodes))
                     nodes.append(row["node"])
                     sizes.append(row["n"])
                     continue
@@ -241,14 +251,25 @@ def _search(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 if not fit:
                     continue
                 lists = [x for k in keys if (x := index.get(k))]
-                for i, times in divide_skip(lists, required(row["n"], min(fit), num, den)):
-                    if nodes[i] != row["node"] and times >= required(row["n"], sizes[i], num, den):
-                        out.append((row["node"], nodes[i]))
+                got = [i for i, times in divide_skip(lists, required(row["n"], min(fit), num, den)) if times >= required(row["n"], sizes[i], num, den)]
+                tops = sorted({_top(root, i) for i in got})
+                if tops and nodes[tops[0]] != row["node"]:
+                    out.append((row["node"], nodes[tops[0]]))
+                for i in tops[1:]:  # hubs that this query joins are joined once
+                    root[i] = tops[0]
+                    out.append((nodes[i], nodes[tops[0]]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["node", "other"])
 
     return rows.select("group", "part", "query", "node", "n", "shared").mapInArrow(run, "node long, other long")
 
 
+def _top(root: list[int], i: int) -> int:
+    while root[i] != i:
+        root[i] = root[root[i]]
+        i = root[i]
+    return i
+
+
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     """(node, root) of all nodes in links: root is the smallest node that links reach.
 
