@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_dir, stored, table
 
-WINDOW = 8  # template tokens in a window; items with fewer tokens are one window of all their tokens
+PROBE, STEP = 5, 4
+WINDOW = PROBE + STEP - 1  # template tokens in a window; items with fewer tokens are found only as whole documents
 SHARE = 0.6  # of an item's tokens, in windows on one line of alignment, that make a document contaminated
 LEAST = 24  # or so many tokens, where an item is longer
-BROADCAST_ROWS = 1_000_000  # distinct benchmark windows (16 bytes each) up to which they are broadcast
+BROADCAST_ROWS = 1_000_000  # rows of benchmark windows or ids (16 to 40 bytes each) up to which they are broadcast
 
 # Units of measure.
 UNITS = ("kg g mg lb lbs oz km m cm mm mi ft in yd l ml h hr hrs hours hour min mins minutes minute s sec secs seconds second "
@@ -34,9 +35,9 @@ def template_tokens(text: Column) -> Column:
     A name is a capitalised word inside a sentence: the token before it ends in a letter or comma.
     """
     t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, r"(?<=[\p{L},;] )\p{Lu}[\p{Ll}'’-]+(?=[\s.,;:!?)]|$)", "<N>")
-    t = F.regexp_replace(t, NUMBER, "<n>")
-    t = F.regexp_replace(t, rf"(?i)(?<=<n> |<n>)(?:{'|'.join(UNITS.split())})(?![\p{{L}}0-9])", "<u>")
+    t = F.regexp_replace(t, r" (?<=[\p{L},;] )\p{Lu}[\p{Ll}'’-]+(?=[\s.,;:!?)]|$)", " <N>")
+    units = rf"(?i)(?<=<n> |<n>)(?:{'|'.join(UNITS.split())})(?![\p{{L}}0-9])"
+    t = F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, NUMBER, "<n>"), units, "<u>")).otherwise(t)
     t = F.when(t.contains("<N>"), F.regexp_replace(F.lower(F.replace(t, F.lit("<N>"), F.lit("<\u0001>"))), "<\u0001>", "<N>")).otherwise(F.lower(t))
     return F.transform(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""), _bare)
 
@@ -55,10 +56,11 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def windows(tokens: Column, size: int = WINDOW) -> Column:
-    """64-bit hashes of all windows in order; a shorter text is one window, an empty one none."""
-    hashes = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(t, i, size)))
-    return _let(tokens, lambda t: F.when(F.size(t) == 0, F.array().cast("array<bigint>")).otherwise(hashes(t)))
+def windows(tokens: Column, size: int = WINDOW, step: int = 1) -> Column:
+    """64-bit hashes of windows at every step-th token, in order; a shorter text is one window, an empty one none."""
+    hashes = lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - size + 1, F.lit(1)), F.lit(step)), lambda i: F.xxhash64(F.slice(h, i, size)))
+    none = F.array().cast("array<bigint>")
+    return _let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: F.when(F.size(h) == 0, none).otherwise(hashes(h)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -74,17 +76,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items = items.withColumn("_t", template_tokens(F.col("_text"))).where(F.size("_t") > 0)
     index = items.select("_item", F.size("_t").alias("_size"), F.posexplode(windows(F.col("_t"))).alias("_place", "_h"), "_t")
     capital = items.where(F.get(raw_tokens(F.col("_text")), F.lit(0)).rlike(r"^\p{Lu}[\p{Ll}'’-]+[.,;:!?)]?$"))  # inside a sentence of a document it looks like a name
-    named = F.concat(F.array(F.lit("<N>")), F.slice("_t", 2, WINDOW - 1))
-    opening = capital.select("_item", F.size("_t").alias("_size"), F.lit(0).alias("_place"), F.xxhash64(named).alias("_h"), "_t")
+    named = F.concat(F.array(F.lit("<N>")), F.slice("_t", 2, F.size("_t")))
+    opening = capital.select("_item", F.size("_t").alias("_size"), F.lit(0).alias("_place"), F.get(windows(named), F.lit(0)).alias("_h"), "_t")
     index = index.unionByName(opening)
     index = index.withColumn("_slots", F.exists(F.slice("_t", F.col("_place") + 1, WINDOW), lambda w: w.isin("<n>", "<u>", "<N>"))).drop("_t")
-    keys = index.select("_h").distinct()
+    keys = items.select(F.explode(windows(F.col("_t"), PROBE)).alias("_h")).union(capital.select(F.explode(windows(named, PROBE)))).distinct()
     few = keys.count() <= BROADCAST_ROWS
-
-    own = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
-    places = own.select("_doc", F.posexplode(windows(template_tokens(F.col("_text")))).alias("_at", "_h"))
-    near = places.join(F.broadcast(keys) if few else keys, "_h", "left_semi")
-    hits = near.join(F.broadcast(index) if few else index, "_h").select("_doc", "_item", "_size", "_place", "_slots", (F.col("_at") - F.col("_place")).alias("_line"))
+    small = lambda df: F.broadcast(df) if few else df
+
+    # Every run of WINDOW tokens holds a run of PROBE that starts at a STEP-th token.
+    own, folder = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")), shared_dir(docs.sparkSession)
+    probes = own.select("_doc", F.explode(windows(template_tokens(F.col("_text")), PROBE, STEP)).alias("_h"))
+    maybe = stored(probes.join(small(keys), "_h", "left_semi").select("_doc").distinct(), folder, "maybe")
+    near = _only(own, maybe)
+    places = near.select("_doc", F.posexplode(windows(template_tokens(F.col("_text")))).alias("_at", "_h"))
+    hits = places.join(small(index), "_h").select("_doc", "_item", "_size", "_place", "_slots", (F.col("_at") - F.col("_place")).alias("_line"))
     lines = hits.groupBy("_doc", "_item", "_size", "_line").agg(F.array_sort(F.collect_set("_place")).alias("_places"), F.max("_slots").alias("_slots"))
     shared = F.aggregate(  # tokens under the windows; each adds what the one before has not covered
         "_places", F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end")),
@@ -93,19 +99,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     )
     lines = lines.withColumn("n_tokens", shared.cast("int")).withColumn("n_windows", F.size("_places"))
     lines = lines.where(F.col("n_tokens") >= F.least(F.ceil(F.col("_size") * SHARE), F.lit(LEAST))).drop("_places")
+    lines = stored(lines, folder, "lines")
     sure = lines.where(~F.col("_slots")).select("_doc", "_item", "n_tokens", "n_windows")
     found = sure.unionByName(_consistent(lines.where("_slots"), own, items))
     best = found.groupBy("_doc", "_item").agg(F.max(F.struct("n_tokens", "n_windows")).alias("_best"))
     return best.select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id), F.col("_best.n_tokens").cast("long").alias("n_tokens"), F.col("_best.n_windows").cast("long").alias("n_windows"))
 
 
+def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of docs with a wanted id. The ids are broadcast if they are few, else documents are dealt out by id."""
+    few = wanted.count() <= BROADCAST_ROWS
+    wanted = wanted.withColumnRenamed("_doc", "_id")
+    return docs.join(F.broadcast(wanted) if few else wanted, docs["_doc"].eqNullSafe(F.col("_id")), "left_semi")
+
+
 def _consistent(lines: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
     """Lines of alignment whose slot values map one to one between item and document.
 
     Only documents with such lines are read again.
     """
-    wanted = lines.select("_doc").distinct()
-    texts = docs.join(wanted, "_doc", "left_semi").select("_doc", raw_tokens(F.col("_text")).alias("_raw"), template_tokens(F.col("_text")).alias("_ours"))
+    texts = _only(docs, lines.select("_doc").distinct()).select("_doc", raw_tokens(F.col("_text")).alias("_raw"), template_tokens(F.col("_text")).alias("_ours"))
     item = items.select(F.col("_item"), "_t", raw_tokens(F.col("_text")).alias("_values"))
     both = lines.join(item, "_item").where(F.size("_t") == F.col("_size")).join(texts, "_doc")
     both = both.select("_doc", "_item", "n_tokens", "n_windows", F.struct("_t", "_values", "_raw", "_ours", "_line").alias("_p"))
