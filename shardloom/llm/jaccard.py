@@ -32,7 +32,8 @@ from .common import LOWER, mix, rolling, shared_dir, stored, table, words
 SHINGLE = 5
 MASK = np.uint64((1 << 64) - (1 << 20))  # frequencies are those of the upper 44 bits of a shingle; they only order
 HUBS = (1, 16, 1 << 30)  # hubs a list, by round
-GROUP_HUBS = 128
+GROUP_HUBS = 128  # hubs of an index, about
+LEAD_HUBS = 512  # hubs of one list in an index, at most
 GROUP_QUERIES = 1024
 
 
@@ -187,21 +188,27 @@ def _links(classes: DataFrame, folder: str, num: int, den: int) -> DataFrame | N
         if not lists.take(1):
             break
         hub = F.struct("n", "node", "most", "root")  # the smallest sets of a list can be linked with most others
+        lead = lists.groupBy("key").agg(F.min(hub).alias("h"))
         if hubs == 1:
-            first = lists.groupBy("key").agg(F.min(hub).alias("h"))
+            first = lead.withColumn("lead", F.col("h.node"))
         else:
-            first = lists.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("n", "node"))).where(F.col("_r") <= hubs).select("key", hub.alias("h"))
+            lead = lead.select("key", F.col("h.node").alias("lead"))
+            first = lists.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("n", "node"))).where(F.col("_r") <= hubs).select("key", hub.alias("h")).join(lead, "key")
+        later = F.struct("h.n", "h.node") < F.struct("n", "node")  # each pair once
         apart = (F.col("root") != F.col("h.root")) & (F.col("n") <= F.col("h.most")) & (F.col("h.n") <= F.col("most"))
-        pairs = lists.join(first, "key").where(apart).select(F.least("node", "h.node").alias("hub"), F.greatest("node", "h.node").alias("node")).distinct()
+        pairs = lists.join(first, "key").where(apart & later).select(F.col("h.node").alias("hub"), "node", "lead")
+        pairs = pairs.groupBy("hub", "node").agg(F.min("lead").alias("lead"))
         if searched is not None:
             pairs = pairs.join(searched, ["hub", "node"], "left_anti")
         pairs = stored(pairs, folder, f"pairs{r}")
-        searched = pairs if searched is None else searched.unionByName(pairs)
+        searched = pairs.select("hub", "node") if searched is None else searched.unionByName(pairs.select("hub", "node"))
         if pairs.take(1):
             found = stored(_search(pairs, sets, num, den), folder, f"found{r}")
             links = found if links is None else links.unionByName(found)
         if hubs == HUBS[-1]:
             break
+        if hubs == 1:  # lists with one lead become one: fewer entries, and no pair of a list is parted
+            lists = lists.join(first.select("key", "lead"), "key").select(F.col("lead").alias("key"), "node", "n", "most", "root").distinct()
         if links is not None:
             labels = components(links, folder, f"labels{r}")
             lists = lists.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -223,9 +230,13 @@ def _possible(lists: DataFrame) -> DataFrame:
 
 
 def _search(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, other): links that join all those of pairs (hub, node) whose sets overlap enough, one a query and hub at most."""
-    groups = max(1, -(-pairs.select("hub").distinct().count() // GROUP_HUBS))
-    dealt = pairs.withColumn("group", F.pmod(F.xxhash64("hub"), F.lit(groups)))
+    """(node, other): pairs have a lead, the first hub of their list: hubs with one lead share an index, so that a query is sent once.
+
+    Returns links that join all those of pairs (hub, node) whose sets overlap enough, one a query and hub at most."""
+    leads = pairs.groupBy("lead").agg(F.ceil(F.count_distinct("hub") / LEAD_HUBS).cast("int").alias("_parts"))
+    led = pairs.join(leads, "lead").withColumn("_part", F.pmod(F.xxhash64("hub"), F.col("_parts")))
+    groups = max(1, -(-led.select("lead", "hub").distinct().count() // GROUP_HUBS))
+    dealt = led.select("hub", "node", F.pmod(F.xxhash64("lead", "_part"), F.lit(groups)).alias("group"))
     parts = dealt.groupBy("group").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("parts"))
     hubs = dealt.select("group", F.col("hub").alias("node")).distinct().join(parts, "group").select("group", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("query"))
     queries = dealt.select("group", "node").distinct().join(parts, "group").select("group", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("query"))
