@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -284,20 +285,25 @@ def _top(root: list[int], i: int) -> int:
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     """(node, root) of all nodes in links: root is the smallest node that links reach.
 
-    Labels fall to the least of the neighbours' and jump to their labels' labels, until none changes.
+    Each round a node takes the least label next to it and that label's label, and offers the least
+    label next to it to its own label's node, so that whole regions are hooked and rounds grow with
+    the logarithm of a chain. It ends when no label changes.
     """
     both = stored(links.select("node", "other").union(links.select("other", "node")).distinct(), folder, f"{name}-both")
     labels = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root"))
     labels = stored(labels, folder, f"{name}-0")
-    for i in range(1, 64):
+    for i in itertools.count(1):
         near = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("_near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("_old"), F.least("root", "_near").alias("_mid"))
+        step = labels.join(near, "node").select("node", F.col("root").alias("_old"), "_near", F.least("root", "_near").alias("_mid"))
         jump = labels.select(F.col("node").alias("_mid"), F.col("root").alias("_far"))
-        step = stored(step.join(jump, "_mid").select("node", "_old", F.least("_mid", "_far").alias("root")), folder, f"{name}-{i}")
+        offer = lambda node, root, old: F.struct(node.alias("node"), root.alias("root"), old.alias("_old"))
+        own = offer(F.col("node"), F.least("_mid", "_far"), F.col("_old"))
+        hook = offer(F.col("_old"), F.col("_near"), F.lit(None).cast("long"))
+        offers = step.join(jump, "_mid").select(F.inline(F.when(F.col("_near") < F.col("_old"), F.array(own, hook)).otherwise(F.array(own))))
+        step = stored(offers.groupBy("node").agg(F.max("_old").alias("_old"), F.min("root").alias("root")), folder, f"{name}-{i}")
         labels = step.select("node", "root")
         if not step.where("_old <> root").take(1):
-            break
-    return labels
+            return labels
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

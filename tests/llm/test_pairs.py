@@ -106,6 +106,15 @@ def test_jaccard(spark, docs):
     assert got == component_model(docs)
 
 
+def test_components_of_a_shuffled_chain(spark, tmp_path):
+    rnd = random.Random(5)
+    ids = rnd.sample(range(1 << 60), 1010)
+    links = list(zip(ids[:999], ids[1:1000])) + [(ids[1000], x) for x in ids[1001:]]
+    rnd.shuffle(links)
+    got = jaccard.components(spark.createDataFrame(links, "node long, other long"), f"file://{tmp_path}", "links").collect()
+    assert sorted(map(tuple, got)) == sorted([(x, min(ids[:1000])) for x in ids[:1000]] + [(x, min(ids[1000:])) for x in ids[1000:]])
+
+
 def test_divide_skip():
     rnd = random.Random(1)
     for _ in range(300):
