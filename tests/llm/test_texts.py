@@ -75,6 +75,22 @@ def test_html(spark):
     assert got[1] == got[2] == got[7] == "" and got[3] == "a <b> c" and got[5] == "T\n\ntext" and len(got[4]) == 179999
 
 
+def test_html_with_no_or_misleading_marks():
+    long = [" ".join(f"{w}{i}" for i in range(n)) for w, n in (("a", 60), ("b", 12), ("c", 70), ("d", 50))]
+    paragraphs = "".join(f"<p>{x}</p>" for x in long)
+    links = "<ul>" + "".join(f"<li><a href=x>link {i}</a></li>" for i in range(6)) + "</ul>"
+    say = lambda page: html.main_text(f"<body><nav>{links}</nav>{page}<footer>some rights reserved</footer>", html.default_tree())
+    text = "\n\n".join(long)
+    for around in ("<div>{}</div>", "<div class='content has-sidebar'>{}</div>", "<div class='article no-comments'>{}</div>", "<form id=aspnetForm>{}</form>", "<form><article>{}</article></form>"):
+        assert say(around.format(paragraphs)) == text, around
+    assert say(f"<article>{paragraphs}{links}<p><a href=x>more of this</a></p></article>") == text
+    assert say(f"<article>{paragraphs}</article><div class=sidebar><p>{long[2]} x</p><p>{long[0]} x</p><p>subscribe now</p>{links}</div>") == f"{text}\n\n{long[2]} x\n\n{long[0]} x"
+    assert say(f"<article>{paragraphs}</article><div>{links}</div><div><p>{long[2]} y</p><p>{long[0]} y</p></div>") == f"{text}\n\n{long[2]} y\n\n{long[0]} y"
+    x, y = html.labelled()
+    for name in ("frame", "body"):
+        assert set(y[x[:, html.FEATURES.index(name)] == 1]) == {0, 1}
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.learn(docs, labels)
