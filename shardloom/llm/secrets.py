@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -29,7 +30,8 @@ class Entropy:
     """Windows of `window` characters; bits a character from which a window of a class is a secret.
 
     Classes, by what a candidate holds: hex digits only; letters and digits; those and + / _ = -.
-    Candidates that an allow-list pattern matches whole are passed over.
+    Base spans and `parts` are cut out of a candidate; what is left of it on either side is judged
+    alone, and passed over if an `allowed` pattern matches it whole.
     """
 
     window: int = 20
@@ -40,10 +42,18 @@ class Entropy:
         r"[0-9]+",
         r"[A-Za-z]*[-_/=+]*[A-Za-z]*(?:[-_/=+]+[A-Za-z]+)*[-_/=+]*",  # words joined by marks
         r"(?:[A-Za-z]+[-_/])*[A-Za-z]*[0-9]{1,4}",  # names with a number behind
-        r"[0-9]{4}-[0-9]{2}-[0-9]{2}.*",  # dates
-        r".*EXAMPLE.*|.*example.*",
-        r"0123456789abcdef.*|abcdefghijklmnopqrstuvwxyz.*",
     )
+    parts: tuple = (
+        r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])",  # UUID
+        r"(?<![0-9A-Za-z])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9]{2,6}Z?)?(?![0-9A-Za-z])",  # dates
+        r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",  # a vendor's documented key
+        r"EXAMPLE(?:KEY)?|examples?",
+        r"(?:0123456789abcdef|0123456789|abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ)+",
+    )
+
+    def patterns(self) -> tuple[re.Pattern, re.Pattern]:
+        """allowed, to match whole, and parts, to search."""
+        return tuple(re.compile("|".join(f"(?:{x})" for x in group) or r"(?!)") for group in (self.allowed, self.parts))
 
 
 def char_class(text: str) -> str:
@@ -76,8 +86,19 @@ def peak_windows(text: str, window: int, least: float) -> tuple[int, int] | None
     return (first, last) if first >= 0 else None
 
 
-def find_secrets(text: str, entropy: Entropy, allowed: re.Pattern | None = None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points: base spans, then entropy spans that no base span touches."""
+def stretches(text: str, start: int, end: int, gone: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the spans of gone, in order of their starts, leave of text[start:end]."""
+    for s, e in gone:
+        if s > start:
+            yield start, min(s, end)
+        start = max(start, e)
+        if start >= end:
+            return
+    yield start, end
+
+
+def find_secrets(text: str, entropy: Entropy, patterns: tuple[re.Pattern, re.Pattern] | None = None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) in code points: base spans, then entropy spans beside them."""
     low = text.lower()
     found = []
     if any(k in low for k in KEYWORDS):
@@ -86,14 +107,23 @@ def find_secrets(text: str, entropy: Entropy, allowed: re.Pattern | None = None)
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     order = {k: i for i, k in enumerate((*BASE_KINDS, "entropy_hex", "entropy_alnum", "entropy_base64"))}
-    allowed = allowed or re.compile("|".join(f"(?:{x})" for x in entropy.allowed))
+    allowed, parts = patterns or entropy.patterns()
+    base, at = sorted((s, e) for _, s, e in found), 0
     more = []
     for m in CANDIDATE.finditer(text):
-        if allowed.fullmatch(m[0]):
-            continue
-        kind = char_class(m[0])
-        if (span := peak_windows(m[0], entropy.window, entropy.bits[kind])) and not any(s < m.end() and e > m.start() for _, s, e in found):
-            more.append((f"entropy_{kind}", m.start() + span[0], m.start() + span[1]))
+        while at < len(base) and base[at][1] <= m.start():
+            at += 1
+        near = list(itertools.takewhile(lambda x: x[0] < m.end(), itertools.islice(base, at, None)))
+        gone = sorted([(s, e) for s, e in near if e > m.start()] + [x.span() for x in parts.finditer(text, m.start(), m.end())])
+        for start, end in stretches(text, m.start(), m.end(), gone):
+            if end - start < entropy.window:
+                continue
+            own = text[start:end]
+            if allowed.fullmatch(own if not gone else own.strip("+/_=-")):
+                continue
+            kind = char_class(own)
+            if span := peak_windows(own, entropy.window, entropy.bits[kind]):
+                more.append((f"entropy_{kind}", start + span[0], start + span[1]))
     return sorted(found + more, key=lambda x: (x[1], order[x[0]]))
 
 
@@ -109,10 +139,10 @@ def scan(docs: DataFrame, text: str = "text", entropy: Entropy = Entropy(), colu
 
     @F.arrow_udf(SPANS)
     def spans(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        allowed = re.compile("|".join(f"(?:{x})" for x in entropy.allowed))
+        patterns = entropy.patterns()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in values:
-            yield pa.array([[dict(zip(("kind", "start", "end"), x)) for x in find_secrets(t.as_py() or "", entropy, allowed)] for t in batch], kind)
+            yield pa.array([[dict(zip(("kind", "start", "end"), x)) for x in find_secrets(t.as_py() or "", entropy, patterns)] for t in batch], kind)
 
     return docs.withColumn(column, spans(F.col(text)))
 

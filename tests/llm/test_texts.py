@@ -41,6 +41,18 @@ def test_secrets(spark):
     assert clean[1] is None and clean[3] == "[REDACTED] é API-KEY" and key not in clean[8] and clean[10] == texts[10]
 
 
+def test_secrets_beside_base_spans_and_allowed_parts():
+    rnd = random.Random(9)
+    key = "".join(rnd.sample("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 40))
+    access, digits = "AKIA" + "B2" * 8, "deadbeef" * 4
+    for text in (f"{access}/{key}", f"{digits}_{key}", f"G{key}+{digits}+{key}", f"example/conf/key={key}", f"2024-01-02-{key}", f"{key}/EXAMPLE", f"0123456789abcdef/{key}", f"{key}_123e4567-e89b-12d3-a456-426614174000"):
+        spans = secrets.find_secrets(text, secrets.Entropy())
+        for m in re.finditer(key, text):
+            assert any(k.startswith("entropy") and s <= m.start() and e >= m.end() for k, s, e in spans), (text, spans)
+    for text in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "2024-01-02-notes-of-the-meeting", "abcdefghijklmnopqrstuvwxyz0123456789", "/srv/123e4567-e89b-12d3-a456-426614174000/"):
+        assert secrets.find_secrets(text, secrets.Entropy()) == []
+
+
 def test_bpe_equals_the_library_and_decodes(spark):
     tiktoken = pytest.importorskip("tiktoken")
     lines, pattern = bpe.vocabulary()
