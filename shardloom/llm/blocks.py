@@ -45,25 +45,27 @@ def expand_sorted(data: bytes) -> np.ndarray:
 
 @dataclass
 class Block:
-    """ids (and which of them are null), bytes of all texts behind one another, n + 1 offsets."""
+    """ids (and which of them are null), bytes of all texts behind one another, n + 1 offsets, hashes of texts if asked for."""
 
     ids: np.ndarray
     null: np.ndarray
     body: np.ndarray
     at: np.ndarray
+    marks: np.ndarray | None = None
 
     @staticmethod
     def of(row: dict) -> Block:
         ids, null = expand(row["ids"], np.int64), expand(row["null"], bool)
         sizes = expand(row["sizes"], np.int64)
-        return Block(ids, null, expand(row["body"], np.uint8), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+        marks = expand(row["marks"], np.int64) if row.get("marks") else None
+        return Block(ids, null, expand(row["body"], np.uint8), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), marks)
 
 
-PACKED = "block long, n int, ids binary, `null` binary, sizes binary, body binary"
+PACKED = "block long, n int, ids binary, `null` binary, sizes binary, body binary, marks binary"
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of PACKED, about BLOCK_BYTES of text each; a longer text is a block of its own.
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", marked: bool = False) -> DataFrame:
+    """Rows of PACKED, about BLOCK_BYTES of text each; a longer text is a block of its own. marks: xxhash64 of each text, if `marked`.
 
     Block numbers follow from the task, so write the result before it is used twice.
     """
@@ -74,14 +76,15 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             body, at = texts(part.column("text"))
             ids = part.column("id")
             row = {"block": number, "n": part.num_rows, "ids": squeeze(ids.fill_null(0).to_numpy(zero_copy_only=False)), "null": squeeze(ids.is_null().to_numpy(zero_copy_only=False)),
-                   "sizes": squeeze(np.diff(at)), "body": squeeze(body, 3)}
+                   "sizes": squeeze(np.diff(at)), "body": squeeze(body, 3), "marks": squeeze(part.column("mark").to_numpy()) if marked else None}
             number += 1
             yield pa.RecordBatch.from_pylist([row], _PACKED_ARROW)
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, PACKED)
+    mark = [F.xxhash64(text).alias("mark")] if marked else []
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *mark).mapInArrow(run, PACKED)
 
 
-_PACKED_ARROW = pa.schema([("block", pa.int64()), ("n", pa.int32()), *[(x, pa.binary()) for x in ("ids", "null", "sizes", "body")]])
+_PACKED_ARROW = pa.schema([("block", pa.int64()), ("n", pa.int32()), *[(x, pa.binary()) for x in ("ids", "null", "sizes", "body", "marks")]])
 ASKED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("payload", pa.binary())])
 ANSWERED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary())])
 

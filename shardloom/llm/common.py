@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,14 +17,34 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set (tests)."""
+    """A new folder below the one that driver and executors share.
+
+    Where none is set, a local session gets one of its own; a cluster can't, and is told so.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shardloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/shardloom-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Deletes stored tables that nothing reads any more; names that aren't there are passed over."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @contextlib.contextmanager
 def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(CLEANUP, None)

@@ -4,10 +4,10 @@
 2. Shingles of one document only can't be shared: a document with fewer than 75 % shared ones has no
    partner. Equal sets are one class from here on.
 3. A pair must share a shingle of both prefixes (shingles by rising frequency, all but 75 % of them and
-   one). In each prefix list a few classes are hubs, and every other class of the list is searched for
-   them; classes that are linked already need no search. Rounds with more hubs go on until every pair
-   that shares a prefix shingle is linked through others or has been searched. A list of n near copies
-   is done after n searches for its first hub.
+   one). In each prefix list a few classes are hubs: the list is searched for them, and they leave it.
+   Classes that are linked already need no search. In the last round every class left in a list is a hub;
+   its hubs are dealt into indexes of bounded size, and the list's classes are sent to each index once,
+   so pairs are never rows. A list of n near copies is done after n searches for its first hub.
 4. A search (DivideSkip): the hubs of a group are an inverted index. A query merges its short lists on a
    heap, looks the candidates up in its long lists by binary search, and keeps those that reach the
    overlap their sizes require. Groups with many queries are split; their hubs are copied.
@@ -18,7 +18,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, answer, answers_of, ask, buckets_for, counts, distinct, each, pack, squeeze
 from .blocks import expand
-from .common import LOWER, mix, rolling, shared_dir, stored, table, words
+from .common import LOWER, discard, mix, rolling, shared_dir, spare, stored, table, words
 
 SHINGLE = 5
 MASK = np.uint64((1 << 64) - (1 << 20))  # frequencies are those of the upper 44 bits of a shingle; they only order
-HUBS = (1, 16, 1 << 30)  # hubs a list, by round
+HUBS = (1, 16, None)  # hubs a list, by round; None: all that are left
 GROUP_HUBS = 128  # hubs of an index, about
-LEAD_HUBS = 512  # hubs of one list in an index, at most
-GROUP_QUERIES = 1024
+LEAD_HUBS = 512  # hubs of one list in an index, about
+GROUP_QUERIES = 512
 
 
 class Sets:
@@ -80,18 +80,27 @@ def divide_skip(lists: list[list[int]], least: int, cost: float = 0.01) -> list[
     while skip and len(lists[-skip]) < 2:
         skip -= 1
     short, long = lists[: len(lists) - skip], lists[len(lists) - skip :]
+    need, at = least - skip, [0] * len(short)
+    heads = [(x[0], k) for k, x in enumerate(short) if x]
+    heapq.heapify(heads)
     out = []
-    merged = heapq.merge(*short)
-    now, times = None, 0
-    for x in merged:
-        if x == now:
-            times += 1
-            continue
-        if times >= least - skip:
-            out.append((now, times))
-        now, times = x, 1
-    if times >= least - skip:
-        out.append((now, times))
+    while len(heads) >= need:
+        now, popped = heads[0][0], []
+        while heads and heads[0][0] == now:
+            popped.append(heapq.heappop(heads)[1])
+        if len(popped) >= need:
+            out.append((now, len(popped)))
+            ahead = now + 1
+        else:  # ids before the need-th head stand in too few lists
+            while len(popped) < need - 1 and heads:
+                popped.append(heapq.heappop(heads)[1])
+            if not heads:
+                break
+            ahead = heads[0][0]
+        for k in popped:
+            at[k] = bisect_left(short[k], ahead, at[k])
+            if at[k] < len(short[k]):
+                heapq.heappush(heads, (short[k][at[k]], k))
     found = []
     for x, times in out:
         for i, more in enumerate(long):
@@ -104,7 +113,7 @@ def divide_skip(lists: list[list[int]], least: int, cost: float = 0.01) -> list[
     return found
 
 
-INFO = "doc_id long, n_shingles long, node long, most long, prefix array<bigint>, shared binary"
+INFO = "doc_id long, mark long, n_shingles long, node long, most long, prefix array<bigint>, shared binary"
 
 
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,9 +125,17 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, size: int =
     white texts have no shingles and no links. Null ids are linked like others but are never the
     smallest. Rows that repeat an id are documents of their own. Other columns don't matter.
     """
+    rooted = labelled(docs, num, den, size, doc_id, text)
+    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = rooted.join(least, "root", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def labelled(docs: DataFrame, num: int = 75, den: int = 100, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, root: rows with one root are one component; no shingles: null."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    packed = stored(pack(docs, doc_id, text), folder, "packed")
+    packed = stored(pack(docs, doc_id, text, marked=True), folder, "packed")
     total = 3 * (packed.agg(F.sum(F.octet_length("body"))).first()[0] or 0)
     n = buckets_for(total / 6)
 
@@ -135,17 +152,16 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, size: int =
             yield _describe(block, Sets(block, size), answers_of(row["answers"], np.uint32), num, den)
 
     info = stored(packed.join(frequencies, "block", "left").mapInArrow(describe, INFO), folder, "info")
+    discard(spark, folder, "packed", "frequencies")
     classes = info.where("prefix is not null").select("node", "n_shingles", "most", "prefix", "shared").dropDuplicates(["node"])
     classes = stored(classes, folder, "classes")
     links = _links(classes, folder, num, den)
+    discard(spark, folder, "classes")
     if links is None:
         labels = spark.createDataFrame([], "node long, root long")
     else:
         labels = components(links, folder, "labels")
-    rooted = info.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(least, "root", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return info.select("doc_id", "mark", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "mark", "n_shingles", F.coalesce("root", "node").alias("root"))
 
 
 def _describe(block: Block, sets: Sets, said: np.ndarray, num: int, den: int) -> pa.RecordBatch:
@@ -162,7 +178,7 @@ def _describe(block: Block, sets: Sets, said: np.ndarray, num: int, den: int) ->
     spread = mix(sets.keys ^ np.uint64(0x1D8E4E27C47D124F))
     sums = np.concatenate([[0], np.cumsum(spread, dtype=np.uint64)]).astype(np.uint64)
     node = mix(sums[sets.at[1:]] - sums[sets.at[:-1]] + sets.size.astype(np.uint64)).view(np.int64)
-    out: dict[str, list] = {k: [] for k in ("doc_id", "n_shingles", "node", "most", "prefix", "shared")}
+    out: dict[str, list] = {k: [] for k in ("doc_id", "mark", "n_shingles", "node", "most", "prefix", "shared")}
     for i in range(sets.docs):
         a, b = sets.at[i], sets.at[i + 1]
         size = int(b - a)
@@ -170,50 +186,42 @@ def _describe(block: Block, sets: Sets, said: np.ndarray, num: int, den: int) ->
         open_ = size > 0 and known[b] - known[a] >= least
         head = keys[a : a + size - least + 1][shared[a : a + size - least + 1]] if open_ else None
         out["doc_id"].append(None if block.null[i] else int(block.ids[i]))
+        out["mark"].append(int(block.marks[i]))
         out["n_shingles"].append(size)
         out["node"].append(int(node[i]) if size else None)
         out["most"].append((num + den) * int(known[b] - known[a]) // num - size)
         out["prefix"].append(head.view(np.int64) if open_ else None)
         out["shared"].append(squeeze(np.sort(keys[a:b][shared[a:b]])) if open_ else None)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    kinds = [*[pa.int64()] * 5, pa.list_(pa.int64()), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
 
 def _links(classes: DataFrame, folder: str, num: int, den: int) -> DataFrame | None:
     """(node, other): enough links to join all classes that links reach from one another."""
+    spark = classes.sparkSession
     lists = classes.select("node", F.col("n_shingles").alias("n"), "most", F.explode("prefix").alias("key"))
     lists = stored(_possible(lists), folder, "lists").withColumn("root", F.col("node"))
-    sets = classes.select("node", F.col("n_shingles").alias("n"), "shared")
-    links, searched = None, None
+    links = None
     for r, hubs in enumerate(HUBS):
         if not lists.take(1):
             break
-        hub = F.struct("n", "node", "most", "root")  # the smallest sets of a list can be linked with most others
-        lead = lists.groupBy("key").agg(F.min(hub).alias("h"))
-        if hubs == 1:
-            first = lead.withColumn("lead", F.col("h.node"))
+        if hubs == 1:  # the smallest set of a list can be linked with most others; lists with one such lead become one
+            lead = lists.groupBy("key").agg(F.min(F.struct("n", "node"))["node"].alias("lead"))
+            lists = stored(lists.join(lead, "key").select(F.col("lead").alias("key"), "node", "n", "most", "root").distinct(), folder, "led")
+            chosen, asking = lists.where("node = key"), lists.where("node <> key")
         else:
-            lead = lead.select("key", F.col("h.node").alias("lead"))
-            first = lists.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("n", "node"))).where(F.col("_r") <= hubs).select("key", hub.alias("h")).join(lead, "key")
-        later = F.struct("h.n", "h.node") < F.struct("n", "node")  # each pair once
-        apart = (F.col("root") != F.col("h.root")) & (F.col("n") <= F.col("h.most")) & (F.col("h.n") <= F.col("most"))
-        pairs = lists.join(first, "key").where(apart & later).select(F.col("h.node").alias("hub"), "node", "lead")
-        pairs = pairs.groupBy("hub", "node").agg(F.min("lead").alias("lead"))
-        if searched is not None:
-            pairs = pairs.join(searched, ["hub", "node"], "left_anti")
-        pairs = stored(pairs, folder, f"pairs{r}")
-        searched = pairs.select("hub", "node") if searched is None else searched.unionByName(pairs.select("hub", "node"))
-        if pairs.take(1):
-            found = stored(_search(pairs, sets, num, den), folder, f"found{r}")
-            links = found if links is None else links.unionByName(found)
-        if hubs == HUBS[-1]:
+            rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "node"))
+            chosen, asking = lists.withColumn("_r", rank).where(F.col("_r") <= hubs).drop("_r") if hubs else lists, lists
+        chosen = stored(chosen, folder, f"chosen{r}") if hubs else chosen
+        found = stored(_search(chosen, asking, classes.select("node", "shared"), num, den, whole=hubs is None), folder, f"found{r}")
+        links = found if links is None else links.unionByName(found)
+        if hubs is None:
             break
-        if hubs == 1:  # lists with one lead become one: fewer entries, and no pair of a list is parted
-            lists = lists.join(first.select("key", "lead"), "key").select(F.col("lead").alias("key"), "node", "n", "most", "root").distinct()
-        if links is not None:
-            labels = components(links, folder, f"labels{r}")
-            lists = lists.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        lists = stored(_possible(lists), folder, f"lists{r}")
+        # A hub has met its whole list, and leaves it.
+        lists = lists.join(chosen.select("key", "node"), ["key", "node"], "left_anti").drop("root")
+        labels = components(links, folder, f"labels{r}")
+        lists = stored(_possible(lists.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))), folder, f"lists{r}")
+        discard(spark, folder, "led", "lists", f"chosen{r}", f"lists{r - 1}")
     return links
 
 
@@ -230,49 +238,87 @@ def _possible(lists: DataFrame) -> DataFrame:
     return lists
 
 
-def _search(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, other): pairs have a lead, the first hub of their list: hubs with one lead share an index, so that a query is sent once.
+def _search(chosen: DataFrame, lists: DataFrame, sets: DataFrame, num: int, den: int, whole: bool) -> DataFrame:
+    """(node, other): links that join each entry (key, node, n, most, root) of lists with all chosen entries of its key that it is linked to.
 
-    Returns links that join all those of pairs (hub, node) whose sets overlap enough, one a query and hub at most."""
-    leads = pairs.groupBy("lead").agg(F.ceil(F.count_distinct("hub") / LEAD_HUBS).cast("int").alias("_parts"))
-    led = pairs.join(leads, "lead").withColumn("_part", F.pmod(F.xxhash64("hub"), F.col("_parts")))
-    groups = max(1, -(-led.select("lead", "hub").distinct().count() // GROUP_HUBS))
-    dealt = led.select("hub", "node", F.pmod(F.xxhash64("lead", "_part"), F.lit(groups)).alias("group"))
-    parts = dealt.groupBy("group").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("parts"))
-    hubs = dealt.select("group", F.col("hub").alias("node")).distinct().join(parts, "group").select("group", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("query"))
-    queries = dealt.select("group", "node").distinct().join(parts, "group").select("group", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("query"))
-    rows = hubs.unionByName(queries).join(sets, "node")
-    rows = rows.repartition("group", "part").sortWithinPartitions("group", "part", "query")
+    Keys share an index, so that a query is sent once an index. `whole`: a key can have any number of
+    chosen entries; they are dealt into parts of about LEAD_HUBS, and queries go to every part.
+    """
+    if whole:
+        parts = chosen.groupBy("key").agg(F.ceil(F.count("*") / LEAD_HUBS).cast("int").alias("_parts"))
+        chosen = chosen.join(parts, "key").withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
+        lists = lists.join(parts, "key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    else:
+        chosen, lists = chosen.withColumn("_part", F.lit(0)), lists.withColumn("_part", F.lit(0))
+    groups = max(1, -(-chosen.count() // GROUP_HUBS))
+    entry = [F.pmod(F.xxhash64("key", "_part"), F.lit(groups)).alias("group"), "node", "n", "most", "root"]
+    hubs, queries = chosen.select(*entry).distinct(), lists.select(*entry).distinct()
+    subs = queries.groupBy("group").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("subs"))
+    hubs = hubs.join(subs, "group").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("query", F.lit(0))
+    queries = queries.join(subs, "group").withColumn("sub", F.pmod(F.xxhash64("node", F.lit(1)), F.col("subs")).cast("int")).withColumn("query", F.lit(1))
+    place = ["group", "sub", "query", "n", "node"]
+    rows = hubs.unionByName(queries).drop("subs").join(sets, "node").repartition("group", "sub").sortWithinPartitions(*place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, index, sizes, nodes, root = None, {}, [], [], []
+        now, index = None, None
         for batch in batches:
             out: list[tuple[int, int]] = []
             for row in each([batch]):
-                if (place := (row["group"], row["part"])) != now:
-                    now, index, sizes, nodes, root = place, {}, [], [], []
+                if (own := (row["group"], row["sub"])) != now:
+                    now, index = own, Index(num, den)
                 keys = expand(row["shared"], np.uint64).tolist()
-                if not row["query"]:
-                    for k in keys:
-                        index.setdefault(k, []).append(len(nodes))
-                    root.append(len(nodes))
-                    nodes.append(row["node"])
-                    sizes.append(row["n"])
-                    continue
-                fit = [s for s in sizes if s * den >= row["n"] * num and row["n"] * den >= s * num]
-                if not fit:
-                    continue
-                lists = [x for k in keys if (x := index.get(k))]
-                got = [i for i, times in divide_skip(lists, required(row["n"], min(fit), num, den)) if times >= required(row["n"], sizes[i], num, den)]
-                tops = sorted({_top(root, i) for i in got})
-                if tops and nodes[tops[0]] != row["node"]:
-                    out.append((row["node"], nodes[tops[0]]))
-                for i in tops[1:]:  # hubs that this query joins are joined once
-                    root[i] = tops[0]
-                    out.append((nodes[i], nodes[tops[0]]))
+                if row["query"]:
+                    out += index.links(keys, row)
+                else:
+                    index.add(keys, row)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["node", "other"])
 
-    return rows.select("group", "part", "query", "node", "n", "shared").mapInArrow(run, "node long, other long")
+    return rows.select(*place, "most", "root", "shared").mapInArrow(run, "node long, other long")
+
+
+class Index:
+    """An inverted index of hubs, added by size and node, and what is joined so far."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.lists: dict[int, list[int]] = {}
+        self.order: list[tuple[int, int]] = []
+        self.joined: list[int] = []
+        self.owner: dict[int, int] = {}  # a hub of each root's region
+
+    def add(self, keys: list[int], row: dict) -> None:
+        own = len(self.order)
+        for k in keys:
+            self.lists.setdefault(k, []).append(own)
+        self.order.append((row["n"], row["node"]))
+        self.joined.append(self.owner.setdefault(row["root"], own))
+
+    def links(self, keys: list[int], row: dict) -> list[tuple[int, int]]:
+        """Links of a query with the regions of all smaller hubs that it is linked to and not joined with yet: each pair of a list is looked at once."""
+        n, node = row["n"], row["node"]
+        lo = bisect_left(self.order, (-(-self.num * n // self.den),))
+        hi = min(bisect_left(self.order, (n, node)), bisect_right(self.order, (row["most"], math.inf)))
+        if lo >= hi:
+            return []
+        lists = [x for k in keys if (x := self.lists.get(k))]
+        least = required(n, self.order[lo][0], self.num, self.den)
+        if len(lists) < least:
+            return []
+        mine = self.owner.get(row["root"])
+        if mine is not None and all(_top(self.joined, i) == _top(self.joined, mine) for i in range(lo, hi)):
+            return []
+        if lo or hi < len(self.order):
+            lists = [x for x in (x[bisect_left(x, lo) : bisect_left(x, hi)] for x in lists) if x]
+        got = [i for i, times in divide_skip(lists, least) if times >= required(n, self.order[i][0], self.num, self.den)]
+        tops = sorted({_top(self.joined, i) for i in got} - ({_top(self.joined, mine)} if mine is not None else set()))
+        if not tops:
+            return []
+        out = [(node, self.order[i][1]) for i in tops]
+        first = _top(self.joined, mine) if mine is not None else tops[0]
+        for i in tops:
+            self.joined[i] = first
+        self.owner[row["root"]] = first
+        return out
 
 
 def _top(root: list[int], i: int) -> int:
@@ -302,22 +348,38 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
         offers = step.join(jump, "_mid").select(F.inline(F.when(F.col("_near") < F.col("_old"), F.array(own, hook)).otherwise(F.array(own))))
         step = stored(offers.groupBy("node").agg(F.max("_old").alias("_old"), F.min("root").alias("root")), folder, f"{name}-{i}")
         labels = step.select("node", "root")
+        discard(links.sparkSession, folder, f"{name}-{i - 1}")
         if not step.where("_old <> root").take(1):
+            discard(links.sparkSession, folder, f"{name}-both")
             return labels
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of `documents`; see `near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near duplicates: the one with the smallest doc_id.
+    """docs with one row of each group of near duplicates: the one with the smallest doc_id (null last), then text hash.
 
-    Texts without shingles all stay, and so do rows with a null id. Of rows that repeat an id in one
-    group all stay.
+    Texts without shingles all stay. Of rows that repeat both id and text one stays. Rows are told
+    apart by id and text, so a row of another group with the same id is not touched.
     """
-    groups = near_duplicates(docs).where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = labelled(docs).where("root is not null").groupBy("root", "doc_id", "mark").count()
+    rows = stored(rows, shared_dir(docs.sparkSession), "rows")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("_best"))
+    beaten = ~(F.col("_best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_best.mark") == F.col("mark")))
+    gone = rows.join(best, "root").where(beaten).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"))
+    mark = spare(docs, "_mark")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    same = lambda keys: marked["doc_id"].eqNullSafe(keys["_id"]) & (marked[mark] == keys["_of"])
+    repeated = rows.where("count > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"))
+    if not repeated.take(1):
+        return marked.join(gone, same(gone), "left_anti").drop(mark)
+    either = gone.unionByName(repeated)
+    one = marked.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", mark])
+    one = one.join(gone, one["doc_id"].eqNullSafe(gone["_id"]) & (one[mark] == gone["_of"]), "left_anti")
+    return marked.join(either, same(either), "left_anti").unionByName(one).drop(mark)
 
 
 SQL = r"""

@@ -106,6 +106,32 @@ def test_jaccard(spark, docs):
     assert got == component_model(docs)
 
 
+def test_jaccard_of_a_large_drifting_group(spark, monkeypatch):
+    """Copies too far apart to be linked directly, searched in several parts and indexes."""
+    rnd, base = random.Random(11), [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for _ in range(rnd.randrange(0, 6)):
+            w[rnd.randrange(len(w))] = f"v{rnd.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard, "LEAD_HUBS", 7)
+    monkeypatch.setattr(jaccard, "GROUP_HUBS", 5)
+    monkeypatch.setattr(jaccard, "GROUP_QUERIES", 9)
+    for rounds in ((1, 16, None), (1, None)):
+        monkeypatch.setattr(jaccard, "HUBS", rounds)
+        assert sorted(map(tuple, jaccard.near_duplicates(frame(spark, rows)).collect()), key=str) == component_model(rows)
+
+
+def test_one_of_each_group_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (3, f"{a} x"), (3, b), (9, f"{b} y"), (9, f"{b} y"), (None, a), (None, f"{a} z"), (7, a), (3, f"{a} x"), (1, ""), (1, ""), (None, None), (2, "only this")]
+    df = frame(spark, rows).withColumns({"_mark": F.lit("clash"), "_gone": F.lit(1)})
+    out = jaccard.keep_one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(3, f"{a} x"), (3, b), (1, ""), (1, ""), (None, None), (2, "only this")], key=str)
+
+
 def test_components_of_a_shuffled_chain(spark, tmp_path):
     rnd = random.Random(5)
     ids = rnd.sample(range(1 << 60), 1010)
