@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -16,13 +18,90 @@ from shardloom.llm import bpe, html, secrets, toxicity
 SF = "/root/testdata/sf0.01"
 
 
-def test_peak_windows():
+def test_hot_windows():
     rnd = random.Random(4)
-    for _ in range(200):
+    for _ in range(300):
         text = "".join(rnd.choice("abcdef0123XYZ") for _ in range(rnd.randrange(0, 60)))
+        if rnd.random() < 0.5:
+            text += rnd.choice("a0") * rnd.randrange(0, 50) + text[:30]
         least = rnd.uniform(2.0, 3.6)
         hot = [i for i in range(len(text) - 19) if -sum(c / 20 * math.log2(c / 20) for c in Counter(text[i : i + 20]).values()) >= least - 1e-9]
-        assert secrets.peak_windows(text, 20, least) == ((hot[0], hot[-1] + 20) if hot else None)
+        places = {k for i in hot for k in range(i, i + 20)}
+        spans = secrets.hot_windows(text, 20, least)
+        assert {k for s, e in spans for k in range(s, e)} == places and all(e < s for (_, e), (s, _) in zip(spans, spans[1:]))
+
+
+def test_secrets_in_long_runs():
+    key = "Zx9Kq2LmP0aWv7Rt5BnY"
+    for text in ("0x" + "0" * 40 + "1f", "A" * 60 + "1x9", "a" * 21 + "9x9", "a" * 21, "ab" * 50_000 + "1" * 30, "A" * 100_000 + "9", "-".join(["word"] * 25_000) + "9a", "/".join("ab" * 3 for _ in range(16_000)) + "=1x"):
+        began = time.perf_counter()
+        secrets.find_secrets(text, secrets.Entropy())
+        assert time.perf_counter() - began < 3, text[:30]
+    text = f"{key}{'q' * 300}{key}"  # a cold stretch between is no part of a secret
+    assert sum(e - s for _, s, e in secrets.find_secrets(text, secrets.Entropy())) < 100
+    text = "0123456789abcdef"[3:] + "f0a1b2c3d4e5968" + "G" * 30  # a hot class beside a cold one
+    assert any(k == "entropy_hex" for k, *_ in secrets.find_secrets(text, secrets.Entropy()))
+    many = " ".join(f"token={key[k % 9:]}{k} {key}{k}x" for k in range(10_000))
+    began = time.perf_counter()
+    assert len(secrets.find_secrets(many, secrets.Entropy())) == 20_000
+    assert time.perf_counter() - began < 5
+
+
+def base_model(text):
+    """Base spans by hand, a character at a time."""
+    out = []
+    words = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    i = 0
+    while i < len(text):
+        found = None
+        if word := next((w for w in words if low.startswith(w, i)), None):
+            k = i + len(word)
+            k += k < len(text) and text[k] in "\"'"
+            while k < len(text) and text[k] == " ":
+                k += 1
+            if k < len(text) and text[k] in ":=":
+                k += 1
+                while k < len(text) and text[k] == " ":
+                    k += 1
+                k += k < len(text) and text[k] in "\"'"
+                end = k
+                while end < len(text) and text[end] in value:
+                    end += 1
+                found = (k, end) if end > k else None
+        if found and found[1] - found[0] >= 8:
+            out.append((i, 0, "assign", found[1]))
+        i = found[1] if found else i + 1
+    for kind, lead, letters, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+        i = 0
+        while i < len(text):
+            end = i + len(lead)
+            if text.startswith(lead, i):
+                while end < len(text) and text[end] in letters:
+                    end += 1
+            if end - i > len(lead):
+                if end - i >= least:
+                    out.append((i, 1 + (kind == "hex"), kind, end))
+                i = end
+            else:
+                i += 1
+    return [(kind, s, e) for s, _, kind, e in sorted(out)]
+
+
+def test_base_secrets_equal_a_scan_by_hand(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rnd = random.Random(8)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", '"', "'", " ", "=", ":", "abcdefgh", "x/9", "AKIA", "A1B2C3D4E5F6", "AKIAAKIA0123456789", "deadbeef", "0123456789abcdef", "é", "\n", "\u017f", "\u212a"]
+    rows += [(10_000 + i, "".join(rnd.choice(parts) for _ in range(rnd.randrange(40)))) for i in range(2000)] + [(20_000, None), (20_001, ""), (20_001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    got = [tuple(r) for r in secrets.base_digests(secrets.scan(df, column="secrets")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()]
+    want = []
+    for i, t in rows:
+        spans = base_model(t or "")
+        want.append((i, *(sum(k == x for k, *_ in spans) for x in ("assign", "access", "hex")), hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()))
+    assert sorted(got) == sorted(want)
+    assert secrets.scan(df.limit(0)).count() == secrets.redact(df.limit(0)).count() == 0
 
 
 def test_secrets(spark):
@@ -120,6 +199,16 @@ def test_toxicity_of_odd_input(spark):
         rows = toxicity.score(docs, toxicity.learn(docs, known)).collect()
         assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.score(docs.limit(0), toxicity.learn(docs.limit(0), labels.limit(0))).count() == 0
+    clashing = docs.withColumns({"_score": F.lit("a"), "score": F.lit("b")})
+    assert toxicity.reject_toxic(clashing, labels.limit(0)).columns == clashing.columns
+
+
+def test_toxicity_fits_on_bounded_rows_in_one_task(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    held = toxicity.sample(docs.unionByName(docs), labels.where("toxic = 1").select("doc_id"), toxicity.Bounds(positives=5, unlabelled=50)).collect()
+    assert sum(r.positive for r in held) == 5 and sum(r.unlabelled for r in held) == 50 and len({r.spread for r in held}) == len(held)
+    one, two = (toxicity.learn(d, labels, toxicity.Bounds(positives=20, unlabelled=80, terms=20_000)) for d in (docs, docs.repartition(7)))
+    assert (one.weights == two.weights).all() and (one.slope == two.slope).all() and one.offset == two.offset
 
 
 def test_pipeline(spark):
