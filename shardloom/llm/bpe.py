@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spare, table
 
 CACHE = 1 << 19  # pre-tokens whose ids a task remembers; only speed depends on it
 
@@ -196,11 +196,15 @@ def vocabulary(path: str | None = None) -> tuple[bytes, str]:
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    """docs (all columns but text) with n_tokens, ids_sha256, decoded_sha256."""
+    """docs (all columns but text) with n_tokens, ids_sha256, decoded_sha256; a null text is the empty one.
+
+    Columns of docs named like a result are replaced.
+    """
     new = ("n_tokens", "ids_sha256", "decoded_sha256")
-    kept = [c for c in docs.columns if c not in (*new, "text")]
-    return docs.select(*kept, digests(*vocabulary())(F.col("text")).alias("_bpe")).select(*kept, *[F.col(f"_bpe.{c}").alias(c) for c in new])
+    kept, own = [c for c in docs.columns if c not in (*new, "text")], spare(docs, "_bpe")
+    return docs.select(*kept, digests(*vocabulary())(F.col("text")).alias(own)).select(*kept, *[F.col(own)[c].alias(c) for c in new])
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of `documents`; see `token_digests`."""
     return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))

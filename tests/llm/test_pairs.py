@@ -208,3 +208,51 @@ def test_templates(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
     assert got == {(1, 1), (4, 2), (None, 2)}
     assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {2, 3, 5, 6, 8}
+
+
+STORIES = [
+    "{A} has {n} apples and eats {m}. {A} then buys {k} more at the market. How many apples does {A} have now?",
+    "A train leaves {B} at {n} km per hour while {A} drives a car at {m} km per hour. After {k} hours how far apart are the train and {A}?",
+    "{A} and {B} share {n} dollars. {A} gets {m} dollars more than {B}, who spends {k} dollars on a book. How much money does {B} have left?",
+    "In a class of {n} pupils, {m} play chess and {k} play no game at all. {A} wants to know how many pupils play another game.",
+]
+
+
+def told(story, rnd, names):
+    a, b = rnd.sample(names, 2)
+    n, m, k = rnd.sample(range(2, 5000), 3)
+    return story.format(A=a, B=b, n=n, m=m, k=k)
+
+
+def test_reparameterised_questions_are_found(spark):
+    """Recall over rewritten questions, with words put in and names of two words; no clean text, and no inconsistent one, is found."""
+    rnd, names = random.Random(12), ["Tom", "Anna", "Mary Ann", "Omar", "Li", "Zoé", "Jean-Paul", "New York"]
+    items = [(i, told(s, rnd, names)) for i, s in enumerate(STORIES)] + [(50, "What is the capital of Peru?"), (51, "Name it.")]
+    texts, want = [], set()
+    for i in range(200):
+        k = rnd.randrange(len(STORIES))
+        text = told(STORIES[k], rnd, names)
+        if i % 4 == 1:  # one word put in
+            w = text.split(" ")
+            w.insert(rnd.randrange(5, len(w) - 5), "really")
+            text = " ".join(w)
+        if i % 4 == 2:
+            text = items[k][1].lower()
+        texts.append((i, f"{rnd.choice(['So it goes.', 'Consider this:', ''])} {text} {rnd.choice(['The end.', '', 'Think!'])}"))
+        want.add((i, k))
+    clean = [" ".join(rnd.choice("river stone light under green walks sings the of a and Tom 12 km".split()) for _ in range(80)) for _ in range(60)]
+    texts += [(1000 + i, t) for i, t in enumerate(clean)]
+    texts += [(2000, "He asked: what is the capital of Peru? Nobody knew."), (2001, "What is the capital of Chile?"), (2002, "Name it."), (2003, "name it. or not, at a longer length than that"), (2004, " ".join(map(str, range(4000))))]
+    want |= {(2000, 50), (2001, 50), (2002, 51)}
+    swapped = "Tom has 12 apples and eats 12. Tom then buys 12 more at the market. How many apples does Tom have now?"  # three numbers of the item became one
+    texts.append((3000, swapped))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, texts), spark.createDataFrame([*items, (60, "1 2 3 4 5 6 7 8 9 10 11 12")], "item_id long, text string")).collect()}
+    assert got <= want, sorted(got - want)
+    assert len(got & want) >= 0.95 * len(want), [(t, items[k][1]) for i, t in texts for j, k in want - got if i == j and k < 50]
+
+
+def test_tokens_of_templates_and_values_agree(spark):
+    rows = [("Mary Ann Lee bought 3.5 kg, (Tom's) 7kg at New York. If Anna went: “Bob” left",), ("",), (None,), ("Tom Anna, Li Tom",), ("a  b\tC Dd\nEe",)]
+    out = spark.createDataFrame(rows, "text string").select(decontaminate.template_tokens(F.col("text")).alias("t"), decontaminate.value_tokens(F.col("text")).alias("v")).collect()
+    assert all(len(r.t) == len(r.v) for r in out)
+    assert out[0].t == ["<N>", "bought", "<n>", "<u>", "<N>", "<n><u>", "at", "<N>", "if", "<N>", "went", "<N>", "left"] and out[0].v[0] == "mary ann lee".replace(" ", "")
