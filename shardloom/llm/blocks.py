@@ -18,10 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices, small_batches, texts, tidied
 
 BLOCK_BYTES = 2 << 20
-KEYS_A_BUCKET = 4_000_000  # keys that a bucket takes in, about; bounds its memory
+KEYS_A_BUCKET = 3_000_000  # keys that a bucket takes in, about; bounds its memory
 
 
 def squeeze(values: np.ndarray, level: int = 1) -> bytes:
@@ -81,7 +81,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", marked: bo
             yield pa.RecordBatch.from_pylist([row], _PACKED_ARROW)
 
     mark = [F.xxhash64(text).alias("mark")] if marked else []
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *mark).mapInArrow(run, PACKED)
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *mark).mapInArrow(tidied(run), PACKED)
 
 
 _PACKED_ARROW = pa.schema([("block", pa.int64()), ("n", pa.int32()), *[(x, pa.binary()) for x in ("ids", "null", "sizes", "body", "marks")]])
@@ -106,7 +106,7 @@ def ask(rows: DataFrame, keys_of: Callable[[Block, dict], tuple[np.ndarray, list
                 payload = b"".join(len(x := squeeze(f[part])).to_bytes(4, "little") + x for f in facts)
                 yield pa.RecordBatch.from_pylist([{"block": row["block"], "bucket": b, "keys": squeeze_sorted(keys[part]), "payload": payload}], ASKED)
 
-    return rows.mapInArrow(run, "block long, bucket int, keys binary, payload binary")
+    return rows.mapInArrow(tidied(run), "block long, bucket int, keys binary, payload binary")
 
 
 def bounds(keys: np.ndarray, buckets: int) -> list[int]:
@@ -144,7 +144,7 @@ def answer(asked: DataFrame, types: list, reply: Callable[[np.ndarray, list[np.n
                 yield pa.RecordBatch.from_pylist([{"block": r["block"], "bucket": bucket, "answer": squeeze(own)}], ANSWERED)
 
     dealt = asked.repartition(buckets, "bucket")
-    said = dealt.mapInArrow(run, "block long, bucket int, answer binary")
+    said = dealt.mapInArrow(tidied(run), "block long, bucket int, answer binary")
     return said.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spare, table
+from .common import small_batches, spare, table, tidied
 
 CACHE = 1 << 19  # pre-tokens whose ids a task remembers; only speed depends on it
 
@@ -145,6 +145,7 @@ def digests(lines: bytes, pattern: str):
     """An Arrow UDF: text to (n_tokens, ids_sha256, decoded_sha256); null is the empty text."""
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    @tidied
     def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(lines, pattern)
         for batch in values:
@@ -164,12 +165,13 @@ def encode(docs: DataFrame, lines: bytes, pattern: str, text: str = "text", colu
     """docs with the token ids of text, array<int>; null and empty texts give an empty array."""
 
     @F.arrow_udf("array<int>")
+    @tidied
     def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(lines, pattern)
         for batch in values:
             yield pa.array([own.encode(v.as_py() or "") for v in batch], pa.list_(pa.int32()))
 
-    return docs.withColumn(column, run(F.col(text)))
+    return small_batches(docs).withColumn(column, run(F.col(text)))
 
 
 def decode(docs: DataFrame, lines: bytes, pattern: str, ids: str = "ids", column: str = "text") -> DataFrame:
@@ -179,12 +181,13 @@ def decode(docs: DataFrame, lines: bytes, pattern: str, ids: str = "ids", column
     """
 
     @F.arrow_udf("string")
+    @tidied
     def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(lines, pattern)
         for batch in values:
             yield pa.array([None if v is None else own.decode(v).decode("utf-8", "replace") for v in batch.to_pylist()], pa.string())
 
-    return docs.withColumn(column, run(F.col(ids)))
+    return small_batches(docs).withColumn(column, run(F.col(ids)))
 
 
 def vocabulary(path: str | None = None) -> tuple[bytes, str]:
@@ -202,7 +205,7 @@ def token_digests(docs: DataFrame) -> DataFrame:
     """
     new = ("n_tokens", "ids_sha256", "decoded_sha256")
     kept, own = [c for c in docs.columns if c not in (*new, "text")], spare(docs, "_bpe")
-    return docs.select(*kept, digests(*vocabulary())(F.col("text")).alias(own)).select(*kept, *[F.col(own)[c].alias(c) for c in new])
+    return small_batches(docs).select(*kept, digests(*vocabulary())(F.col("text")).alias(own)).select(*kept, *[F.col(own)[c].alias(c) for c in new])
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

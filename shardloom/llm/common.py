@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
@@ -37,6 +39,32 @@ def discard(spark: SparkSession, folder: str, *names: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_BYTES = 8 << 20  # of an Arrow batch; whole rows, so a longer text is a batch of its own
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are of BATCH_BYTES at most: tasks hold a few copies of a batch."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if not re.fullmatch(r"\d+b?", now := conf.get(key)) or int(now.rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def tidied(run):
+    """A task function that gives the memory it has freed back to the system when it ends: Python workers are used again."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # not there outside glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have."""
     taken = {c.lower() for c in df.columns}

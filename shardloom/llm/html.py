@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table, tidied
 
 # Fixed values of the markup.
 SKIPPED = frozenset("script style noscript template svg math head title iframe object canvas audio video textarea select button option".split())
@@ -243,11 +243,12 @@ def extract(pages: DataFrame, source: str = "html", column: str = "text", tree:
     tree = tree or default_tree()
 
     @F.arrow_udf("string")
+    @tidied
     def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in values:
             yield pa.array([main_text(v.as_py() or "", tree) for v in batch], pa.string())
 
-    return pages.withColumn(column, run(F.col(source)))
+    return small_batches(pages).withColumn(column, run(F.col(source)))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

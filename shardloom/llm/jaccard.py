@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, answer, answers_of, ask, buckets_for, counts, distinct, each, pack, squeeze
 from .blocks import expand
-from .common import LOWER, discard, mix, rolling, shared_dir, spare, stored, table, words
+from .common import LOWER, discard, mix, rolling, shared_dir, spare, stored, table, tidied, words
 
 SHINGLE = 5
 MASK = np.uint64((1 << 64) - (1 << 20))  # frequencies are those of the upper 44 bits of a shingle; they only order
@@ -151,7 +151,7 @@ def labelled(docs: DataFrame, num: int = 75, den: int = 100, size: int = SHINGLE
             block = Block.of(row)
             yield _describe(block, Sets(block, size), answers_of(row["answers"], np.uint32), num, den)
 
-    info = stored(packed.join(frequencies, "block", "left").mapInArrow(describe, INFO), folder, "info")
+    info = stored(packed.join(frequencies, "block", "left").mapInArrow(tidied(describe), INFO), folder, "info")
     discard(spark, folder, "packed", "frequencies")
     classes = info.where("prefix is not null").select("node", "n_shingles", "most", "prefix", "shared").dropDuplicates(["node"])
     classes = stored(classes, folder, "classes")
@@ -257,7 +257,8 @@ def _search(chosen: DataFrame, lists: DataFrame, sets: DataFrame, num: int, den:
     hubs = hubs.join(subs, "group").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("query", F.lit(0))
     queries = queries.join(subs, "group").withColumn("sub", F.pmod(F.xxhash64("node", F.lit(1)), F.col("subs")).cast("int")).withColumn("query", F.lit(1))
     place = ["group", "sub", "query", "n", "node"]
-    rows = hubs.unionByName(queries).drop("subs").join(sets, "node").repartition("group", "sub").sortWithinPartitions(*place)
+    tasks = max(4 * chosen.sparkSession.sparkContext.defaultParallelism, groups)  # a number that isn't made smaller: the work isn't in the bytes
+    rows = hubs.unionByName(queries).drop("subs").join(sets, "node").repartition(tasks, "group", "sub").sortWithinPartitions(*place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, index = None, None
@@ -273,7 +274,7 @@ def _search(chosen: DataFrame, lists: DataFrame, sets: DataFrame, num: int, den:
                     index.add(keys, row)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["node", "other"])
 
-    return rows.select(*place, "most", "root", "shared").mapInArrow(run, "node long, other long")
+    return rows.select(*place, "most", "root", "shared").mapInArrow(tidied(run), "node long, other long")
 
 
 class Index:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spare, table
+from .common import small_batches, spare, table, tidied
 
 # The base forms.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -162,13 +162,14 @@ def scan(docs: DataFrame, text: str = "text", entropy: Entropy = Entropy(), colu
     """
 
     @F.arrow_udf(SPANS)
+    @tidied
     def spans(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         patterns = entropy.patterns()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in values:
             yield pa.array([[dict(zip(("kind", "start", "end"), x)) for x in find_secrets(t.as_py() or "", entropy, patterns)] for t in batch], kind)
 
-    return docs.withColumn(column, spans(F.col(text)))
+    return small_batches(docs).withColumn(column, spans(F.col(text)))
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]", entropy: Entropy = Entropy()) -> DataFrame:
@@ -178,6 +179,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", entropy: Entropy = Entropy
     """
 
     @F.arrow_udf("string")
+    @tidied
     def clean(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         patterns = entropy.patterns()
 
@@ -189,7 +191,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", entropy: Entropy = Entropy
             yield pa.array([one(t.as_py()) for t in batch], pa.string())
 
     own = spare(docs, "_clean")
-    out = docs.withColumn(own, clean(F.col("text")))
+    out = small_batches(docs).withColumn(own, clean(F.col("text")))
     if "n_chars" in docs.columns:
         changed = ~F.col(own).eqNullSafe(F.col("text"))
         out = out.withColumn("n_chars", F.when(changed, F.length(own).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

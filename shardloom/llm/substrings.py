@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, answer, answers_of, ask, buckets_for, counts, covered, distinct, each, pack
-from .common import pair, rolling, shared_dir, stored, table, words
+from .common import pair, rolling, shared_dir, stored, table, tidied, words
 
 SPAN = 20
 BLOCK = 10
@@ -135,7 +135,7 @@ def drop_repeats(docs: DataFrame, span: int = SPAN, doc_id: str = "doc_id", text
     n = buckets_for(total / 15)
     kinds = [bool, np.int64, np.int32, np.int64]
     more = stored(answer(ask(both, extend, n), kinds, earliest, n).withColumnRenamed("answers", "more"), folder, "extended")
-    return both.join(more, "block", "left").mapInArrow(last, RESULT)
+    return both.join(more, "block", "left").mapInArrow(tidied(last), RESULT)
 
 
 def _result(own: Words, gone: np.ndarray, with_kept: bool) -> pa.RecordBatch:

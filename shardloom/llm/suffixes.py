@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, answer, answers_of, ask, buckets_for, counts, covered, distinct, each, pack
-from .common import BYTE, pair, rolling, shared_dir, stored, table
+from .common import BYTE, pair, rolling, shared_dir, stored, table, tidied
 
 LENGTH = 200
 Q = 104  # 2 * Q >= LENGTH; anchors are at most Q - S bytes apart
@@ -159,7 +159,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_i
     once = stored(anchored, folder, "anchors")
     both = packed.join(once, "block", "left")
     more = stored(sizes(both, second, 0.4).withColumnRenamed("answers", "more"), folder, "windows")
-    return both.join(more, "block", "left").mapInArrow(last, RESULT)
+    return both.join(more, "block", "left").mapInArrow(tidied(last), RESULT)
 
 
 def _result(block: Block, gone: np.ndarray, with_kept: bool) -> pa.RecordBatch:

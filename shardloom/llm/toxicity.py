@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import expand, squeeze
-from .common import LOWER, slices, spare, span_hashes, table, texts, words
+from .common import LOWER, slices, small_batches, spare, span_hashes, table, texts, tidied, words
 
 BINS = 1 << 20  # hashed terms
 PREFIXES = (4, 5, 6)
@@ -32,7 +32,7 @@ class Bounds:
 
     positives: int = 4000
     unlabelled: int = 6000
-    terms: int = 16_000_000
+    terms: int = 8_000_000
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +219,7 @@ def sample(docs: DataFrame, positives: DataFrame, bounds: Bounds) -> DataFrame:
             sets = [squeeze(bins[a:b]) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([part.column("spread"), part.column("positive"), part.column("unlabelled"), pa.array(np.diff(at), pa.int32()), pa.array(sets, pa.binary())], ["spread", "positive", "unlabelled", "n", "bins"])
 
-    return found.select(F.xxhash64("doc_id").alias("spread"), "positive", "unlabelled", "text").mapInArrow(run, SAMPLED)
+    return found.select(F.xxhash64("doc_id").alias("spread"), "positive", "unlabelled", "text").mapInArrow(tidied(run), SAMPLED)
 
 
 def learn(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Model:
@@ -246,7 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
         parts = [squeeze(x) for x in (model.weights, model.mean, model.scale, model.slope, np.array([model.offset]))]
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["part"])
 
-    fitted = rows.repartition(1).sortWithinPartitions("spread", "n", "bins").mapInArrow(run, "part binary")  # bounded
+    fitted = rows.repartition(1).sortWithinPartitions("spread", "n", "bins").mapInArrow(tidied(run), "part binary")  # bounded
     parts = [bytes(x.part) for x in fitted.collect()]
     return Model(expand(parts[0], np.float32), *(expand(x, np.float64) for x in parts[1:4]), float(expand(parts[4], np.float64)[0])) if parts else blank()
 
@@ -268,12 +268,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     shared = docs.sparkSession.sparkContext.broadcast(model)  # weights: 4 MiB, whatever the corpus
 
     @F.arrow_udf("double")
+    @tidied
     def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in values:
             whole = pa.RecordBatch.from_arrays([batch], ["text"])
             yield pa.concat_arrays([pa.array(shared.value.scores(x.column("text"))) for x in slices([whole], "text")] or [pa.array([], pa.float64())])
 
-    return docs.withColumn(column, run(F.col(text)))
+    return small_batches(docs).withColumn(column, run(F.col(text)))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
