@@ -195,6 +195,36 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), listed.limit(0)).count() == 0
 
 
+def test_listed_urls_equal_brute_force(spark):
+    """Thousands of names in a filter of many blocks, a full filter with false positives, and URLs far longer than any name."""
+    rnd = random.Random(21)
+    label, host = lambda: rnd.choice("abcd") + str(rnd.randrange(40)), lambda n: ".".join(label() for _ in range(n))
+    listed = {f"{host(rnd.randrange(2, 4))}/" + "".join(f"{label()}/" for _ in range(rnd.randrange(3))) + rnd.choice(["", "", label()]) for _ in range(3000)}
+    pages = [(i, f"http://{host(rnd.randrange(1, 5))}" + "".join(f"/{label()}" for _ in range(rnd.randrange(5))) + rnd.choice(["", "/", "?q"])) for i in range(3000)]
+    pages += [(4000 + i, f"http://{rnd.choice(['', 'm.', 'm'])}{x}{rnd.choice(['', label(), '/' + label(), 'x/y?z'])}") for i, x in enumerate(sorted(listed)[::3])]
+    pages += [(9000, "http://a1.b2/" + "/" * 60_000), (9001, "http://" + "a." * 30_000 + "b1/x"), (9002, None), (9003, pages[0][1]), (9003, pages[0][1])]
+
+    def bad(url):
+        rest = (url or "").partition("://")[2]
+        h, path = (rest.split("?")[0].split("/", 1) + [""])[:2]
+        path = f"/{path}"
+        cut = 40  # longer than any listed name
+        hosts = {".".join(h.split(".")[-k:]) for k in range(1, min(8, h.count(".") + 1) + 1)}
+        return any(f"{x}{path[:k]}" in listed for x in hosts for k in range(1, cut) if path[:k] == path or path[k - 1 : k] == "/")
+
+    df = spark.createDataFrame(pages, "page_id long, url string").withColumns({"_fit": F.lit("clash"), "_listed": F.lit(0)})
+    names = spark.createDataFrame([(x,) for x in listed], "name string")
+    want = sorted((i, "block" if bad(u) else "allow") for i, u in pages)
+    assert 300 < sum(v == "block" for _, v in want) < 3700
+    for most in (1 << 17, 2):
+        urls_most, urls.MAX_BLOCKS = urls.MAX_BLOCKS, most
+        try:
+            got = sorted((r.page_id, r.verdict) for r in urls.judge(df, names, rules=()).collect())
+        finally:
+            urls.MAX_BLOCKS = urls_most
+        assert got == want
+
+
 def test_templates(spark):
     items = [(1, "If Anna buys 12 apples for 3 dollars each and pays with 50 dollars then how many dollars does she get back from the shop"), (2, "a wholly different text about rivers and the sea that runs on for a while without numbers"), (3, None), (4, "")]
     texts = [
