@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, tidied
 
 # Fixed values of the markup.
-SKIPPED = frozenset("script style noscript template svg math head title iframe object canvas audio video textarea select button option".split())
+SKIPPED = frozenset("script style noscript template svg head title iframe object canvas audio video textarea select button option".split())
 RAW = frozenset("script style textarea title noscript iframe".split())  # no tags inside
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow ms msqrt mspace msub msubsup msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 FRAME = frozenset("nav header footer aside form menu dialog".split())  # what stands around an article
 BODY = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 FRAME_NAMES = re.compile(r"(?i)\b(?:nav|navbar|menu|header|masthead|footer|sidebar|side|aside|widget|related|breadcrumbs?|share|social|promo|sponsor(?:ed)?|banner|ads?|advert\w*|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|search|form|comments?|replies|reply|disqus|respond|pagination|pager|tags?|toolbar|copyright|legal|disclaimer)\b")
 BODY_NAMES = re.compile(r"(?i)\b(?:article|post|entry|story|content|body|main|text)\b")
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dt dd td th".split())
+
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
@@ -47,11 +50,15 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; white space is one space, references are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # name, number of a framing element or 0, holds
+    # name, skipped, and of all elements from the outermost to this one: numbers of framing ones, whether one holds an article, heading, item, links
+    stack: list[tuple[str, str, tuple, bool, bool, bool, int]] = []
     doubtful: dict[int, bool] = {}  # framing elements that are so by a name only, and whether the name is an article's too
     framing = 0
     now = Block()
-    skip, linked, at = "", 0, 0
+    at = 0
+
+    def inside() -> tuple:
+        return stack[-1] if stack else ("", "", (), False, False, False, 0)
 
     def close() -> None:
         nonlocal now
@@ -64,13 +71,11 @@ def blocks_of(page: str) -> list[Block]:
         now = Block()
 
     def put(raw: str) -> None:
-        if not raw or skip:
+        if not raw or inside()[1]:
             return
         if not now.parts:
-            now.frames, now.body = tuple(x[1] for x in stack if x[1]), any(x[2] for x in stack)
-            names = {x[0] for x in stack}
-            now.heading, now.item = bool(names & {"h1", "h2", "h3", "h4", "h5", "h6"}), bool(names & {"li", "dt", "dd", "td", "th"})
-        now.parts.append((raw, linked > 0))
+            now.frames, now.body, now.heading, now.item = inside()[2:6]
+        now.parts.append((raw, inside()[6] > 0))
 
     while at <= len(page):
         m = TAG.search(page, at)
@@ -87,9 +92,6 @@ def blocks_of(page: str) -> list[Block]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None and (name not in INLINE or all(x[0] in INLINE for x in stack[depth:])):
                 del stack[depth:]
-                linked = sum(x[0] == "a" for x in stack)
-                if skip and not any(x[0] == skip for x in stack):
-                    skip = ""
             continue
         if name == "br":
             put(" ")
@@ -115,15 +117,13 @@ def blocks_of(page: str) -> list[Block]:
         given = " ".join(next(filter(None, x), "") for x in NAMES.findall(m[3]))
         frames = name in FRAME or bool(given and FRAME_NAMES.search(given.replace("_", "-")) and name not in ("body", "html"))
         holds = name in BODY or bool(given and not frames and BODY_NAMES.search(given.replace("_", "-")))
-        if name == "header" and any(x[2] for x in stack):  # an article's own heading
+        if name == "header" and inside()[3]:  # an article's own heading
             frames = False
         framing += frames
         if frames and (name == "form" or name not in FRAME):
             doubtful[framing] = bool(given and BODY_NAMES.search(given.replace("_", "-")))
-        stack.append((name, framing if frames else 0, holds))
-        linked += name == "a"
-        if name in SKIPPED and not skip:
-            skip = name
+        _, skip, around, body, heading, item, links = inside()
+        stack.append((name, skip or (name if name in SKIPPED else ""), (*around, framing) if frames else around, body or holds, heading or name in HEADINGS, item or name in ITEMS, links + (name == "a")))
     close()
     for number, holds in doubtful.items():
         if _holds_the_text(out, number):
@@ -252,5 +252,6 @@ def extract(pages: DataFrame, source: str = "html", column: str = "text", tree:
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every row of `pages`; see `extract`."""
     pages = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

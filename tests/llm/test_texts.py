@@ -166,6 +166,17 @@ def test_html(spark):
     assert got[1] == got[2] == got[7] == "" and got[3] == "a <b> c" and got[5] == "T\n\ntext" and len(got[4]) == 179999
 
 
+def test_html_of_odd_elements():
+    text = " ".join(f"w{i}" for i in range(60))
+    say = lambda page: html.main_text(page, html.default_tree())
+    assert say(f"<article><p>{text} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> <button>Buy</button>and more</p></article>") == f"{text} x=2 and more"
+    for cls in ("post category-legal", "post tag-news"):
+        assert say(f'<article class="{cls}"><p>{text}</p><p>{text} b</p><p>{text} c</p></article>') == f"{text}\n\n{text} b\n\n{text} c"
+    began = time.perf_counter()
+    assert say(f"<article>{'<div>' * 8000}<p>{text}</p>{'</div>' * 8000}</article>") == text
+    assert time.perf_counter() - began < 2
+
+
 def test_html_with_no_or_misleading_marks():
     long = [" ".join(f"{w}{i}" for i in range(n)) for w, n in (("a", 60), ("b", 12), ("c", 70), ("d", 50))]
     paragraphs = "".join(f"<p>{x}</p>" for x in long)
