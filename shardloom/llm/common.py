@@ -114,15 +114,21 @@ UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+KEPT_POWERS = 1 << 21  # more, for a very long text, are made and dropped again
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for k, base in enumerate((BASE, UNBASE)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _POWERS[k] = np.multiply.accumulate(out)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    made = []
+    for base in (BASE, UNBASE):
+        out = np.full(max(n, min(KEPT_POWERS, 1 << max(16, (n - 1).bit_length()))), base, np.uint64)
+        out[0] = 1
+        made.append(np.multiply.accumulate(out, out=out))
+    if len(made[0]) <= KEPT_POWERS:
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
