@@ -63,36 +63,49 @@ def split_keep(text: Column, separator: Column) -> Column:
 
 
 def merge_adjacent(pieces: Column, size: int, measure: Callable[[Column], Column] = F.octet_length) -> Column:
-    """Neighbours joined from the left as long as they measure at most `size`."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
-    step = lambda a, p: F.when(a["now"] == "", F.struct(a["out"].alias("out"), p.alias("now"))).when(
-        measure(F.concat(a["now"], p)) <= size, F.struct(a["out"].alias("out"), F.concat(a["now"], p).alias("now"))
-    ).otherwise(F.struct(F.array_append(a["out"], a["now"]).alias("out"), p.alias("now")))
-    return F.aggregate(pieces, start, step, lambda a: F.when(a["now"] == "", a["out"]).otherwise(F.array_append(a["out"], a["now"])))
+    """Neighbours joined from the left as long as they measure at most `size`. Measures add up."""
+    measured = F.transform(pieces, lambda t: F.struct(t.alias("t"), F.lit(0).alias("b"), measure(t).cast("int").alias("m")))
+    return F.transform(_joined(measured, F.lit(0), size), lambda p: p["t"])
+
+
+PIECES = "array<struct<t:string,b:int,m:int>>"  # text, level of the separator that it begins with, measure
+
+
+def _joined(pieces: Column, level: Column, size: int) -> Column:
+    """PIECES, where neighbours of this level or a later one are joined as long as they measure at most `size`.
+
+    The fold carries places and sums; a text is put together once, when it is complete.
+    """
+
+    def fold(all_: Column) -> Column:
+        state = lambda out, first, next_, m, b: F.struct(out.alias("out"), first.alias("first"), next_.alias("next"), m.alias("m"), b.alias("b"))
+        text = lambda a: F.array_join(F.transform(F.slice(all_, a["first"] + 1, a["next"] - a["first"]), lambda p: p["t"]), "")
+        done = lambda a: F.array_append(a["out"], F.struct(text(a).alias("t"), a["b"].alias("b"), a["m"].alias("m")))
+        step = lambda a, p: F.when((a["next"] > 0) & ((p["b"] < level) | (a["m"] + p["m"] > size)), state(done(a), a["next"], a["next"] + 1, p["m"], p["b"])).otherwise(
+            state(a["out"], a["first"], a["next"] + 1, a["m"] + p["m"], F.when(a["next"] > 0, a["b"]).otherwise(p["b"]))
+        )
+        zero = F.lit(0)
+        return F.aggregate(all_, state(F.array().cast(PIECES), zero, zero, zero, F.lit(-1)), step, done)
+
+    return let(pieces, lambda x: F.when(F.size(x) < 2, x).otherwise(fold(x)))
 
 
 def recursive_split(text: Column, separators: Column, size: int, measure: Callable[[Column], Column] = F.octet_length) -> Column:
     """Pieces of text of at most `size`, cut at the earliest separator of the chain that does, and merged again.
 
     Down the chain, pieces that are too large are cut; a piece remembers the place in the chain of the
-    separator that it begins with. Up again, neighbours are merged that no earlier separator parts.
-    Both are folds over the chain, so the plan has the same size for any chain. Pieces put together
-    are text.
+    separator that it begins with, and its measure. Up again, neighbours are merged that no earlier
+    separator parts. Both are folds over the chain, so the plan has the same size for any chain. Pieces
+    put together are text.
     """
-    kind = "array<struct<t:string,b:int>>"
+    piece = lambda t, b: F.struct(t.alias("t"), b.alias("b"), measure(t).cast("int").alias("m"))
 
     def cut(pieces: Column, i: Column) -> Column:
-        parts = lambda p: F.transform(split_keep(p["t"], F.get(separators, i)), lambda x, j: F.struct(x.alias("t"), F.when(j == 0, p["b"]).otherwise(i).alias("b")))
-        return F.flatten(F.transform(pieces, lambda p: F.when(measure(p["t"]) <= size, F.array(p)).otherwise(parts(p)))).cast(kind)
-
-    def join(pieces: Column, i: Column) -> Column:
-        start = F.struct(F.array().cast(kind).alias("out"), F.lit("").alias("t"), F.lit(-1).alias("b"))
-        fold = lambda a, p: F.when(a["t"] == "", F.struct(a["out"].alias("out"), p["t"].alias("t"), p["b"].alias("b"))).when(
-            (p["b"] >= i) & (measure(F.concat(a["t"], p["t"])) <= size), F.struct(a["out"].alias("out"), F.concat(a["t"], p["t"]).alias("t"), a["b"].alias("b"))
-        ).otherwise(F.struct(F.array_append(a["out"], F.struct(a["t"].alias("t"), a["b"].alias("b"))).alias("out"), p["t"].alias("t"), p["b"].alias("b")))
-        return F.aggregate(pieces, start, fold, lambda a: F.when(a["t"] == "", a["out"]).otherwise(F.array_append(a["out"], F.struct(a["t"].alias("t"), a["b"].alias("b"))))).cast(kind)
+        parts = lambda p: F.transform(split_keep(p["t"], F.get(separators, i)), lambda x, j: piece(x, F.when(j == 0, p["b"]).otherwise(i)))
+        large = F.flatten(F.transform(pieces, lambda p: F.when(p["m"] <= size, F.array(p)).otherwise(parts(p)))).cast(PIECES)
+        return F.when(F.exists(pieces, lambda p: p["m"] > size), large).otherwise(pieces)
 
-    whole = F.array(F.struct(F.coalesce(text, F.lit("")).alias("t"), F.lit(-1).alias("b"))).cast(kind)
+    whole = F.array(piece(F.coalesce(text, F.lit("")), F.lit(-1))).cast(PIECES)
     down = F.aggregate(F.sequence(F.lit(0), F.size(separators) - 1), whole, cut)
-    up = F.aggregate(F.sequence(F.size(separators) - 1, F.lit(0), F.lit(-1)), down, join)
+    up = F.aggregate(F.sequence(F.size(separators) - 1, F.lit(0), F.lit(-1)), down, lambda x, i: _joined(x, i, size))
     return F.filter(F.transform(up, lambda p: p["t"]), lambda t: t != "")

@@ -70,10 +70,11 @@ def split_text(text: Column, language: Column | str | None = None, size: int = 1
 
 
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))  # the same, listed
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def syntax_chunks(text: Column, language: Column | str, sizes: Sizes) -> Column:
@@ -87,8 +88,9 @@ def syntax_chunks(text: Column, language: Column | str, sizes: Sizes) -> Column:
     lead = newlines(F.regexp_extract(F.coalesce(text, F.lit("")), f"^[{SPACE}]*", 0))
     whole = F.array(F.struct(body.alias("content"), (lead + 1).alias("start_line"), (lead + 1 + newlines(body)).alias("end_line")))
     pieces = numbered(let(_chain(language), lambda s: recursive_split(text, s, sizes.syntax_size, nonwhite_bytes)))
-    first = lambda c: newlines(F.regexp_extract(c["content"], f"^[{SPACE}]*", 0)) - c["content"].startswith("\n").cast("int")
-    cut = F.filter(F.transform(pieces, lambda c: F.struct(trimmed(c["content"]).alias("content"), (c["start_line"] + first(c)).alias("start_line"), (c["start_line"] + first(c) + newlines(trimmed(c["content"]))).alias("end_line"))), lambda c: c["content"] != "")
+    lead_of = lambda c: newlines(F.regexp_extract(c["content"], f"^[{SPACE}]*", 0)) - c["content"].startswith("\n").cast("int")
+    one = lambda c: let(F.struct(trimmed(c["content"]).alias("t"), (c["start_line"] + lead_of(c)).alias("line")), lambda x: F.struct(x["t"].alias("content"), x["line"].alias("start_line"), (x["line"] + newlines(x["t"])).alias("end_line")))
+    cut = F.filter(F.transform(pieces, one), lambda c: c["content"] != "")
     return F.when(body == "", F.array().cast("array<struct<content:string,start_line:int,end_line:int>>")).when(nonwhite_bytes(text) <= sizes.syntax_size, whole).otherwise(add_overlap(cut, sizes.syntax_overlap))
 
 
@@ -111,5 +113,6 @@ def chunk_files(files: DataFrame, path: str = "path", content: str = "content",
 
 def chunk_rows(chunked: DataFrame, *keys: str) -> DataFrame:
     """A row for each chunk: keys, language, strategy, chunk_index, content, start_line, end_line."""
-    rows = chunked.select(*keys, "language", "strategy", F.posexplode("chunks").alias("chunk_index", "_c"))
+    # An inner explode would have Spark work the chunks out twice, for a filter on their number first.
+    rows = chunked.select(*keys, "language", "strategy", F.posexplode_outer("chunks").alias("chunk_index", "_c")).where("_c is not null")
     return rows.select(*keys, "language", "strategy", "chunk_index", "_c.content", "_c.start_line", "_c.end_line")

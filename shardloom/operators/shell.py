@@ -8,6 +8,8 @@ Whatever isn't a literal is null with resolvable false.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -262,32 +264,65 @@ def writes(parsed: DataFrame) -> DataFrame:
     return _resolved(out.unionByName(argument))
 
 
+# docker's flags that take a value of their own.
+DOCKER_VALUES = ("-e", "-v", "-w", "-u", "-p", "--env", "--volume", "--workdir", "--user", "--name")
+
+
+def _operand(args: Column, program: Column) -> Column:
+    """(index, given): place of the first operand behind leading flags, or -1; whether one of those flags supplies the program.
+
+    -i inplace is a pair for awk; docker's value flags and its subcommand are passed over with their values.
+    """
+    state = lambda i, skip, at, given: F.struct(i.alias("i"), skip.alias("skip"), at.alias("at"), given.alias("given"))
+    docker, inplace = program == "docker", F.lit(False)
+
+    def step(a: Column, x: Column) -> Column:
+        t, here = x["text"], F.get(args, a["i"] + 1)["text"]
+        pair = (docker & t.isin(*DOCKER_VALUES) & here.isNotNull()) | (program.isin("awk", "gawk") & (t == "-i") & (F.coalesce(here, F.lit("")) == "inplace"))
+        supplied = (program.isin("awk", "gawk", "sed") & (t == "-f")) | ((program == "sed") & (t == "-e"))
+        return (
+            F.when(a["at"] >= 0, state(a["i"] + 1, inplace, a["at"], a["given"]))
+            .when(a["skip"] | (docker & (a["i"] == 0)), state(a["i"] + 1, inplace, a["at"], a["given"]))
+            .when(t.startswith("-"), state(a["i"] + 1, pair, a["at"], a["given"] | supplied))
+            .otherwise(state(a["i"] + 1, inplace, a["i"], a["given"]))
+        )
+
+    return F.aggregate(args, state(F.lit(0), F.lit(False), F.lit(-1), F.lit(False)), step, lambda a: F.struct(a["at"].alias("index"), a["given"].alias("given")))
+
+
 def regions(lines: DataFrame, parsed: DataFrame) -> DataFrame:
-    """cmd_id, command_index, lang, text, new_scope: programs embedded in commands, and heredocs (command_index null)."""
+    """cmd_id, command_index, lang, text, new_scope: programs embedded in commands, and heredocs (command_index null).
+
+    Flags are told by their text. A program or a command word that isn't a literal gives no region;
+    what xargs and parallel run ends before the first word that isn't one.
+    """
     value = lambda a: F.coalesce(a["value"], F.lit(""))
-    plain = F.filter("args", lambda a: ~value(a).startswith("-"))
-    taken = _scan(F.col("argv0"), F.col("args"))
-    region = lambda lang, text, scope=False: F.struct(F.lit(lang).alias("lang"), text.alias("text"), F.lit(scope).alias("new_scope"))
+    plain = F.filter("args", lambda a: ~a["text"].startswith("-"))
+    region = lambda lang, text, scope=True: F.struct(F.lit(lang).alias("lang"), text.alias("text"), F.lit(scope).alias("new_scope"))
+    words = lambda found: F.when((F.size(found) > 0) & F.forall(found, lambda a: a["resolvable"]), F.array_join(F.transform(found, lambda a: a["value"]), " "))
     made = F.lit(None).cast("struct<lang:string,text:string,new_scope:boolean>")
-    for program, flag, lang in PROGRAM_FLAGS:
-        at = F.array_position(F.transform("args", value), F.lit(flag)).cast("int")
+    for program, flag, lang in reversed(PROGRAM_FLAGS):  # the first flag that fits is tried last, and wins
+        at = F.array_position(F.transform("args", lambda a: a["text"]), F.lit(flag)).cast("int")
         code = F.when(at > 0, F.get("args", at)["value"])
-        made = F.when((F.col("argv0") == program) & code.isNotNull(), region(lang, code, lang == "shell")).otherwise(made)
-    tail = lambda n: F.array_join(F.transform(F.slice(plain, F.lit(n), F.size(plain)), lambda a: a["value"]), " ")
-    made = F.when((F.col("argv0") == "ssh") & (F.size(plain) > 0), region("shell", F.element_at(F.concat(plain, plain), -1)["value"], True)).otherwise(made)
-    begin = F.array_position(F.transform("args", lambda a: value(a).startswith("-")), F.lit(False)).cast("int")
-    joined = F.array_join(F.transform(F.slice("args", F.greatest(begin, F.lit(1)), F.size("args")), value), " ")
-    made = F.when(F.col("argv0").isin("xargs", "parallel") & (begin > 0), region("shell", joined)).otherwise(made)
-    exec_at = F.array_position(F.transform("args", lambda a: value(a).isin("-exec", "-execdir")), F.lit(True)).cast("int")
-    body = lambda e: F.aggregate(F.slice("args", e + 1, F.size("args")), F.struct(F.array().cast("array<string>").alias("w"), F.lit(False).alias("end")), lambda a, x: F.struct(
-        F.when(a["end"] | value(x).isin(";", r"\;", "+", "{}"), a["w"]).otherwise(F.array_append(a["w"], value(x))).alias("w"), (a["end"] | value(x).isin(";", r"\;", "+")).alias("end")), lambda a: F.array_join(a["w"], " "))
-    made = F.when((F.col("argv0") == "find") & (exec_at > 0), region("shell", body(F.greatest(exec_at, F.lit(1))))).otherwise(made)
-    made = F.when((F.col("argv0") == "docker") & (F.get(plain, F.lit(0))["value"].isin("run", "exec")) & (F.size(plain) > 2), region("shell", tail(3), True)).otherwise(made)
+        made = F.when((F.col("argv0") == program) & code.isNotNull(), region(lang, code)).otherwise(made)
+    made = F.when((F.col("argv0") == "ssh") & (F.size(plain) > 0), region("shell", F.element_at(F.concat(plain, plain), -1)["value"])).otherwise(made)
+    begin = F.array_position(F.transform("args", lambda a: a["text"].startswith("-")), F.lit(False)).cast("int")
+    rest = F.slice("args", F.greatest(begin, F.lit(1)), F.size("args"))
+    stop = F.array_position(F.transform(rest, lambda a: a["resolvable"]), F.lit(False)).cast("int")
+    made = F.when(F.col("argv0").isin("xargs", "parallel") & (begin > 0), region("shell", words(F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest)), False)).otherwise(made)
+    exec_at = F.array_position(F.transform("args", lambda a: a["text"].isin("-exec", "-execdir")), F.lit(True)).cast("int")
+    behind = F.slice("args", F.greatest(exec_at, F.lit(1)) + 1, F.size("args"))
+    end = F.array_position(F.transform(behind, lambda a: a["text"].isin(";", r"\;", "+")), F.lit(True)).cast("int")
+    body = F.filter(F.when(end > 0, F.slice(behind, F.lit(1), end - 1)).otherwise(behind), lambda a: a["text"] != "{}")
+    made = F.when((F.col("argv0") == "find") & (exec_at > 0), region("shell", words(body), False)).otherwise(made)
+    found = _operand(F.col("args"), F.col("argv0"))
+    inside = let(found, lambda f: F.when(f["index"] > 0, words(F.slice("args", f["index"] + 2, F.size("args")))))
+    made = F.when((F.col("argv0") == "docker") & F.get("args", F.lit(0))["value"].isin("run", "exec"), region("shell", inside)).otherwise(made)
     made = F.when((F.col("argv0") == "sqlite3") & (F.size(plain) > 1), region("sql", F.get(plain, F.lit(1))["value"])).otherwise(made)
-    for program, lang in (("awk", "awk"), ("gawk", "awk"), ("jq", "jq"), ("sed", "sed")):
-        supplied = F.exists("args", lambda a: F.array_contains(_lookup(EXPRESSION_FLAGS, F.lit(program)), value(a)))
-        first = F.filter(plain, lambda a: value(a) != "inplace")
-        made = F.when((F.col("argv0") == program) & ~supplied & (F.size(first) > 0), region(lang, F.get(first, F.lit(0))["value"])).otherwise(made)
+    made = F.when((F.col("argv0") == "jq") & (F.size(plain) > 0), region("jq", F.get(plain, F.lit(0))["value"])).otherwise(made)
+    for program, lang in (("awk", "awk"), ("gawk", "awk"), ("sed", "sed")):
+        code = let(found, lambda f: F.when((f["index"] >= 0) & ~f["given"], F.get("args", f["index"])["value"]))
+        made = F.when(F.col("argv0") == program, region(lang, code)).otherwise(made)
     inner = parsed.withColumn("_r", made).where("_r.text is not null").select("cmd_id", "command_index", "_r.lang", "_r.text", "_r.new_scope")
     whole = lines.where("command is not null").select("cmd_id", F.regexp_extract_all("command", F.lit(HEREDOC), F.lit(4)).alias("_b"), F.regexp_extract_all("command", F.lit(r"(?m)([^\s;|&]+)[^\n;|&]*<<-?[ \t]*['\"]?\w+"), F.lit(1)).alias("_c"))
     lang = lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in HEREDOC_READERS.items() for x in kv]), base_name(c)), F.lit("opaque"))
@@ -320,19 +355,23 @@ def effective_cwd(parsed: DataFrame, places: DataFrame) -> DataFrame:
     return places.join(spans, "cmd_id", "left").select(*places.columns, F.when(F.col("_s").isNotNull(), found["cwd"]).alias("cwd"))
 
 
-def nested(lines: DataFrame, depth: int = 5) -> list[tuple[DataFrame, DataFrame]]:
+def nested(lines: DataFrame, depth: int = 5, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[tuple[DataFrame, DataFrame]]:
     """(lines, parsed) of each level: level 0 is lines, each next one the shell regions of the one before.
 
+    `cut` is applied to the lines of each level below: give DataFrame.checkpoint beyond two levels, as a
+    level's plan holds that of the one before several times.
+
     Regions get the id of their line, "/" and their number; their directory is that of their command.
     """
     out, level = [], lines
-    for i in range(depth - 1):
+    for i in range(depth):
         parsed = decompose(level)
         out.append((level, parsed))
-        if i == depth - 2:
+        if i == depth - 1:
             break
         found = regions(level, parsed).where("lang = 'shell'").join(parsed.select("cmd_id", "command_index", "cwd"), ["cmd_id", "command_index"], "left")
         number = F.row_number().over(Window.partitionBy("cmd_id").orderBy(F.col("command_index").asc_nulls_last(), "text"))
         bases = level.select("cmd_id", "base_cwd", "home")
         level = found.withColumn("_n", number).join(bases, "cmd_id").select(F.concat_ws("/", F.col("cmd_id").cast("string"), F.col("_n").cast("string")).alias("cmd_id"), F.col("text").alias("command"), F.coalesce("cwd", "base_cwd").alias("base_cwd"), "home")
+        level = cut(level)
     return out

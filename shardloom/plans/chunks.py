@@ -33,7 +33,8 @@ def nonwhite_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(60), F.lit(7))).alias("byte_offset"))
+    """Every seventh byte offset of every text."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.octet_length("text").cast("int"), F.lit(7))).alias("byte_offset"))
     return rows.select("doc_id", "byte_offset", text.align_up(F.col("text"), F.col("byte_offset")).alias("up"), text.align_down(F.col("text"), F.col("byte_offset")).alias("down"))
 
 
@@ -167,10 +168,11 @@ SQL = {
     "language_for_path": f"WITH {_FILES} SELECT doc_id, path, language FROM l",
     "grammar_supported": f"WITH {_FILES} SELECT doc_id, language, {_HAS} AS has_grammar FROM l",
     "nonwhite_bytes": f"SELECT doc_id, CAST(strlen(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS INTEGER) AS n_bytes, CAST(CASE WHEN text = '' THEN 0 ELSE {_NL.format('text')} + 1 END AS INTEGER) AS n_lines FROM documents",
-    "byte_alignment": """WITH d AS (SELECT doc_id, text, unnest(range(0, 61, 7)) AS o FROM documents),
-s AS (SELECT doc_id, o, strlen(text) AS n, unnest(range(least(length(text), 61) + 1)) AS k, text FROM d),
-b AS (SELECT doc_id, o, n, strlen(left(text, k)) AS e FROM s)
-SELECT doc_id, CAST(o AS INTEGER) AS byte_offset, CAST(min(e) FILTER (WHERE e >= least(o, n)) AS INTEGER) AS up, CAST(max(e) FILTER (WHERE e <= least(o, n)) AS INTEGER) AS down FROM b GROUP BY doc_id, o""",
+    "byte_alignment": """WITH d AS (SELECT doc_id, unnest(range(0, strlen(text) + 1, 7)) AS o FROM documents),
+c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS c, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS k FROM documents WHERE text <> ''),
+b AS (SELECT doc_id, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM c UNION ALL SELECT doc_id, 0 FROM documents WHERE text IS NOT NULL)
+SELECT d.doc_id, CAST(o AS INTEGER) AS byte_offset, CAST(u.e AS INTEGER) AS up, CAST(w.e AS INTEGER) AS down
+FROM d ASOF JOIN b u ON d.doc_id = u.doc_id AND d.o <= u.e ASOF JOIN b w ON d.doc_id = w.doc_id AND d.o >= w.e""",
     "split_lines": f"SELECT doc_id, CAST(generate_subscripts({_keep('text', chr(10))}, 1) - 1 AS INTEGER) AS piece_index, unnest({_keep('text', chr(10))}) AS piece FROM documents",
     "merged_lines": f"WITH p AS (SELECT doc_id, {_merge(_keep('text', chr(10)), 500)} AS cs FROM documents WHERE text <> '') SELECT doc_id, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS piece_index, unnest(cs) AS piece FROM p",
     "separator_chains": f"""WITH {_FILES} SELECT doc_id, CAST(CASE language {' '.join(f"WHEN '{v}' THEN {len(chain_for(v))}" for v in sorted(set(EXTENSIONS.values())))} ELSE 4 END AS INTEGER) AS n_separators,

@@ -65,8 +65,8 @@ def shell_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shell_nested_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths that embedded shell programs read, by line."""
-    level = shell.nested(lines(spark, sf_dir), 3)[1][1]
+    """Paths that embedded shell programs read, by line: one level below the line."""
+    level = shell.nested(lines(spark, sf_dir), 2)[1][1]
     return shell.reads(level).where("resolvable").select(F.element_at(F.split("cmd_id", "/"), 1).cast("long").alias("cmd_id"), "path")
 
 
@@ -122,7 +122,7 @@ SQL = {
     "shell_writes": _expected("argv0, path, origin", "(9, 'sed', '/w/file.txt', 'argument'), (10, 'echo', '/tmp/log', 'redirect'), (18, 'git', '/repo/wt/out.txt', 'redirect'), (19, 'tee', '/w/out.txt', 'argument'), (20, 'patch', '/w/f.txt', 'argument')",
                               "argv0, path, true AS resolvable, origin"),
     "shell_assignments": _expected("name, value, scope", "(14, 'E', '/repo/src', 0), (15, 'E', '/repo/src', 1), (16, 'E', NULL, 0)", "name, x.value, x.value IS NOT NULL AS resolvable, CAST(scope AS INTEGER) AS scope_id"),
-    "shell_regions": _expected("lang, text, scope", "(2, 'opaque', 'grep secret file', false), (8, 'shell', 'cd /x && grep y .', true), (9, 'sed', 's/a/b/', false), (21, 'shell', 'grep TOKEN ~/.config/x', true), (17, 'jq', 'a', false)", "lang, text, scope AS new_scope"),
+    "shell_regions": _expected("lang, text, scope", "(2, 'opaque', 'grep secret file', false), (8, 'shell', 'cd /x && grep y .', true), (9, 'sed', 's/a/b/', true), (21, 'shell', 'grep TOKEN ~/.config/x', true), (17, 'jq', 'a', true)", "lang, text, scope AS new_scope"),
     "shell_nested_reads": _expected("path", "(8, '/x'), (21, '/home/u/.config/x')", "path"),
     "effective_cwd_at": f"WITH x(k, cwd) AS (VALUES (0, '/start'), (1, '/start'), (2, '/w'), (3, '/repo'), (4, '/w'), (5, '/w'), (6, '/work'), (7, '/start'), (8, '/w'), (9, '/w'), (10, '/w'), (11, '/w'), (12, NULL), (13, '/a'), (14, '/work'), (15, '/work'), (16, '/work'), (17, '/repo'), (18, '/base'), (19, '/w'), (20, '/w'), (21, '/w')) SELECT event_id AS cmd_id, cwd FROM events JOIN x ON event_id % {_N} = k",
     "command_kind": "WITH k(i, program, kind) AS (VALUES " + ", ".join(f"({i}, '{p}', '{k}')" for i, (p, k) in enumerate([*languages.KIND_OF.items(), ("nope", "unknown")])) + f") SELECT event_id, program, kind FROM events JOIN k ON event_id % {len(languages.KIND_OF) + 1} = i",

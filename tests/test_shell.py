@@ -87,3 +87,21 @@ def test_child_commands(spark):
     assert {r.command for r in lines.collect()} == {"rg P /repo", "grep TODO /repo/x.go"}
     keyed = lines.withColumn("cmd_id", F.monotonically_increasing_id())
     assert {(r.argv0, r.path) for r in shell.reads(shell.decompose(keyed)).collect()} == {("rg", "/repo"), ("grep", "/repo/x.go")}
+
+
+REGIONS = [
+    ("docker run -it --rm -v /a:/b -e X=1 img grep -rn X .", ("shell", "grep -rn X .", True)), ("docker run -v a:b img ls", ("shell", "ls", True)), ("docker exec box sh -c ls", ("shell", "sh -c ls", True)),
+    ('docker run img cat "$F"', None), ("docker run img", None), ("docker build .", None), ("docker run -w", None),
+    ("xargs -0 grep -l TODO", ("shell", "grep -l TODO", False)), ('xargs grep x "$F" y', ("shell", "grep x", False)), ('xargs "$CMD" x', None),
+    ("find . -name x -exec grep -n TODO {} +", ("shell", "grep -n TODO", False)), (r"find . -exec cat {} \;", ("shell", "cat", False)), ('find . -exec "$CMD" {} +', None),
+    ("sqlite3 -csv a.db 'select 1'", ("sql", "select 1", True)), ("sqlite3 a.db", None), ("awk -i inplace '{print}' f", ("awk", "{print}", True)), ("awk -f p.awk f", None), ("awk '{x}' -f", ("awk", "{x}", True)),
+    ("sed -n 's/a/b/p' f", ("sed", "s/a/b/p", True)), ("sed -e 's/a/b/' f", None), ("jq -r '.a' f", ("jq", ".a", True)), ('jq "$Q" f', None),
+    ("node -p 1 -e 2", ("javascript", "2", True)), ("python -c 'print(1)'", ("python", "print(1)", True)), ('bash -c "$X"', None), ("perl -e 'print'", ("perl", "print", True)),
+]
+
+
+def test_regions(spark):
+    df = spark.createDataFrame([(i, c, "/w", "/home/u") for i, (c, _) in enumerate(REGIONS)], "cmd_id int, command string, base_cwd string, home string")
+    got = {r.cmd_id: (r.lang, r.text, r.new_scope) for r in shell.regions(df, shell.decompose(df)).collect()}
+    for i, (c, want) in enumerate(REGIONS):
+        assert got.get(i) == want, c
