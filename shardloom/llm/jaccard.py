@@ -267,11 +267,10 @@ def _search(chosen: DataFrame, lists: DataFrame, sets: DataFrame, num: int, den:
             for row in each([batch]):
                 if (own := (row["group"], row["sub"])) != now:
                     now, index = own, Index(num, den)
-                keys = expand(row["shared"], np.uint64).tolist()
                 if row["query"]:
-                    out += index.links(keys, row)
+                    out += index.links(row)
                 else:
-                    index.add(keys, row)
+                    index.add(row)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["node", "other"])
 
     return rows.select(*place, "most", "root", "shared").mapInArrow(tidied(run), "node long, other long")
@@ -287,27 +286,27 @@ class Index:
         self.joined: list[int] = []
         self.owner: dict[int, int] = {}  # a hub of each root's region
 
-    def add(self, keys: list[int], row: dict) -> None:
+    def add(self, row: dict) -> None:
         own = len(self.order)
-        for k in keys:
+        for k in expand(row["shared"], np.uint64).tolist():
             self.lists.setdefault(k, []).append(own)
         self.order.append((row["n"], row["node"]))
         self.joined.append(self.owner.setdefault(row["root"], own))
 
-    def links(self, keys: list[int], row: dict) -> list[tuple[int, int]]:
+    def links(self, row: dict) -> list[tuple[int, int]]:
         """Links of a query with the regions of all smaller hubs that it is linked to and not joined with yet: each pair of a list is looked at once."""
         n, node = row["n"], row["node"]
         lo = bisect_left(self.order, (-(-self.num * n // self.den),))
         hi = min(bisect_left(self.order, (n, node)), bisect_right(self.order, (row["most"], math.inf)))
         if lo >= hi:
             return []
-        lists = [x for k in keys if (x := self.lists.get(k))]
-        least = required(n, self.order[lo][0], self.num, self.den)
-        if len(lists) < least:
-            return []
         mine = self.owner.get(row["root"])
         if mine is not None and all(_top(self.joined, i) == _top(self.joined, mine) for i in range(lo, hi)):
             return []
+        lists = [x for k in expand(row["shared"], np.uint64).tolist() if (x := self.lists.get(k))]
+        least = required(n, self.order[lo][0], self.num, self.den)
+        if len(lists) < least:
+            return []
         if lo or hi < len(self.order):
             lists = [x for x in (x[bisect_left(x, lo) : bisect_left(x, hi)] for x in lists) if x]
         got = [i for i, times in divide_skip(lists, least) if times >= required(n, self.order[i][0], self.num, self.den)]
