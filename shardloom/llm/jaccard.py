@@ -66,22 +66,50 @@ def required(a: int, b: int, num: int = 75, den: int = 100) -> int:
     return -(-num * (a + b) // (num + den))
 
 
-def divide_skip(lists: list[list[int]], least: int, cost: float = 0.01) -> list[tuple[int, int]]:
-    """(id, occurrences) of the ids in at least `least` of the ascending lists.
+def divide_skip(lists: list, least: int, ids: int = 1 << 30) -> list[tuple[int, int]]:
+    """(id, occurrences) of the ids in at least `least` of the ascending lists, ascending; ids: how many there are at most.
 
     The longest lists are left out of the merge: with l of them, an id must stand in least - l of the
-    others; only such ids are looked up in the long ones.
+    others; only such ids are looked up in the long ones, all of them at once in each.
     """
     if least < 1 or len(lists) < least:
         return []
     lists = sorted(lists, key=len)
-    longest = len(lists[-1])
-    skip = min(least - 1, int(least / (cost * math.log2(longest + 1) + 1)) if longest > 1 else 0)
-    while skip and len(lists[-skip]) < 2:
-        skip -= 1
+    skip = _left_out(np.array([len(x) for x in lists]), least, ids)
     short, long = lists[: len(lists) - skip], lists[len(lists) - skip :]
-    need, at = least - skip, [0] * len(short)
-    heads = [(x[0], k) for k, x in enumerate(short) if x]
+    short = [x.tolist() if isinstance(x, np.ndarray) else x for x in short]
+    out = _merge(short, least - skip)
+    if not skip or not out:
+        return out
+    found, times = (np.array(x, np.int64) for x in zip(*out))
+    for i, more in enumerate(long):
+        if i % 8 == 0:
+            able = times + (skip - i) >= least
+            if not able.all():
+                found, times = found[able], times[able]
+                if not len(found):
+                    return []
+        more = np.asarray(more)
+        times += more.take(np.searchsorted(more, found), mode="clip") == found
+    able = times >= least
+    return list(zip(found[able].tolist(), times[able].tolist()))
+
+
+def _left_out(sizes: np.ndarray, least: int, ids: int) -> int:
+    """How many of the longest lists to look up instead of merging: what should cost least.
+
+    A merged entry costs about as much as a hundred lookups; a list that is looked in, three entries.
+    """
+    skip = np.arange(least)
+    merged = np.cumsum(sizes)[len(sizes) - 1 - skip]
+    asked = np.minimum(merged // (least - skip), ids)
+    return int(np.argmin(merged + skip * (3 + asked / 100)))
+
+
+def _merge(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
+    """(id, occurrences) of the ids in at least `need` of the ascending lists, by a heap of their heads."""
+    at = [0] * len(lists)
+    heads = [(x[0], k) for k, x in enumerate(lists) if x]
     heapq.heapify(heads)
     out = []
     while len(heads) >= need:
@@ -98,19 +126,10 @@ def divide_skip(lists: list[list[int]], least: int, cost: float = 0.01) -> list[
                 break
             ahead = heads[0][0]
         for k in popped:
-            at[k] = bisect_left(short[k], ahead, at[k])
-            if at[k] < len(short[k]):
-                heapq.heappush(heads, (short[k][at[k]], k))
-    found = []
-    for x, times in out:
-        for i, more in enumerate(long):
-            if times + len(long) - i < least:
-                break
-            at = bisect_left(more, x)
-            times += at < len(more) and more[at] == x
-        if times >= least:
-            found.append((x, times))
-    return found
+            at[k] = bisect_left(lists[k], ahead, at[k])
+            if at[k] < len(lists[k]):
+                heapq.heappush(heads, (lists[k][at[k]], k))
+    return out
 
 
 INFO = "doc_id long, mark long, n_shingles long, node long, most long, prefix array<bigint>, shared binary"
@@ -277,55 +296,65 @@ def _search(chosen: DataFrame, lists: DataFrame, sets: DataFrame, num: int, den:
 
 
 class Index:
-    """An inverted index of hubs, added by size and node, and what is joined so far."""
+    """An inverted index of hubs, added by size and node before the first query, and what is joined so far."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.lists: dict[int, list[int]] = {}
         self.order: list[tuple[int, int]] = []
-        self.joined: list[int] = []
         self.owner: dict[int, int] = {}  # a hub of each root's region
+        self.first: list[int] = []  # the region of each hub
+        self.frozen: tuple[dict[int, np.ndarray], np.ndarray] | None = None
 
     def add(self, row: dict) -> None:
         own = len(self.order)
         for k in expand(row["shared"], np.uint64).tolist():
             self.lists.setdefault(k, []).append(own)
         self.order.append((row["n"], row["node"]))
-        self.joined.append(self.owner.setdefault(row["root"], own))
+        self.first.append(self.owner.setdefault(row["root"], own))
 
     def links(self, row: dict) -> list[tuple[int, int]]:
-        """Links of a query with the regions of all smaller hubs that it is linked to and not joined with yet: each pair of a list is looked at once."""
+        """Links of a query with the regions of all smaller hubs that it is linked to and not joined with yet.
+
+        Each pair of a list is looked at once; hubs that are joined with the query leave the lists before the search.
+        """
+        if self.frozen is None:
+            self.frozen = {k: np.array(x) for k, x in self.lists.items()}, np.array(self.first)
+        arrays, region = self.frozen
         n, node = row["n"], row["node"]
         lo = bisect_left(self.order, (-(-self.num * n // self.den),))
         hi = min(bisect_left(self.order, (n, node)), bisect_right(self.order, (row["most"], math.inf)))
         if lo >= hi:
             return []
         mine = self.owner.get(row["root"])
-        if mine is not None and all(_top(self.joined, i) == _top(self.joined, mine) for i in range(lo, hi)):
+        mine = None if mine is None else int(region[mine])
+        fit = np.zeros(len(region), bool)
+        fit[lo:hi] = True if mine is None else region[lo:hi] != mine
+        if not fit.any():
             return []
-        lists = [x for k in expand(row["shared"], np.uint64).tolist() if (x := self.lists.get(k))]
+        lists = [x for k in expand(row["shared"], np.uint64).tolist() if (x := arrays.get(k)) is not None]
         least = required(n, self.order[lo][0], self.num, self.den)
         if len(lists) < least:
             return []
-        if lo or hi < len(self.order):
-            lists = [x for x in (x[bisect_left(x, lo) : bisect_left(x, hi)] for x in lists) if x]
-        got = [i for i, times in divide_skip(lists, least) if times >= required(n, self.order[i][0], self.num, self.den)]
-        tops = sorted({_top(self.joined, i) for i in got} - ({_top(self.joined, mine)} if mine is not None else set()))
-        if not tops:
+        if not fit.all():
+            lists = _only(lists, fit)
+        got = [i for i, times in divide_skip(lists, least, int(fit.sum())) if times >= required(n, self.order[i][0], self.num, self.den)]
+        tops = np.unique(region[got])
+        if not len(tops):
             return []
-        out = [(node, self.order[i][1]) for i in tops]
-        first = _top(self.joined, mine) if mine is not None else tops[0]
-        for i in tops:
-            self.joined[i] = first
+        first = int(tops[0]) if mine is None else mine
+        region[np.isin(region, tops)] = first
         self.owner[row["root"]] = first
-        return out
+        return [(node, self.order[i][1]) for i in tops.tolist()]
 
 
-def _top(root: list[int], i: int) -> int:
-    while root[i] != i:
-        root[i] = root[root[i]]
-        i = root[i]
-    return i
+def _only(lists: list[np.ndarray], fit: np.ndarray) -> list[np.ndarray]:
+    """What of each list fits; lists that are empty then are left out."""
+    flat = np.concatenate(lists)
+    kept = fit[flat]
+    ends = np.searchsorted(np.flatnonzero(kept), np.cumsum([len(x) for x in lists])).tolist()
+    flat = flat[kept]
+    return [flat[a:b] for a, b in zip([0, *ends], ends) if a < b]
 
 
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
