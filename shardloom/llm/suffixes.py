@@ -1,19 +1,22 @@
-"""Suffix-array dedup: q-gram buckets, refined by the bucket numbers of later offsets.
-
-A suffix's bucket at depth 200 follows from buckets at depth q: (bucket of the suffix, bucket of the
-suffix q' bytes on) names the first q' + q bytes. Refined buckets are used again in the next step, and
-a suffix that is alone in its bucket leaves the search. Bucket numbers are 64-bit hashes of what the
-bucket's suffixes begin with, so equal beginnings get equal numbers on every machine.
-
-Not every byte is sorted at first. Anchors are q-grams whose smallest s-gram stands at their start or
-end: being one depends on the q-gram alone, and LENGTH bytes always hold one. Steps:
-
-1. Anchors' q-gram buckets, and the buckets of pairs (anchor, next anchor, distance), which name all
-   bytes from one anchor to the end of the next. Their sizes come from an exchange.
-2. Windows of LENGTH bytes. With an anchor alone in its bucket a window is unique. If every pair that
-   it touches is as large as its anchors' buckets, all that share the anchor share the window. Only the
-   others, at the ends of repeats, have their own bucket number, (q-gram at its start, q-gram at its
-   end), counted in a second exchange.
+"""Suffix-array dedup by bucket-pointer refinement: q-gram buckets, refined by the bucket numbers of later offsets.
+
+A suffix's bucket at depth 2q follows from two bucket numbers at depth q: its own, and that of the suffix
+q bytes on. Each level asks only for the suffixes that still share their bucket: their refined numbers
+are sorted together (`counts`, on the machine that holds the range of the number), which says how large
+each new bucket is. A suffix alone in its bucket leaves; the numbers of the others are used again, by
+themselves and by the suffixes that point to them, at the next level. Bucket numbers are 64-bit hashes
+of what the bucket's suffixes begin with, so equal beginnings get equal numbers on every machine.
+
+Not every suffix is sorted from the start. Anchors are suffixes whose q-gram has its smallest s-gram at
+its start or end: being one depends on the q-gram alone, and LENGTH bytes always hold some. Levels:
+
+1. Anchors at depth q.
+2. Anchors that share their bucket, at depth 2q, by the bucket q bytes on.
+3. Anchors that still do, by the bucket of the next anchor, if that one is shared too: it names all bytes
+   from one anchor to the end of the next. A bucket as large as before has not been split.
+4. Windows of LENGTH bytes. With an anchor alone in its bucket a window is unique. If no bucket was split
+   at its anchors, all that share the anchor share the window. Only the others, at the ends of repeats,
+   get a number of their own: the bucket at their start refined by that LENGTH - 2q bytes on.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from .blocks import Block, answer, answers_of, ask, buckets_for, counts, covered
 from .common import BYTE, pair, rolling, shared_dir, stored, table, tidied
 
 LENGTH = 200
-Q = 104  # 2 * Q >= LENGTH; anchors are at most Q - S bytes apart
-S = 16
+LEAST = 16  # shorter lengths hold no anchor for sure
+S = 16  # bytes of an s-gram; anchors are at most q - S bytes apart
 TWIST = np.uint64(0x5851F42D4C957F2D)  # keeps buckets of pairs apart from those of anchors
 
 
@@ -44,73 +47,92 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (k - width)], x[k - width :]) if width < k else x
 
 
-class Anchors:
-    """q-gram buckets of all places in a block, and the anchors among them.
+class Suffixes:
+    """Suffixes of a block: bucket numbers at depth q (everywhere) and 2q (where asked for), and the anchors among them."""
 
-    `inside` is true where a q-gram starts and ends in one text.
-    """
-
-    def __init__(self, block: Block, length: int = LENGTH, q: int = Q, s: int = S):
-        self.length, self.q, self.block = length, q, block
+    def __init__(self, block: Block, length: int = LENGTH):
+        self.length, self.block = length, block
+        self.q = q = -(-length // 4)  # two buckets at depth 2q cover a window
+        s = min(S, q // 3)
         value = BYTE[block.body]
         n = len(block.body)
         self.grams = rolling(value, q)
         doc = np.repeat(np.arange(len(block.at) - 1), np.diff(block.at))
-        self.doc = doc
-        m = len(self.grams)
-        small = rolling(value, s)
+        m = max(0, n - 2 * q + 1)
         if m:
-            least = sliding_min(small, q - s + 1)
-            self.inside = doc[:m] == doc[q - 1 :]
-            picked = self.inside & ((least == small[:m]) | (least == small[q - s :]))
+            small = rolling(value, s)
+            least = sliding_min(small, q - s + 1)[:m]
+            picked = (doc[:m] == doc[2 * q - 1 :]) & ((least == small[:m]) | (least == small[q - s :][:m]))
         else:
-            self.inside = picked = np.zeros(0, bool)
+            picked = np.zeros(0, bool)
         self.at = np.flatnonzero(picked)
-        self.first = self.grams[self.at]
-        self.next = np.flatnonzero(doc[self.at[:-1]] == doc[self.at[1:]]) if len(self.at) > 1 else np.zeros(0, np.int64)  # anchors with a next one
-        gap = (self.at[self.next + 1] - self.at[self.next]).astype(np.uint64)
-        self.pairs = pair(pair(self.first[self.next], self.first[self.next + 1]), gap ^ TWIST)
+        self.near = doc[self.at[:-1]] == doc[self.at[1:]] if len(self.at) > 1 else np.zeros(0, bool)  # anchor i + 1 is in the text of i
         starts = max(0, n - length + 1)
         self.windows = doc[:starts] == doc[length - 1 :] if starts else np.zeros(0, bool)
-
-    def keys(self) -> np.ndarray:
-        return np.concatenate([self.first, self.pairs])
-
-    def open_windows(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start of each window that is repeated for sure, start of each that needs a bucket of its own).
-
-        sizes: bucket sizes in the order of keys().
-        """
-        w = len(self.windows)
-        if not w or not len(self.at):
+        self.own = np.full(len(self.at), 2, np.int64)  # sizes of the anchors' buckets, as far as known
+        self.link = np.zeros(len(self.at) + 1, np.int64)  # link[i + 1]: of anchor i and the next
+
+    def refined(self, places: np.ndarray) -> np.ndarray:
+        """Bucket numbers at depth 2q: that at depth q, and that of the suffix q bytes on."""
+        return pair(self.grams[places], self.grams[places + self.q])
+
+    def shared(self) -> np.ndarray:
+        """Anchors that aren't alone in their bucket."""
+        return np.flatnonzero(self.own > 1)
+
+    def linked(self) -> np.ndarray:
+        """Anchors that aren't alone, nor is the next one."""
+        return np.flatnonzero(self.near & (self.own[:-1] > 1) & (self.own[1:] > 1)) if len(self.at) > 1 else np.zeros(0, np.int64)
+
+    def keys(self, level: int) -> np.ndarray:
+        """Bucket numbers that this level asks about; those before must be told."""
+        if level == 0:
+            return self.grams[self.at]
+        if level == 1:
+            return self.refined(self.at[self.shared()])
+        if level == 2:
+            i = self.linked()
+            gap = (self.at[i + 1] - self.at[i]).astype(np.uint64)
+            return pair(pair(self.refined(self.at[i]), self.refined(self.at[i + 1])), gap ^ TWIST)
+        _, unsure = self.open_windows()
+        return pair(self.refined(unsure), self.refined(unsure + self.length - 2 * self.q))
+
+    def tell(self, level: int, sizes: np.ndarray) -> None:
+        """sizes: of the buckets of keys(level), in their order."""
+        if level == 0:
+            self.own = sizes
+        elif level == 1:
+            self.own[self.shared()] = sizes
+        elif level == 2:
+            self.link[1:-1][self.near] = 1  # an end that is alone leaves the pair alone
+            self.link[self.linked() + 1] = sizes
+
+    def open_windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(start of each window that is repeated for sure, start of each that needs a bucket of its own)."""
+        own, link = self.own, self.link
+        if not len(self.windows) or not len(self.at):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        own, link = sizes[: len(self.at)], np.zeros(len(self.at) + 1, np.int64)  # link[i + 1]: of anchor i and the next
-        link[self.next + 1] = sizes[len(self.at) :]
         left, right = link[:-1] == own, link[1:] == own  # all in the bucket go on alike
         alone = np.concatenate([[0], np.cumsum(own == 1)])
         cut = np.concatenate([[0], np.cumsum(link == 1)])  # link[i] joins anchors i - 1 and i
         uneven = np.concatenate([[0], np.cumsum(~(left & right))])
         starts = np.flatnonzero(self.windows)
         j = np.searchsorted(self.at, starts)  # first anchor in the window
-        k = np.searchsorted(self.at, starts + self.length - self.q, "right")  # behind the last
-        held = k > j
-        starts, j, k = starts[held], j[held], k[held]
-        shared = (alone[k] == alone[j]) & (cut[np.maximum(k, j + 1)] == cut[j + 1])
+        k = np.searchsorted(self.at, starts + self.length - 2 * self.q, "right")  # behind the last
+        shared = (k > j) & (alone[k] == alone[j]) & (cut[np.maximum(k, j + 1)] == cut[j + 1])
         starts, j, k = starts[shared], j[shared], k[shared]
         # even: every anchor inside agrees on both sides, so the first anchor's bucket is the window's
         even = uneven[k] == uneven[j]
         return starts[even], starts[~even]
 
-    def window_keys(self, starts: np.ndarray) -> np.ndarray:
-        """Buckets at depth `length`: that of the q-gram, refined by that of the q-gram at the end."""
-        return pair(self.grams[starts], self.grams[starts + self.length - self.q])
-
 
 def removed(block: Block, starts: np.ndarray, length: int) -> np.ndarray:
     """Which bytes windows of `length` from these starts cover."""
     return covered(len(block.body), starts, length)
 
 
+SHARES = (0.06, 0.06, 0.06, 0.4)  # keys of each level for a byte of text, at most about
+WINDOWS = len(SHARES) - 1
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -119,47 +141,48 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_i
 
     Texts are UTF-8; null is empty. Strings don't cross rows, may overlap, and are judged on the input.
     Rows that repeat an id are texts of their own. `kept` (the bytes left) is null unless asked for.
-    Columns other than the two named don't matter.
+    Columns other than the two named don't matter. length: LEAST or more.
     """
-    spark = docs.sparkSession
-    q, folder = max(S + 1, -(-length // 2) + 4), shared_dir(spark)
+    if length < LEAST:
+        raise ValueError(f"length {length} is under {LEAST}")
+    folder = shared_dir(docs.sparkSession)
     packed = stored(pack(docs, doc_id, text), folder, "packed")
     total = packed.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    reply = lambda keys, facts: counts(keys, facts[0]).clip(0, 2**31 - 1).astype(np.uint32)
 
-    def sizes(rows: DataFrame, keys_of, share: float) -> DataFrame:
-        """Each key's number of places; sizes are compared, so they are whole."""
-        n = buckets_for(3 * total * share)  # text is about three times as long as its packed form
-        reply = lambda keys, facts: counts(keys, facts[0]).clip(0, 2**31 - 1).astype(np.uint32)
-        return answer(ask(rows, keys_of, n), [np.uint32], reply, n)
-
-    def first(block: Block, row: dict):
-        keys, _, times = distinct(Anchors(block, length, q).keys())
-        return keys, [times.astype(np.uint32)]
+    def told(block: Block, row: dict, levels: int) -> Suffixes:
+        own = Suffixes(block, length)
+        for level in range(levels):
+            own.tell(level, _sizes(own, row, level))
+        return own
 
-    def second(block: Block, row: dict):
-        own = Anchors(block, length, q)
-        _, unsure = own.open_windows(sizes_of(own, row))
-        keys, _, times = distinct(own.window_keys(unsure))
-        return keys, [times.astype(np.uint32)]
+    def asking(level: int):
+        def keys_of(block: Block, row: dict):
+            keys, _, times = distinct(told(block, row, level).keys(level))
+            return keys, [times.astype(np.uint32)]
 
-    def sizes_of(own: Anchors, row: dict) -> np.ndarray:
-        _, place, _ = distinct(own.keys())
-        return answers_of(row["answers"], np.uint32)[place].astype(np.int64)
+        return keys_of
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each(batches):
             block = Block.of(row)
-            own = Anchors(block, length, q)
-            sure, unsure = own.open_windows(sizes_of(own, row))
-            _, place, _ = distinct(own.window_keys(unsure))
-            twice = answers_of(row["more"], np.uint32)[place] > 1 if len(unsure) else np.zeros(0, bool)
+            own = told(block, row, WINDOWS)
+            sure, unsure = own.open_windows()
+            twice = _sizes(own, row, WINDOWS) > 1
             yield _result(block, removed(block, np.concatenate([sure, unsure[twice]]), length), with_kept)
 
-    anchored = sizes(packed, first, 0.08)
-    once = stored(anchored, folder, "anchors")
-    both = packed.join(once, "block", "left")
-    more = stored(sizes(both, second, 0.4).withColumnRenamed("answers", "more"), folder, "windows")
-    return both.join(more, "block", "left").mapInArrow(tidied(last), RESULT)
+    rows = packed
+    for level, share in enumerate(SHARES):
+        n = buckets_for(3 * total * share)  # text is about three times as long as its packed form
+        sizes = answer(ask(rows, asking(level), n), [np.uint32], reply, n)
+        rows = rows.join(stored(sizes.withColumnRenamed("answers", f"level{level}"), folder, f"level{level}"), "block", "left")
+    return rows.mapInArrow(tidied(last), RESULT)
+
+
+def _sizes(own: Suffixes, row: dict, level: int) -> np.ndarray:
+    """What the buckets answered to keys(level), in its order."""
+    _, place, _ = distinct(own.keys(level))
+    return answers_of(row[f"level{level}"], np.uint32)[place].astype(np.int64) if len(place) else np.zeros(0, np.int64)
 
 
 def _result(block: Block, gone: np.ndarray, with_kept: bool) -> pa.RecordBatch:
@@ -178,4 +201,5 @@ def _result(block: Block, gone: np.ndarray, with_kept: bool) -> pa.RecordBatch:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_substrings of documents, without the bytes left: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return dedup_substrings(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")

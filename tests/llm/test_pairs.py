@@ -7,10 +7,11 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shardloom.llm import decontaminate, jaccard, substrings, suffixes, topk, urls
+from shardloom.llm import blocks, decontaminate, jaccard, substrings, suffixes, topk, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,6 +56,39 @@ def test_suffixes(spark, docs):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("length", [16, 17, 40, 333])
+def test_suffix_levels(length):
+    """Levels of refinement over small alphabets, as a bucket would answer them, against a brute count of all strings."""
+    rnd = random.Random(length)
+    for letters in (b"ab", b"abcdefgh", bytes(range(97, 123))):
+        base = [bytes(rnd.choice(letters) for _ in range(rnd.randrange(0, 6 * length))) for _ in range(4)]
+        raw = [*base, b"", b"x" * (3 * length), base[0], b"ab" * length]
+        raw += [x[rnd.randrange(len(x) + 1) :] + y[: rnd.randrange(len(y) + 1)] for x, y in (rnd.sample(base, 2) for _ in range(6))]
+        parts = []
+        for texts in (raw[:5], raw[5:9], raw[9:]):
+            at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            block = blocks.Block(np.arange(len(texts)), np.zeros(len(texts), bool), np.frombuffer(b"".join(texts), np.uint8), at)
+            parts.append(suffixes.Suffixes(block, length))
+        for level in range(suffixes.WINDOWS + 1):
+            keys = [p.keys(level) for p in parts]
+            n = Counter(np.concatenate(keys).tolist())
+            sizes = [np.array([n[k] for k in own.tolist()], np.int64) for own in keys]
+            for p, size in zip(parts, sizes):
+                p.tell(level, size)
+        seen = Counter(t[s : s + length] for t in raw for s in range(len(t) - length + 1))
+        got = []
+        for p, size in zip(parts, sizes):
+            sure, unsure = p.open_windows()
+            gone = suffixes.removed(p.block, np.concatenate([sure, unsure[size > 1]]), length)
+            got += [gone[a:b].tolist() for a, b in zip(p.block.at[:-1], p.block.at[1:])]
+        for t, gone in zip(raw, got):
+            want = [False] * len(t)
+            for s in range(len(t) - length + 1):
+                if seen[t[s : s + length]] > 1:
+                    want[s : s + length] = [True] * length
+            assert gone == want
+
+
 def test_substrings(spark, docs):
     rows = [r for r in docs if r[0] is not None and r[0] != 507]  # ids of their own: which of equals is first is then settled
     words = {i: (t or "").split() for i, t in rows}
