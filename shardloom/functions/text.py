@@ -68,6 +68,11 @@ def merge_adjacent(pieces: Column, size: int, measure: Callable[[Column], Column
     return F.transform(_joined(measured, F.lit(0), size), lambda p: p["t"])
 
 
+def hard_split(text: Column, size: int) -> Column:
+    """Pieces of at most `size` bytes, as long as whole characters allow; a longer character is a piece of its own."""
+    return merge_adjacent(split_keep(text, F.lit("")), size)
+
+
 PIECES = "array<struct<t:string,b:int,m:int>>"  # text, level of the separator that it begins with, measure
 
 

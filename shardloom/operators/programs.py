@@ -6,10 +6,13 @@ drops the call. There is no data flow here; what passes through variables is not
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import glob_prefix_dir, resolve_path
+from ..functions.text import let
 
 Q = r"""('[^'\\\n]*'|"[^"\\$#{\n]*")"""  # one literal string
 PQ = r"""("[^"\\$@\n]*")"""  # one literal string of Perl
@@ -54,6 +57,22 @@ FORMS = [
 LANGUAGES = tuple(dict.fromkeys(f[0] for f in FORMS))
 
 
+# Names that are taken out of fs: "read", "read: alias", "read as alias", between braces. Group 1 is what stands there.
+FS_NAMES = (
+    r"(?:const|let|var)\s*\{([^{}]*)\}\s*=\s*require\(\s*['\"]fs(?:/promises)?['\"]\s*\)",
+    r"import\s*\{([^{}]*)\}\s*from\s*['\"]fs(?:/promises)?['\"]",
+)
+
+
+def with_receivers(text: Column) -> Column:
+    """A javascript program whose calls of names taken out of fs are written as calls of fs."""
+    taken = F.flatten(F.transform(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in FS_NAMES])), lambda x: F.split(x, ",")))
+    part = lambda x, i: F.regexp_extract(x, r"^\s*(\w+)\s*(?:(?::|\bas\b)\s*(\w+)\s*)?$", i)
+    names = F.transform(taken, lambda x: F.struct(part(x, 1).alias("name"), F.when(part(x, 2) != "", part(x, 2)).otherwise(part(x, 1)).alias("alias")))
+    put = lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<![\w.$])"), n["alias"], F.lit(r"\(")), F.concat(F.lit("fs."), n["name"], F.lit("(")))
+    return F.aggregate(F.filter(names, lambda n: n["name"] != ""), text, put)
+
+
 def _matches(text: Column, access: str, glob: bool, pattern: str) -> Column:
     """Paths of one form: array of (access, raw, path)."""
     bare = "()(" in pattern
@@ -94,17 +113,18 @@ def child_lines(programs: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "command", "base_cwd", "home")
 
 
-def program_files(programs: DataFrame, *keys: str) -> DataFrame:
+def program_files(programs: DataFrame, *keys: str, forms: Sequence[tuple[str, str, bool, str]] = FORMS) -> DataFrame:
     """keys, lang, access (read or write), path, resolvable, raw for programs (keys, lang, text, cwd, home).
 
     Every language has its own forms; programs in other languages, null and empty ones have no rows.
-    `.output off` in SQL writes to /dev/null. The same path is reported once a program and access.
+    `.output off` in SQL writes to /dev/null. The same path is reported once a program and access. forms:
+    what counts as a call, for these languages or further ones; give [*FORMS, ...] to add some.
     """
     programs = programs.withColumn("text", with_arguments(F.col("text"), F.col("argv"))) if "argv" in programs.columns else programs
     found = None
-    for lang in LANGUAGES:
-        forms = [_matches(F.col("text"), *form[1:]) for form in FORMS if form[0] == lang]
-        arrays = F.array_distinct(F.flatten(F.array(*forms)))
+    for lang in dict.fromkeys(f[0] for f in forms):
+        text = with_receivers(F.col("text")) if lang == "javascript" else F.col("text")
+        arrays = let(text, lambda t: F.array_distinct(F.flatten(F.array(*[_matches(t, *form[1:]) for form in forms if form[0] == lang]))))  # noqa: B023
         found = F.when(F.col("lang") == lang, arrays) if found is None else found.when(F.col("lang") == lang, arrays)
     rows = programs.select(*keys, "lang", "cwd", "home", F.explode(found).alias("_m")).where("_m.raw <> ''")
     path = F.when((F.col("lang") == "sql") & (F.col("_m.path") == "off"), F.lit("/dev/null")).otherwise(resolve_path(F.col("_m.path"), F.col("cwd"), F.col("home")))

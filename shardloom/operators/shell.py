@@ -62,7 +62,9 @@ def tokens(lines: DataFrame) -> DataFrame:
     """cmd_id, command, base_cwd, home to tokens: cmd_id, base_cwd, home, pos, token, start_byte, scope_id, closes, command, role.
 
     scope_id numbers subshells in order, 0 outside; closes is the place where the scope ends; command
-    numbers commands; role is word, redirect, target or separator. Blank tokens and comments are dropped.
+    numbers commands; role is word, redirect, target or separator; stage counts the pipes before it in its
+    pipeline, whose bytes are from pipeline_start up to pipeline_end (0 and 0 where no pipe is; a subshell
+    has pipelines of its own). Blank tokens are dropped.
     """
     bare = F.regexp_replace(F.col("command"), HEREDOC, "<< $2$3")  # bodies are regions of their own
     cut = lines.where("command is not null").select("cmd_id", "base_cwd", "home", F.posexplode(F.regexp_extract_all(bare, F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
@@ -83,7 +85,23 @@ def tokens(lines: DataFrame) -> DataFrame:
     # A descriptor copy such as 2>&1 has its target in the same token.
     copies = F.col("_before").rlike("[0-9-]$")
     role = F.when(F.col("_sep"), F.lit("separator")).when(F.col("_redirect"), F.lit("redirect")).when(F.coalesce(F.col("_after"), F.lit(False)) & ~copies, F.lit("target")).otherwise(F.lit("word"))
-    return dark.select("cmd_id", "base_cwd", "home", "pos", "token", "start_byte", "depth", "scope_id", "closes", "command", role.alias("role"))
+    dark = dark.withColumn("role", role).withColumn("end_byte", F.col("start_byte") + F.octet_length("token"))
+    # A pipeline lies between two breaks of its own scope.
+    before_it, pipe = F.lag("token").over(line), F.col("token").isin("|", "|&")
+    led = F.col("token").isin(*RESERVED) & (before_it.isNull() | before_it.isin(*SEPARATORS, *RESERVED))
+    ends = Window.partitionBy("cmd_id")
+    dark = dark.withColumns({"_break": (F.col("_sep") & ~pipe) | led, "_pipe": pipe, "_next": F.lead("start_byte").over(line), "_last": F.lag("end_byte").over(line), "_least": F.min("start_byte").over(ends), "_most": F.max("end_byte").over(ends)})
+    scope = Window.partitionBy("cmd_id", "scope_id").orderBy("pos")
+    so_far, still = scope.rowsBetween(Window.unboundedPreceding, 0), scope.rowsBetween(0, Window.unboundedFollowing)
+    edge = lambda c: F.when(F.col("_break"), F.col(c))
+    dark = dark.withColumns({"_run": F.sum(F.col("_break").cast("int")).over(so_far), "_from": F.coalesce(F.last(edge("_next"), ignorenulls=True).over(so_far), "_least"), "_to": F.coalesce(F.first(edge("_last"), ignorenulls=True).over(still), "_most")})
+    run = Window.partitionBy("cmd_id", "scope_id", "_run")
+    piped = F.max(F.col("_pipe")).over(run)
+    stage = F.sum(F.col("_pipe").cast("int")).over(run.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return dark.select(
+        "cmd_id", "base_cwd", "home", "pos", "token", "start_byte", "end_byte", "depth", "scope_id", "closes", "command", "role",
+        stage.alias("stage"), F.when(piped, F.col("_from")).otherwise(F.lit(0)).alias("pipeline_start"), F.when(piped, F.col("_to")).otherwise(F.lit(0)).alias("pipeline_end"),
+    )
 
 
 def _strip(words: Column) -> Column:
@@ -121,7 +139,8 @@ def decompose(lines: DataFrame) -> DataFrame:
 
     cmd_id, command_index, start_byte, scope_id, argv0, kind, args (array of text, value, resolvable,
     kind), cwd, cwd_resolvable, redirects (array of op, text, value), assigns (array of name, value,
-    resolvable; only of commands that are nothing else), home. Null and blank lines have no commands.
+    resolvable; only of commands that are nothing else), home, end_byte, stage, pipeline_start_byte,
+    pipeline_end_byte. Null and blank lines have no commands.
     A line's whole work is bounded by its length; lines are never compared.
     """
     own = tokens(lines)
@@ -129,7 +148,7 @@ def decompose(lines: DataFrame) -> DataFrame:
     rows = own.groupBy("cmd_id", "base_cwd", "home", "command").agg(
         F.min(F.when(F.col("role") != "separator", F.col("start_byte"))).alias("start_byte"), F.max(F.when(F.col("role") != "separator", F.col("pos"))).alias("pos"),
         F.max(F.when(F.col("role") != "separator", F.col("scope_id"))).alias("scope_id"), F.max(F.when(F.col("role") != "separator", F.col("closes"))).alias("closes"),
-        F.array_sort(F.collect_list(F.when(F.col("role") != "separator", item))).alias("_t"),
+        F.array_sort(F.collect_list(F.when(F.col("role") != "separator", item))).alias("_t"), *[F.max(F.when(F.col("role") != "separator", F.col(c))).alias(c) for c in ("end_byte", "stage", "pipeline_start", "pipeline_end")],
     )
     rows = rows.where(F.size("_t") > 0)
     words = F.transform(F.filter("_t", lambda t: t["role"] == "word"), lambda t: t["token"])
@@ -172,6 +191,7 @@ def decompose(lines: DataFrame) -> DataFrame:
         args.alias("args"), F.when(F.col("_cwd.ok"), F.nullif(F.col("_cwd.c"), F.lit(""))).alias("cwd"), F.col("_cwd.ok").alias("cwd_resolvable"),
         F.transform("_redirects", lambda r: F.struct(r["op"].alias("op"), r["text"].alias("text"), value(r["text"]).alias("value"))).alias("redirects"),
         F.transform("_assigns", lambda a: F.struct(a["name"].alias("name"), a["value"].alias("value"), a["value"].isNotNull().alias("resolvable"))).alias("assigns"), "home",
+        F.col("end_byte").cast("long").alias("end_byte"), F.col("stage").cast("int").alias("stage"), F.col("pipeline_start").cast("long").alias("pipeline_start_byte"), F.col("pipeline_end").cast("long").alias("pipeline_end_byte"),
     )
 
 
@@ -184,6 +204,25 @@ def assignments(parsed: DataFrame) -> DataFrame:
     return parsed.select("cmd_id", "command_index", "scope_id", F.posexplode("assigns").alias("assign_index", "_a")).select("cmd_id", "command_index", "scope_id", "assign_index", "_a.name", "_a.value", "_a.resolvable")
 
 
+def resolve_word(parsed: DataFrame, words: DataFrame) -> DataFrame:
+    """words (cmd_id, text, scope_id, byte) with value: what a word that is just a variable stands for at a byte.
+
+    The last assignment of that name in the same scope that ends at or before the byte; null where there
+    is none, where it is no literal, or where the word is something else.
+    """
+    events = parsed.where(F.size("assigns") > 0).groupBy("cmd_id").agg(F.array_sort(F.collect_list(F.struct("end_byte", "scope_id", "assigns"))).alias("_e"))
+    past = lambda e: (e["scope_id"] == F.col("scope_id")) & (e["end_byte"] <= F.col("byte"))
+    plain = lambda a: F.struct(F.lit(0).alias("pos"), F.lit(FAR).alias("closes"), a["name"].alias("name"), a["value"].alias("value"))
+    seen = F.flatten(F.transform(F.filter("_e", past), lambda e: F.transform(e["assigns"], plain)))
+    value = F.when(F.col("text").rlike(r'^"?\$'), _expanded(F.col("text"), F.lit(1), F.col("_seen")))
+    return words.join(events, "cmd_id", "left").withColumn("_seen", seen).select(*words.columns, value.alias("value"))
+
+
+def opaque(lines: DataFrame) -> DataFrame:
+    """cmd_id, opaque: whether a line is null or blank, so that nothing can be said of it."""
+    return lines.select("cmd_id", F.coalesce(F.col("command").rlike(r"^\s*$"), F.lit(True)).alias("opaque"))
+
+
 def _scan(program: Column, args: Column) -> Column:
     """Operands that a reading program takes as paths: array of (text, value), by its flags' arity."""
     values, supply, joined = _lookup(VALUE_FLAGS, program), _lookup(EXPRESSION_FLAGS, program), _lookup(JOINED_FLAGS, program)
@@ -290,15 +329,18 @@ def _operand(args: Column, program: Column) -> Column:
     return F.aggregate(args, state(F.lit(0), F.lit(False), F.lit(-1), F.lit(False)), step, lambda a: F.struct(a["at"].alias("index"), a["given"].alias("given")))
 
 
-def regions(lines: DataFrame, parsed: DataFrame) -> DataFrame:
+def region(lang: str, text: Column, new_scope: bool = True) -> Column:
+    return F.struct(F.lit(lang).alias("lang"), text.alias("text"), F.lit(new_scope).alias("new_scope"))
+
+
+def regions(lines: DataFrame, parsed: DataFrame, own: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """cmd_id, command_index, lang, text, new_scope: programs embedded in commands, and heredocs (command_index null).
 
     Flags are told by their text. A program or a command word that isn't a literal gives no region;
-    what xargs and parallel run ends before the first word that isn't one.
+    what xargs and parallel run ends before the first word that isn't one. `own` holds rules for further
+    programs, or in place of those here: from the array of arguments to a `region` (or null).
     """
-    value = lambda a: F.coalesce(a["value"], F.lit(""))
     plain = F.filter("args", lambda a: ~a["text"].startswith("-"))
-    region = lambda lang, text, scope=True: F.struct(F.lit(lang).alias("lang"), text.alias("text"), F.lit(scope).alias("new_scope"))
     words = lambda found: F.when((F.size(found) > 0) & F.forall(found, lambda a: a["resolvable"]), F.array_join(F.transform(found, lambda a: a["value"]), " "))
     made = F.lit(None).cast("struct<lang:string,text:string,new_scope:boolean>")
     for program, flag, lang in reversed(PROGRAM_FLAGS):  # the first flag that fits is tried last, and wins
@@ -323,6 +365,8 @@ def regions(lines: DataFrame, parsed: DataFrame) -> DataFrame:
     for program, lang in (("awk", "awk"), ("gawk", "awk"), ("sed", "sed")):
         code = let(found, lambda f: F.when((f["index"] >= 0) & ~f["given"], F.get("args", f["index"])["value"]))
         made = F.when(F.col("argv0") == program, region(lang, code)).otherwise(made)
+    for program, rule in (own or {}).items():
+        made = F.when(F.col("argv0") == program, rule(F.col("args"))).otherwise(made)
     inner = parsed.withColumn("_r", made).where("_r.text is not null").select("cmd_id", "command_index", "_r.lang", "_r.text", "_r.new_scope")
     whole = lines.where("command is not null").select("cmd_id", F.regexp_extract_all("command", F.lit(HEREDOC), F.lit(4)).alias("_b"), F.regexp_extract_all("command", F.lit(r"(?m)([^\s;|&]+)[^\n;|&]*<<-?[ \t]*['\"]?\w+"), F.lit(1)).alias("_c"))
     lang = lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in HEREDOC_READERS.items() for x in kv]), base_name(c)), F.lit("opaque"))

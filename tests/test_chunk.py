@@ -109,3 +109,16 @@ def test_plan_has_no_shuffle_and_no_python(spark):
 
 def test_unknown_language_has_the_default_chain():
     assert chain_for("nope") == chain_for(None) == ["\n\n", "\n", " ", ""]
+
+
+def test_hard_split(spark):
+    for text, size in (("aé😀b" * 7, 5), ("😀😀", 3), ("", 4), ("abc", 1)):
+        raw, want, at = text.encode(), [], 0
+        while at < len(raw):
+            end = min(at + size, len(raw))
+            while end < len(raw) and raw[end] & 0xC0 == 0x80:
+                end -= 1
+            end = end if end > at else at + len(raw[at:].decode()[0].encode())
+            want.append(raw[at:end].decode())
+            at = end
+        assert spark.range(1).select(T.hard_split(F.lit(text), size)).first()[0] == want

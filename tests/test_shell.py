@@ -6,7 +6,7 @@ import pytest
 
 from shardloom.functions import paths as P
 from shardloom.operators import shell
-from shardloom.operators.programs import child_lines, program_files
+from shardloom.operators.programs import FORMS, child_lines, program_files
 from pyspark.sql import functions as F
 
 LINES = [
@@ -105,3 +105,47 @@ def test_regions(spark):
     got = {r.cmd_id: (r.lang, r.text, r.new_scope) for r in shell.regions(df, shell.decompose(df)).collect()}
     for i, (c, want) in enumerate(REGIONS):
         assert got.get(i) == want, c
+
+
+def test_stages_and_pipelines(spark):
+    lines = ["cat f | grep x |& wc -l", "a; b | c && d", "if a; then b | c; fi", "x | (p; q | r) | y", "one"]
+    want = {
+        0: [("cat", 0, 0, 23), ("grep", 1, 0, 23), ("wc", 2, 0, 23)], 1: [("a", 0, 0, 0), ("b", 0, 3, 8), ("c", 1, 3, 8), ("d", 0, 0, 0)],
+        2: [("a", 0, 0, 0), ("b", 0, 11, 16), ("c", 1, 11, 16)], 3: [("x", 0, 0, 18), ("p", 0, 0, 0), ("q", 0, 8, 13), ("r", 1, 8, 13), ("y", 2, 0, 18)], 4: [("one", 0, 0, 0)],
+    }
+    df = spark.createDataFrame([(i, c, "/w", "/home/u") for i, c in enumerate(lines)], "cmd_id int, command string, base_cwd string, home string")
+    got = {i: [] for i in want}
+    for r in shell.decompose(df).orderBy("cmd_id", "command_index").collect():
+        if r.argv0:
+            got[r.cmd_id].append((r.argv0, r.stage, r.pipeline_start_byte, r.pipeline_end_byte))
+    assert got == want
+
+
+def test_resolve_word(spark):
+    df = spark.createDataFrame([(1, "A=/x; A=/y; ( A=/z; ls ); B=$(pwd); ls", "/w", "/home/u"), (2, None, "/w", "/home/u"), (3, " ", "/w", "/home/u")], "cmd_id int, command string, base_cwd string, home string")
+    words = [(1, "$A", 0, 4, "/x"), (1, '"${A}"', 0, 3, None), (1, "$A", 0, 30, "/y"), (1, "$A", 1, 30, "/z"), (1, "$B", 0, 99, None), (1, "plain", 0, 99, None), (1, "$A/q", 0, 99, None), (2, "$A", 0, 9, None)]
+    asked = spark.createDataFrame(words, "cmd_id int, text string, scope_id int, byte int, want string")
+    assert [r.text for r in shell.resolve_word(shell.decompose(df), asked).collect() if r.value != r.want] == []
+    assert {r.cmd_id: r.opaque for r in shell.opaque(df).collect()} == {1: False, 2: True, 3: True}
+
+
+def test_own_rules(spark):
+    df = spark.createDataFrame([(1, "duck 'select 1'", "/w", "/home/u"), (2, "jq -r .a f", "/w", "/home/u")], "cmd_id int, command string, base_cwd string, home string")
+    first = lambda args: shell.region("sql", F.get(args, F.lit(0))["value"])
+    own = {"duck": first, "jq": first}
+    assert {(r.cmd_id, r.lang, r.text) for r in shell.regions(df, shell.decompose(df), own).collect()} == {(1, "sql", "select 1"), (2, "sql", "-r")}
+    programs = spark.createDataFrame([(1, "lua", "io.lines('a')", "/w", "/h"), (2, "python", "open('b')", "/w", "/h")], "cmd_id int, lang string, text string, cwd string, home string")
+    forms = [*FORMS, ("lua", "read", False, r"io\.lines\(('[^']*')\)")]
+    assert {(r.cmd_id, r.path) for r in program_files(programs, "cmd_id", forms=forms).collect()} == {(1, "/w/a"), (2, "/w/b")}
+
+
+def test_names_taken_out_of_fs(spark):
+    texts = [
+        ("const { readFileSync: rd, writeFileSync } = require('fs'); rd('a'); writeFileSync('b', 1); x.rd('c')", {"/w/a", "/w/b"}),
+        ('import { readFile as get } from "fs/promises"; get("d"); readFile("e")', {"/w/d"}), ("const { readFileSync } = require('other'); readFileSync('f')", set()), ("fs.readFileSync('g')", {"/w/g"}),
+    ]
+    df = spark.createDataFrame([(i, "javascript", t, "/w", "/h") for i, (t, _) in enumerate(texts)], "cmd_id int, lang string, text string, cwd string, home string")
+    got = {i: set() for i in range(len(texts))}
+    for r in program_files(df, "cmd_id").collect():
+        got[r.cmd_id].add(r.path)
+    assert got == {i: want for i, (_, want) in enumerate(texts)}
