@@ -71,6 +71,7 @@ class Suffixes:
         self.windows = doc[:starts] == doc[length - 1 :] if starts else np.zeros(0, bool)
         self.own = np.full(len(self.at), 2, np.int64)  # sizes of the anchors' buckets, as far as known
         self.link = np.zeros(len(self.at) + 1, np.int64)  # link[i + 1]: of anchor i and the next
+        self.sure = self.unsure = np.zeros(0, np.int64)  # windows repeated for sure, windows to be asked about: known once links are
 
     def refined(self, places: np.ndarray) -> np.ndarray:
         """Bucket numbers at depth 2q: that at depth q, and that of the suffix q bytes on."""
@@ -94,8 +95,7 @@ class Suffixes:
             i = self.linked()
             gap = (self.at[i + 1] - self.at[i]).astype(np.uint64)
             return pair(pair(self.refined(self.at[i]), self.refined(self.at[i + 1])), gap ^ TWIST)
-        _, unsure = self.open_windows()
-        return pair(self.refined(unsure), self.refined(unsure + self.length - 2 * self.q))
+        return pair(self.refined(self.unsure), self.refined(self.unsure + self.length - 2 * self.q))
 
     def tell(self, level: int, sizes: np.ndarray) -> None:
         """sizes: of the buckets of keys(level), in their order."""
@@ -106,8 +106,9 @@ class Suffixes:
         elif level == 2:
             self.link[1:-1][self.near] = 1  # an end that is alone leaves the pair alone
             self.link[self.linked() + 1] = sizes
+            self.sure, self.unsure = self._open_windows()
 
-    def open_windows(self) -> tuple[np.ndarray, np.ndarray]:
+    def _open_windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(start of each window that is repeated for sure, start of each that needs a bucket of its own)."""
         own, link = self.own, self.link
         if not len(self.windows) or not len(self.at):
@@ -167,9 +168,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_i
         for row in each(batches):
             block = Block.of(row)
             own = told(block, row, WINDOWS)
-            sure, unsure = own.open_windows()
             twice = _sizes(own, row, WINDOWS) > 1
-            yield _result(block, removed(block, np.concatenate([sure, unsure[twice]]), length), with_kept)
+            yield _result(block, removed(block, np.concatenate([own.sure, own.unsure[twice]]), length), with_kept)
 
     rows = packed
     for level, share in enumerate(SHARES):
@@ -181,7 +181,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_i
 
 def _sizes(own: Suffixes, row: dict, level: int) -> np.ndarray:
     """What the buckets answered to keys(level), in its order."""
-    _, place, _ = distinct(own.keys(level))
+    _, place = np.unique(own.keys(level), return_inverse=True)
     return answers_of(row[f"level{level}"], np.uint32)[place].astype(np.int64) if len(place) else np.zeros(0, np.int64)
 
 

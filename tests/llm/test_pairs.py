@@ -78,8 +78,7 @@ def test_suffix_levels(length):
         seen = Counter(t[s : s + length] for t in raw for s in range(len(t) - length + 1))
         got = []
         for p, size in zip(parts, sizes):
-            sure, unsure = p.open_windows()
-            gone = suffixes.removed(p.block, np.concatenate([sure, unsure[size > 1]]), length)
+            gone = suffixes.removed(p.block, np.concatenate([p.sure, p.unsure[size > 1]]), length)
             got += [gone[a:b].tolist() for a, b in zip(p.block.at[:-1], p.block.at[1:])]
         for t, gone in zip(raw, got):
             want = [False] * len(t)
