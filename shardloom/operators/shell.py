@@ -250,7 +250,7 @@ def _perl_operands(args: Column) -> Column:
     """Operands that perl reads: only in a loop (-n or -p in a cluster) over a program given by a cluster that ends in e or E."""
     value = lambda a: F.coalesce(a["value"], F.lit(""))
     loops, given = F.exists(args, lambda a: value(a).rlike("^-[A-Za-z0-9]*[np][A-Za-z0-9]*$")), F.exists(args, lambda a: value(a).rlike("^-[A-Za-z0-9]*[eE]$"))
-    none = F.array().cast("array<struct<text:string,value:string>>")
+    none = F.array().cast(PATHS)
     state = lambda skip, out: F.struct(skip.alias("skip"), out.alias("out"))
     step = lambda a, x: F.when(a["skip"], state(F.lit(False), a["out"])).when(value(x).startswith("-"), state(value(x).rlike("^-[A-Za-z0-9]*[eE]$"), a["out"])).otherwise(
         state(F.lit(False), F.array_append(a["out"], F.struct(x["text"].alias("text"), x["value"].alias("value")))))
@@ -260,36 +260,40 @@ def _perl_operands(args: Column) -> Column:
 def reads(parsed: DataFrame) -> DataFrame:
     """cmd_id, command_index, origin, argv0, path, resolvable, raw: files and folders that commands read."""
     git = (F.col("argv0") == "git") & (F.get("args", F.lit(0))["value"] == "grep")
-    rows = parsed.withColumns({"argv0": F.when(git, F.lit("git grep")).otherwise(F.col("argv0")), "args": F.when(git, F.slice("args", F.lit(2), F.size("args"))).otherwise(F.col("args"))})
-    scanned = rows.where(F.col("kind").isin("read", "search") | (F.col("argv0") == "git grep")).withColumn("_paths", _scan(F.col("argv0"), F.col("args")))
-    around = F.col("argv0").isin(*SEARCH_HERE) | F.exists("args", lambda a: is_recursive_flag(F.coalesce(a["value"], F.lit(""))))
-    default = F.when(around, F.array(F.struct(F.lit(".").alias("text"), F.lit(".").alias("value")))).otherwise(F.array().cast("array<struct<text:string,value:string>>"))
-    paths = F.when(F.size("_paths") > 0, F.col("_paths")).otherwise(default)
-    argument = scanned.select("cmd_id", "command_index", F.lit("").alias("origin"), "argv0", "cwd", "cwd_resolvable", "home", F.explode(paths).alias("_p"))
-    perl = parsed.where(F.col("argv0") == "perl").select("cmd_id", "command_index", F.lit("").alias("origin"), "argv0", "cwd", "cwd_resolvable", "home", F.explode(_perl_operands(F.col("args"))).alias("_p"))
-    argument = argument.unionByName(perl)
-    redirect = parsed.select("cmd_id", "command_index", F.lit("redirect").alias("origin"), "argv0", "cwd", "cwd_resolvable", "home", F.explode("redirects").alias("_r")).where(F.col("_r.op").rlike("^[0-9]*<$") & ~F.col("_r.text").rlike(r"^[<>]\("))
-    redirect = redirect.select(*redirect.columns[:-1], F.struct(F.col("_r.text").alias("text"), F.col("_r.value").alias("value")).alias("_p"))
-    return _resolved(argument.unionByName(redirect))
-
-
-def _resolved(rows: DataFrame) -> DataFrame:
+    rows = parsed.withColumns({"_name": F.when(git, F.lit("git grep")).otherwise(F.col("argv0")), "_args": F.when(git, F.slice("args", F.lit(2), F.size("args"))).otherwise(F.col("args"))})
+    around = F.col("_name").isin(*SEARCH_HERE) | F.exists("_args", lambda a: is_recursive_flag(F.coalesce(a["value"], F.lit(""))))
+    none = F.array().cast(PATHS)
+    here = F.when(around, F.array(F.struct(F.lit(".").alias("text"), F.lit(".").alias("value")))).otherwise(none)
+    scanned = let(_scan(F.col("_name"), F.col("_args")), lambda p: F.when(F.size(p) > 0, p).otherwise(here))
+    operands = F.when(F.col("kind").isin("read", "search") | (F.col("_name") == "git grep"), scanned).when(F.col("argv0") == "perl", _perl_operands(F.col("args"))).otherwise(none)
+    given = F.filter("redirects", lambda r: r["op"].rlike("^[0-9]*<$") & ~r["text"].rlike(r"^[<>]\("))
+    return _resolved(rows, F.concat(_named(operands, "", F.col("_name")), _named(given, "redirect", F.col("argv0"))))
+
+
+PATHS = "array<struct<text:string,value:string>>"
+
+
+def _named(paths: Column, origin: str, argv0: Column) -> Column:
+    return F.transform(paths, lambda p: F.struct(F.lit(origin).alias("origin"), argv0.alias("argv0"), p["text"].alias("text"), p["value"].alias("value")))
+
+
+def _resolved(rows: DataFrame, found: Column) -> DataFrame:
+    """A row for each of `found` (origin, argv0, text, value), its path taken from the command's directory."""
+    rows = rows.select("cmd_id", "command_index", "cwd", "cwd_resolvable", "home", F.explode(found).alias("_p"))
     path = F.when(F.col("_p.value").isNotNull(), resolve_path(F.col("_p.value"), F.when(F.col("cwd_resolvable"), F.col("cwd")), F.col("home")))
     rows = rows.withColumn("path", path)
-    return rows.select("cmd_id", "command_index", "origin", "argv0", "path", F.col("path").isNotNull().alias("resolvable"), F.col("_p.text").alias("raw"))
+    return rows.select("cmd_id", "command_index", "_p.origin", "_p.argv0", "path", F.col("path").isNotNull().alias("resolvable"), F.col("_p.text").alias("raw"))
 
 
 def writes(parsed: DataFrame) -> DataFrame:
     """cmd_id, command_index, origin, argv0, path, resolvable, raw: files that commands write."""
-    key = ["cmd_id", "command_index", "argv0", "cwd", "cwd_resolvable", "home"]
-    out = parsed.select(*key, F.lit("redirect").alias("origin"), F.explode("redirects").alias("_r")).where(F.col("_r.op").rlike("^[0-9]*(?:>>?|>&|&>>?)$") & F.col("_r.text").isNotNull() & ~F.col("_r.text").rlike(r"^(?:[<>]\(|[0-9]+$|-$)"))
-    out = out.select(*key, "origin", F.struct(F.col("_r.text").alias("text"), F.col("_r.value").alias("value")).alias("_p"))
+    out = F.filter("redirects", lambda r: r["op"].rlike("^[0-9]*(?:>>?|>&|&>>?)$") & r["text"].isNotNull() & ~r["text"].rlike(r"^(?:[<>]\(|[0-9]+$|-$)"))
     pick = lambda x: F.struct(x["text"].alias("text"), x["value"].alias("value"))
     plain = F.transform(F.filter("args", lambda a: ~F.coalesce(a["value"], F.lit("")).startswith("-")), pick)
     first, last = F.get("args", F.lit(0))["value"], F.slice(plain, F.greatest(F.size(plain), F.lit(1)), F.lit(1))
     inline = F.exists("args", lambda a: F.coalesce(a["value"], F.lit("")).rlike(r"^(?:-i|-i\..*|--in-place.*)$"))
     gawk = F.aggregate("args", F.struct(F.lit("").alias("before"), F.lit(False).alias("yes")), lambda a, x: F.struct(F.coalesce(x["value"], F.lit("")).alias("before"), (a["yes"] | ((a["before"] == "-i") & (x["value"] == "inplace"))).alias("yes")), lambda a: a["yes"])
-    none = F.array().cast("array<struct<text:string,value:string>>")
+    none = F.array().cast(PATHS)
     target = (
         F.when(F.col("argv0") == "tee", plain)
         .when(F.col("argv0") == "dd", F.transform(F.filter("args", lambda a: F.coalesce(a["value"], F.lit("")).startswith("of=")), lambda a: F.struct(F.substr(a["text"], F.lit(4)).alias("text"), F.substr(a["value"], F.lit(4)).alias("value"))))
@@ -299,8 +303,7 @@ def writes(parsed: DataFrame) -> DataFrame:
         .when((F.col("argv0") == "git") & (first == "apply"), F.when(F.size(plain) > 1, last).otherwise(none))
         .otherwise(none)
     )
-    argument = parsed.select(*key, F.lit("argument").alias("origin"), F.explode(target).alias("_p"))
-    return _resolved(out.unionByName(argument))
+    return _resolved(parsed, F.concat(_named(out, "redirect", F.col("argv0")), _named(target, "argument", F.col("argv0"))))
 
 
 # docker's flags that take a value of their own.
