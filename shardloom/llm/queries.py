@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, jaccard, secrets, substrings, suffixes, topk, toxicity, urls
+from . import bpe, decontaminate, divergence, html, jaccard, secrets, substrings, suffixes, topk, toxicity, urls
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_html_extraction": html.op9_html_extraction,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }
-SQL = {"op2_exact_topk": topk.SQL, "op3_benchmark_decontamination": decontaminate.SQL, "op5_url_filters": urls.SQL, "op6_substring_dedup": substrings.SQL, "op7_ngram_jaccard": jaccard.SQL}
+SQL = {"op12_source_divergence": divergence.SQL, "op2_exact_topk": topk.SQL, "op3_benchmark_decontamination": decontaminate.SQL, "op5_url_filters": urls.SQL, "op6_substring_dedup": substrings.SQL, "op7_ngram_jaccard": jaccard.SQL}
