@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, divergence, html, jaccard, secrets, substrings, suffixes, topk, toxicity, urls
+from . import bpe, decontaminate, divergence, html, jaccard, secrets, substrings, suffixes, topk, toxicity, urls, variants, warc
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_html_extraction": html.op9_html_extraction,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_spelling_variants": variants.op11_spelling_variants,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_warc": warc.op13_warc,
 }
 SQL = {"op12_source_divergence": divergence.SQL, "op2_exact_topk": topk.SQL, "op3_benchmark_decontamination": decontaminate.SQL, "op5_url_filters": urls.SQL, "op6_substring_dedup": substrings.SQL, "op7_ngram_jaccard": jaccard.SQL}

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from shardloom.llm import divergence
+from shardloom.llm import divergence, variants
 
 CLASH = ("term", "term_id", "n", "number", "lang_", "value", "rank", "part", "item", "_of", "word", "shard")
 
@@ -72,3 +73,77 @@ def test_shares_are_exact_for_large_counts(spark):
     n, total, terms = 7_000_000_000_000_123, 9_000_000_000_000_001, 4_000_000_007
     df = spark.createDataFrame([(n, total, terms)], "n long, total long, terms long")
     assert df.select(divergence.share(F.col("n"), F.col("total"), F.col("terms"))).first()[0] == 1 + 1_000_000_000 * (n + 5) // (total + 5 * terms)
+
+
+def near_by_hand(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def variants_by_hand(rows, length=7, least=2, ratio=10, deleted=31):
+    n = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % deleted == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    n = {w: c for w, c in n.items() if len(w) >= length and c >= least}
+    near = {w: [x for x in n if near_by_hand(w, x)] for w in n}
+    form = {}
+    for w, found in near.items():
+        best = min(found, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best and n[best] >= ratio * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return sorted(out)
+
+
+def spelled(seed):
+    rnd, rows = random.Random(seed), []
+    bases = ["".join(rnd.choices("abcé", k=rnd.randrange(6, 13))) for _ in range(60)] + ["commune", "Straßenbahn", "ÀÉÎÕÜßÿ", "aaaaaaaa", "abababab", "abcdefghij" * 12]
+    for i in range(260):
+        words = []
+        for _ in range(rnd.randrange(5, 60)):
+            w = rnd.choice(bases[: rnd.choice([3, 20, len(bases)])])
+            for _ in range(rnd.choice([0, 0, 0, 1, 1, 2])):
+                at = rnd.randrange(len(w) + 1)
+                w = w[:at] + rnd.choice(["", "a", "b", "é", "X"]) + w[at + rnd.randrange(2) :]
+            words.append(w)
+        rows.append((i, rnd.choice([" ", "-", "1", "Ā", "日", " "]).join(words)))
+    return rows + [(None, "commune commune"), (900, None), (901, ""), (902, "commune " * 9000), (902, "communes " * 300), rows[0], rows[0], (903, "z" * 50_000 + " " + "z" * 50_000), (904, "z" * 50_001 + "\n" + "z" * 50_001)]
+
+
+@pytest.mark.parametrize(("hot", "shard_rows"), [(50_000, 50_000), (20, 300), (2, 4000)])
+def test_variants(spark, hot, shard_rows):
+    rows = spelled(hot)
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = variants.variants(df, hot=hot, shard_rows=shard_rows)
+    assert dict(got.dtypes) == {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"}
+    got = sorted(tuple(r) for r in got.collect())
+    assert got == variants_by_hand(rows)
+    assert sum(r[4] for r in got) > 500 and any(r[1] for r in got)
+
+
+def test_chains_of_forms_end(spark):
+    rows = [(1, " ".join(["commune"] * 100_000 + ["communes"] * 8000 + ["communest"] * 700 + ["communesto"] * 60 + ["communestor"] * 5))]
+    got = {r.word: r.root for r in variants.variants(spark.createDataFrame(rows, "doc_id long, text string"), deleted=1 << 40).collect()}
+    assert set(got.values()) == {"commune"} and len(got) == 5
+
+
+def test_variants_without_rows(spark):
+    assert variants.variants(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_variants_of_a_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(tuple(r) for r in variants.op11_spelling_variants(spark, "/root/testdata/sf0.001").collect()) == variants_by_hand(rows)
