@@ -1,14 +1,12 @@
-"""Command lines to relations: tokens, commands, assignments, directories, reads, writes, embedded programs.
+"""Command lines to relations: commands, assignments, directories, reads, writes, embedded programs.
 
-A command line is split into tokens by one pattern; scopes, pipelines and commands follow from running
-sums over a line's tokens; directories and variables are as-of lookups among the line's own events. All
-of it is DataFrame code: the only shuffle is by cmd_id, and nothing compares one line with another.
-Whatever isn't a literal is null with resolvable false.
+Every line is scanned once, in its own row (`scan`); directories and variables are as-of lookups among the line's own events. The only
+shuffle is by cmd_id, and nothing compares one line with another. Whatever isn't a literal is null with resolvable false.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,21 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.languages import command_kind
 from ..functions.paths import NAME, base_name, is_assignment, is_recursive_flag, literal_value, resolve_path, safe_unquoted
 from ..functions.text import let
-
-# One pattern for all tokens: what it leaves over is one character.
-TOKEN = "|".join((
-    r"[ \t\r]+|\\\n",  # blanks
-    r"[<>]\((?:[^()]|\([^()]*\))*\)",  # process substitutions
-    r"[0-9]*&>>|[0-9]*(?:<<<|<<-?|>>|>&|<&|&>|>\||<>|<|>)(?:&?[0-9]+(?=[\s;|&)]|$)|-(?=[\s;|&)]|$))?",  # redirections, with the descriptor they copy
-    r"&&|\|\||;;|\|&|[;|&\n()]",  # operators
-    r"""(?:'[^']*'|"(?:\\.|\$\((?:[^()]|\([^()]*\))*\)|[^"\\])*"|\$\((?:[^()]|\([^()]*\))*\)|`[^`]*`|\$\{[^}]*\}|\\.|[^\s;|&<>()'"`\\])+""",
-    r"(?s).",
-))
-HEREDOC = r"""(?s)<<-?[ \t]*(['"]?)(\w+)\1([^\n]*)\n(.*?)\n?[ \t]*\2(?=\n|$)"""
-SEPARATORS = ("&&", "||", ";", ";;", "&", "\n", "|", "|&", "(", ")")
-RESERVED = ("if", "then", "elif", "else", "fi", "for", "while", "until", "do", "done", "case", "esac", "in", "{", "}", "!", "function", "time")
-OUT = ("^[0-9]*(?:>|>>|>&|&>|&>>)$", "&>>")
-FAR = 1 << 30
+from .programs import child_lines
+from .scan import FAR, scan
 
 # Flags that take a value, flags that supply the pattern or program, and their joined forms, by program.
 VALUE_FLAGS = {
@@ -59,49 +44,16 @@ def _lookup(table: dict[str, str], program: Column) -> Column:
 
 
 def tokens(lines: DataFrame) -> DataFrame:
-    """cmd_id, command, base_cwd, home to tokens: cmd_id, base_cwd, home, pos, token, start_byte, scope_id, closes, command, role.
+    """cmd_id, command, base_cwd, home to tokens: cmd_id, base_cwd, home, command, scope_id, closes, stage, pipeline_start, pipeline_end, pos, token, role, start_byte, end_byte.
 
-    scope_id numbers subshells in order, 0 outside; closes is the place where the scope ends; command
-    numbers commands; role is word, redirect, target or separator; stage counts the pipes before it in its
-    pipeline, whose bytes are from pipeline_start up to pipeline_end (0 and 0 where no pipe is; a subshell
-    has pipelines of its own). Blank tokens are dropped.
+    command numbers what runs; scope_id numbers subshells in order, 0 outside; closes is the place where the scope ends; role is word,
+    redirect or target; stage counts the pipes before it in its pipeline, whose bytes are from pipeline_start up to pipeline_end (0 and 0
+    where no pipe is; a group has pipelines of its own). Words of control (for, do, case patterns, function names, tests) belong to
+    nothing that runs and have no rows; redirections behind a group are a command of their own, at the place where the group begins.
     """
-    bare = F.regexp_replace(F.col("command"), HEREDOC, "<< $2$3")  # bodies are regions of their own
-    cut = lines.where("command is not null").select("cmd_id", "base_cwd", "home", F.posexplode(F.regexp_extract_all(bare, F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
-    line = Window.partitionBy("cmd_id").orderBy("pos")
-    upto, before = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)
-    opens, shuts = (F.col("token") == "(").cast("int"), (F.col("token") == ")").cast("int")
-    at = cut.withColumn("start_byte", F.coalesce(F.sum(F.octet_length("token")).over(before), F.lit(0)))
-    at = at.withColumn("depth", F.sum(opens).over(upto) - F.coalesce(F.sum(shuts).over(before), F.lit(0)))
-    at = at.withColumn("_sep", F.col("token").isin(*SEPARATORS))
-    at = at.withColumn("command", F.sum(F.col("_sep").cast("int")).over(upto)).withColumn("_n", F.sum(opens).over(upto))
-    level = Window.partitionBy("cmd_id", "depth").orderBy("pos")
-    at = at.withColumn("scope_id", F.when(F.col("depth") <= 0, F.lit(0)).otherwise(F.last(F.when(F.col("token") == "(", F.col("_n")), ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, 0))))
-    at = at.withColumn("closes", F.when(F.col("depth") <= 0, F.lit(FAR)).otherwise(F.coalesce(F.first(F.when(F.col("token") == ")", F.col("pos")), ignorenulls=True).over(level.rowsBetween(0, Window.unboundedFollowing)), F.lit(FAR))))
-    dark = at.where(~F.col("token").rlike(r"^(?:[ \t\r]+|\\\n)$"))
-    inside = Window.partitionBy("cmd_id", "command").orderBy("pos")
-    redirect = F.col("token").rlike(r"^[0-9]*&?(?:<<<|<<-?|>>|>&|<&|&>|>\||<>|<|>)") & ~F.col("token").rlike(r"^[<>]\(")
-    dark = dark.withColumn("_redirect", redirect).withColumn("_before", F.lag("token").over(inside)).withColumn("_after", F.lag("_redirect").over(inside))
-    # A descriptor copy such as 2>&1 has its target in the same token.
-    copies = F.col("_before").rlike("[0-9-]$")
-    role = F.when(F.col("_sep"), F.lit("separator")).when(F.col("_redirect"), F.lit("redirect")).when(F.coalesce(F.col("_after"), F.lit(False)) & ~copies, F.lit("target")).otherwise(F.lit("word"))
-    dark = dark.withColumn("role", role).withColumn("end_byte", F.col("start_byte") + F.octet_length("token"))
-    # A pipeline lies between two breaks of its own scope.
-    before_it, pipe = F.lag("token").over(line), F.col("token").isin("|", "|&")
-    led = F.col("token").isin(*RESERVED) & (before_it.isNull() | before_it.isin(*SEPARATORS, *RESERVED))
-    ends = Window.partitionBy("cmd_id")
-    dark = dark.withColumns({"_break": (F.col("_sep") & ~pipe) | led, "_pipe": pipe, "_next": F.lead("start_byte").over(line), "_last": F.lag("end_byte").over(line), "_least": F.min("start_byte").over(ends), "_most": F.max("end_byte").over(ends)})
-    scope = Window.partitionBy("cmd_id", "scope_id").orderBy("pos")
-    so_far, still = scope.rowsBetween(Window.unboundedPreceding, 0), scope.rowsBetween(0, Window.unboundedFollowing)
-    edge = lambda c: F.when(F.col("_break"), F.col(c))
-    dark = dark.withColumns({"_run": F.sum(F.col("_break").cast("int")).over(so_far), "_from": F.coalesce(F.last(edge("_next"), ignorenulls=True).over(so_far), "_least"), "_to": F.coalesce(F.first(edge("_last"), ignorenulls=True).over(still), "_most")})
-    run = Window.partitionBy("cmd_id", "scope_id", "_run")
-    piped = F.max(F.col("_pipe")).over(run)
-    stage = F.sum(F.col("_pipe").cast("int")).over(run.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return dark.select(
-        "cmd_id", "base_cwd", "home", "pos", "token", "start_byte", "end_byte", "depth", "scope_id", "closes", "command", "role",
-        stage.alias("stage"), F.when(piped, F.col("_from")).otherwise(F.lit(0)).alias("pipeline_start"), F.when(piped, F.col("_to")).otherwise(F.lit(0)).alias("pipeline_end"),
-    )
+    rows = lines.select("cmd_id", "base_cwd", "home", F.explode(scan(F.col("command"))["commands"]).alias("_c"))
+    places = [f"_c.{c}" for c in ("command", "scope_id", "closes", "stage", "pipeline_start", "pipeline_end")]
+    return rows.select("cmd_id", "base_cwd", "home", *places, F.explode("_c.tokens").alias("_t")).select("*", "_t.*").drop("_t")
 
 
 def _strip(words: Column) -> Column:
@@ -134,28 +86,18 @@ def _expanded(word: Column, pos: Column, assigns: Column) -> Column:
     return let(word, lambda w: F.when(w.startswith("$") | w.startswith('"$'), looked_up(w)).otherwise(literal_value(w)))
 
 
-def decompose(lines: DataFrame) -> DataFrame:
+def decompose(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """A row for each command of each line (cmd_id, command, base_cwd, home).
 
     cmd_id, command_index, start_byte, scope_id, argv0, kind, args (array of text, value, resolvable,
     kind), cwd, cwd_resolvable, redirects (array of op, text, value), assigns (array of name, value,
     resolvable; only of commands that are nothing else), home, end_byte, stage, pipeline_start_byte,
-    pipeline_end_byte. Null and blank lines have no commands.
-    A line's whole work is bounded by its length; lines are never compared.
+    pipeline_end_byte, bodies (of heredocs), named (whether it runs something), base_cwd, and columns of lines to
+    `keep`. Redirections of a group, and such without a command, are rows that aren't named; they come last in a line.
+    Null, blank and broken lines have no commands. A line's whole work is bounded by its length; lines are never compared.
     """
-    own = tokens(lines)
-    item = F.struct("pos", "token", "role")
-    rows = own.groupBy("cmd_id", "base_cwd", "home", "command").agg(
-        F.min(F.when(F.col("role") != "separator", F.col("start_byte"))).alias("start_byte"), F.max(F.when(F.col("role") != "separator", F.col("pos"))).alias("pos"),
-        F.max(F.when(F.col("role") != "separator", F.col("scope_id"))).alias("scope_id"), F.max(F.when(F.col("role") != "separator", F.col("closes"))).alias("closes"),
-        F.array_sort(F.collect_list(F.when(F.col("role") != "separator", item))).alias("_t"), *[F.max(F.when(F.col("role") != "separator", F.col(c))).alias(c) for c in ("end_byte", "stage", "pipeline_start", "pipeline_end")],
-    )
-    rows = rows.where(F.size("_t") > 0)
-    words = F.transform(F.filter("_t", lambda t: t["role"] == "word"), lambda t: t["token"])
-    lead = lambda w: F.aggregate(w, F.array().cast("array<string>"), lambda a, x: F.when((F.size(a) == 0) & x.isin(*RESERVED), a).otherwise(F.array_append(a, x)))
-    rows = rows.withColumn("_w", lead(words))
-    uncommented = F.array_position(F.transform("_w", lambda w: w.startswith("#")), F.lit(True)).cast("int")
-    rows = rows.withColumn("_w", F.when(uncommented > 0, F.slice("_w", F.lit(1), uncommented - 1)).otherwise(F.col("_w")))
+    rows = lines.select("cmd_id", "base_cwd", "home", *keep, F.explode(scan(F.col("command"))["commands"]).alias("_c")).select("cmd_id", "base_cwd", "home", *keep, "_c.*").withColumnRenamed("tokens", "_t")
+    rows = rows.withColumn("_w", F.transform(F.filter("_t", lambda t: t["role"] == "word"), lambda t: t["token"]))
     prefix = F.aggregate("_w", F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a["n"] + (a["on"] & is_assignment(x)).cast("int")).alias("n"), (a["on"] & is_assignment(x)).alias("on")), lambda a: a["n"])
     rows = rows.withColumn("_n", prefix)
     target = lambda i: F.get("_t", i)
@@ -185,19 +127,21 @@ def decompose(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("_cwd", walk)
     word_kind = lambda v: F.when(v["value"].isNull(), F.lit("unresolvable")).when(v["value"].startswith("-"), F.lit("flag")).otherwise(F.lit("literal"))
     args = F.transform("_values", lambda v: F.struct(v["text"].alias("text"), v["value"].alias("value"), v["value"].isNotNull().alias("resolvable"), word_kind(v).alias("kind")))
-    order = F.row_number().over(Window.partitionBy("cmd_id").orderBy("pos")) - 1
+    rows = rows.withColumn("_named", F.size("_argv") > 0)
+    order = F.row_number().over(Window.partitionBy("cmd_id").orderBy(F.size("_w") == 0, "pos")) - 1
     return rows.select(
         "cmd_id", order.cast("int").alias("command_index"), F.col("start_byte").cast("long").alias("start_byte"), F.col("scope_id").cast("int").alias("scope_id"), "argv0", command_kind(F.col("argv0")).alias("kind"),
         args.alias("args"), F.when(F.col("_cwd.ok"), F.nullif(F.col("_cwd.c"), F.lit(""))).alias("cwd"), F.col("_cwd.ok").alias("cwd_resolvable"),
         F.transform("_redirects", lambda r: F.struct(r["op"].alias("op"), r["text"].alias("text"), value(r["text"]).alias("value"))).alias("redirects"),
         F.transform("_assigns", lambda a: F.struct(a["name"].alias("name"), a["value"].alias("value"), a["value"].isNotNull().alias("resolvable"))).alias("assigns"), "home",
         F.col("end_byte").cast("long").alias("end_byte"), F.col("stage").cast("int").alias("stage"), F.col("pipeline_start").cast("long").alias("pipeline_start_byte"), F.col("pipeline_end").cast("long").alias("pipeline_end_byte"),
+        "bodies", F.col("_named").alias("named"), "base_cwd", *keep,
     )
 
 
 def commands(parsed: DataFrame) -> DataFrame:
-    """Rows that run something: an assignment alone is none."""
-    return parsed.where(F.size("assigns") == 0).drop("assigns", "redirects", "home")
+    """Rows that run something: an assignment alone is none, nor is a redirection without a command."""
+    return parsed.where("named").drop("assigns", "redirects", "home", "bodies", "named", "base_cwd")
 
 
 def assignments(parsed: DataFrame) -> DataFrame:
@@ -219,8 +163,8 @@ def resolve_word(parsed: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def opaque(lines: DataFrame) -> DataFrame:
-    """cmd_id, opaque: whether a line is null or blank, so that nothing can be said of it."""
-    return lines.select("cmd_id", F.coalesce(F.col("command").rlike(r"^\s*$"), F.lit(True)).alias("opaque"))
+    """cmd_id, opaque: whether a line is null, blank or broken (an open quote or group, a closing word of no group), so that nothing can be said of it."""
+    return lines.select("cmd_id", scan(F.col("command"))["broken"].alias("opaque"))
 
 
 def _scan(program: Column, args: Column) -> Column:
@@ -337,12 +281,17 @@ def region(lang: str, text: Column, new_scope: bool = True) -> Column:
 
 
 def regions(lines: DataFrame, parsed: DataFrame, own: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """cmd_id, command_index, lang, text, new_scope: programs embedded in commands, and heredocs (command_index null).
+    """cmd_id, command_index, lang, text, new_scope: programs embedded in commands, and the heredocs that they are given.
 
     Flags are told by their text. A program or a command word that isn't a literal gives no region;
     what xargs and parallel run ends before the first word that isn't one. `own` holds rules for further
     programs, or in place of those here: from the array of arguments to a `region` (or null).
     """
+    return _embedded(parsed, own).select("cmd_id", "command_index", "_r.lang", "_r.text", "_r.new_scope")
+
+
+def _embedded(parsed: DataFrame, own: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """parsed with _r (lang, text, new_scope), a row for each embedded program or heredoc."""
     plain = F.filter("args", lambda a: ~a["text"].startswith("-"))
     words = lambda found: F.when((F.size(found) > 0) & F.forall(found, lambda a: a["resolvable"]), F.array_join(F.transform(found, lambda a: a["value"]), " "))
     made = F.lit(None).cast("struct<lang:string,text:string,new_scope:boolean>")
@@ -370,29 +319,38 @@ def regions(lines: DataFrame, parsed: DataFrame, own: dict[str, Callable[[Column
         made = F.when(F.col("argv0") == program, region(lang, code)).otherwise(made)
     for program, rule in (own or {}).items():
         made = F.when(F.col("argv0") == program, rule(F.col("args"))).otherwise(made)
-    inner = parsed.withColumn("_r", made).where("_r.text is not null").select("cmd_id", "command_index", "_r.lang", "_r.text", "_r.new_scope")
-    whole = lines.where("command is not null").select("cmd_id", F.regexp_extract_all("command", F.lit(HEREDOC), F.lit(4)).alias("_b"), F.regexp_extract_all("command", F.lit(r"(?m)([^\s;|&]+)[^\n;|&]*<<-?[ \t]*['\"]?\w+"), F.lit(1)).alias("_c"))
-    lang = lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in HEREDOC_READERS.items() for x in kv]), base_name(c)), F.lit("opaque"))
-    here = whole.select("cmd_id", F.lit(None).cast("int").alias("command_index"), F.explode(F.transform("_b", lambda b, i: F.struct(lang(F.coalesce(F.get("_c", i), F.lit(""))).alias("lang"), b.alias("text")))).alias("_r"))
-    return inner.unionByName(here.select("cmd_id", "command_index", "_r.lang", "_r.text", (F.col("_r.lang") == "shell").alias("new_scope")))
+    lang = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in HEREDOC_READERS.items() for x in kv]), F.col("argv0")), F.lit("opaque"))
+    heredocs = F.transform("bodies", lambda b: F.struct(lang.alias("lang"), b.alias("text"), (lang == "shell").alias("new_scope")))
+    code = let(made, lambda m: F.when(m["text"].isNotNull(), F.array(m)).otherwise(F.array().cast("array<struct<lang:string,text:string,new_scope:boolean>>")))
+    return parsed.withColumn("_r", F.explode(F.concat(code, heredocs)))
 
 
-def script_regions(parsed: DataFrame, scripts: DataFrame) -> DataFrame:
-    """cmd_id, command_index, lang, text, argv, cwd, home: python scripts that commands run, from scripts (path, content).
+def script_regions(parsed: DataFrame, scripts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """cmd_id, command_index, lang, text, argv, cwd, home, path, and columns to `keep`: python scripts that commands run, from scripts (path, content).
 
-    A script that isn't in the table has an empty text. -c and -m run no script; -W and -X take a
-    value. argv holds the operands behind the script; null where one is no literal.
+    A script that isn't in the table has an empty text. -c runs no script; -m runs a module that is a file of the directory (a.b is
+    a/b.py or a/b/__main__.py), and nothing if there is none; -W and -X take a value. argv holds the operands behind the script; null
+    where one is no literal.
     """
     value = lambda a: F.coalesce(a["value"], F.lit(""))
-    rows = parsed.where(F.col("argv0").isin("python", "python3") & ~F.exists("args", lambda a: value(a).isin("-c", "-m")))
-    state = lambda skip, out: F.struct(skip.alias("skip"), out.alias("out"))
-    step = lambda a, x: F.when(a["skip"], state(F.lit(False), a["out"])).when((F.size(a["out"]) == 0) & value(x).startswith("-"), state(value(x).isin("-W", "-X"), a["out"])).otherwise(
-        state(F.lit(False), F.array_append(a["out"], x["value"])))
-    rows = rows.withColumn("_o", F.aggregate("args", state(F.lit(False), F.array().cast("array<string>")), step, lambda a: a["out"]))
-    rows = rows.withColumn("_path", resolve_path(F.get("_o", F.lit(0)), F.when(F.col("cwd_resolvable"), F.col("cwd")), F.col("home"))).where("_path is not null")
-    files = scripts.select(F.col("path").alias("_path"), F.col("content").alias("text"))
-    argv = F.slice("_o", F.lit(2), F.size("_o"))
-    return rows.join(files, "_path", "left").select("cmd_id", "command_index", F.lit("python").alias("lang"), F.coalesce("text", F.lit("")).alias("text"), argv.alias("argv"), "cwd", "home")
+    rows = parsed.where(F.col("argv0").isin("python", "python3"))
+    state = lambda skip, module, out: F.struct(skip.alias("skip"), module.alias("module"), out.alias("out"))
+    no, none = F.lit(False), F.size
+    step = lambda a, x: F.when(a["skip"], state(no, a["module"], a["out"])).when(
+        (none(a["out"]) == 0) & ~a["module"] & value(x).startswith("-"), state(value(x).isin("-W", "-X"), value(x) == "-m", F.when(value(x) == "-c", F.array(F.lit(None).cast("string"))).otherwise(a["out"]))
+    ).otherwise(state(no, a["module"], F.array_append(a["out"], x["value"])))
+    rows = rows.withColumn("_o", F.aggregate("args", state(no, no, F.array().cast("array<string>")), step))
+    first = F.get(F.col("_o.out"), F.lit(0))
+    module = F.replace(first, F.lit("."), F.lit("/"))
+    named = F.when(~F.col("_o.module"), F.array(first)).when(first.rlike(rf"^{NAME}(?:\.{NAME})*$"), F.array(F.concat(module, F.lit(".py")), F.concat(module, F.lit("/__main__.py"))))
+    rows = rows.select("*", F.posexplode(named).alias("_turn", "_name"))
+    rows = rows.withColumn("_path", resolve_path(F.col("_name"), F.when(F.col("cwd_resolvable"), F.col("cwd")), F.col("home"))).where("_path is not null")
+    files = scripts.select(F.col("path").alias("_path"), F.col("content").alias("text"), F.lit(True).alias("_there"))
+    argv = F.slice("_o.out", F.lit(2), F.size("_o.out"))
+    found = rows.join(files, "_path", "left").where(~F.col("_o.module") | F.col("_there"))
+    turn = F.row_number().over(Window.partitionBy("cmd_id", "command_index").orderBy("_turn"))
+    found = found.withColumn("_turn", turn).where("_turn = 1")
+    return found.select("cmd_id", "command_index", F.lit("python").alias("lang"), F.coalesce("text", F.lit("")).alias("text"), argv.alias("argv"), "cwd", "home", F.col("_path").alias("path"), *keep)
 
 
 def effective_cwd(parsed: DataFrame, places: DataFrame) -> DataFrame:
@@ -405,20 +363,63 @@ def effective_cwd(parsed: DataFrame, places: DataFrame) -> DataFrame:
 def nested(lines: DataFrame, depth: int = 5, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[tuple[DataFrame, DataFrame]]:
     """(lines, parsed) of each level: level 0 is lines, each next one the shell regions of the one before.
 
-    `cut` is applied to the lines of each level below: give DataFrame.checkpoint beyond two levels, as a
-    level's plan holds that of the one before several times.
-
-    Regions get the id of their line, "/" and their number; their directory is that of their command.
+    Regions get the id of their line, "/" and their number; their directory is that of their command. `cut` is applied to the lines of
+    each level below: give one that writes them (DataFrame.checkpoint), as a level is worked out again for each one below.
     """
     out, level = [], lines
     for i in range(depth):
         parsed = decompose(level)
         out.append((level, parsed))
-        if i == depth - 1:
-            break
-        found = regions(level, parsed).where("lang = 'shell'").join(parsed.select("cmd_id", "command_index", "cwd"), ["cmd_id", "command_index"], "left")
-        number = F.row_number().over(Window.partitionBy("cmd_id").orderBy(F.col("command_index").asc_nulls_last(), "text"))
-        bases = level.select("cmd_id", "base_cwd", "home")
-        level = found.withColumn("_n", number).join(bases, "cmd_id").select(F.concat_ws("/", F.col("cmd_id").cast("string"), F.col("_n").cast("string")).alias("cmd_id"), F.col("text").alias("command"), F.coalesce("cwd", "base_cwd").alias("base_cwd"), "home")
-        level = cut(level)
+        if i < depth - 1:
+            level = cut(_inner(_embedded(parsed).where("_r.lang = 'shell'"), F.col("_r.text")))
     return out
+
+
+def _inner(found: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """Lines (cmd_id, command, base_cwd, home) out of rows of `_embedded` or programs, by number below their line."""
+    number = F.row_number().over(Window.partitionBy("cmd_id").orderBy(F.col("command_index").asc_nulls_last(), text))
+    return found.select(F.concat_ws("/", F.col("cmd_id").cast("string"), number.cast("string")).alias("cmd_id"), text.alias("command"), F.col("cwd").alias("base_cwd"), "home", *keep)
+
+
+def closure(lines: DataFrame, scripts: DataFrame | None = None, depth: int = 5, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(parsed, programs) of lines and all that they run, down to `depth`, each row with root (the id of its line) and level.
+
+    A frontier of lines a level: shell regions make lines of the next level; programs, scripts (path, content) among them, stand a level
+    below their command, and the commands that python programs run a level below those. A script that a branch has been in is not
+    entered again. programs: cmd_id, root, level, lang, text, argv, cwd, home, path (of scripts). `cut` as in `nested`.
+    """
+    keep = ["root", "been"]
+    none = F.array().cast("array<string>")
+    waiting = {0: [lines.select("cmd_id", "command", "base_cwd", "home", F.col("cmd_id").cast("string").alias("root"), none.alias("been")).withColumn("cmd_id", F.col("root"))]}
+    parsed_all, programs_all = [], []
+    for level in range(depth):
+        if level not in waiting:
+            continue
+        rows = waiting[level][0]
+        for more in waiting[level][1:]:
+            rows = rows.unionByName(more)
+        rows = cut(rows) if level else rows
+        parsed = decompose(rows, keep)
+        parsed_all.append(parsed.withColumn("level", F.lit(level)))
+        if level + 1 >= depth:
+            break
+        found = _embedded(parsed)
+        waiting.setdefault(level + 1, []).append(_inner(found.where("_r.lang = 'shell'"), F.col("_r.text"), *keep))
+        argv = F.transform(F.slice("args", F.greatest(F.array_position(F.transform("args", lambda a: a["text"]), F.lit("-c")).cast("int"), F.lit(0)) + 2, F.size("args")), lambda a: a["value"])
+        about = ["cmd_id", "command_index", "_r.lang", "_r.text", F.when(F.col("argv0").isin("python", "python3"), argv).alias("argv"), F.when(F.col("cwd_resolvable"), F.col("cwd")).alias("cwd"), "home", F.lit(None).cast("string").alias("path"), "base_cwd", *keep]
+        programs = found.where("_r.lang <> 'shell'").select(*about)
+        if scripts is not None:
+            read = script_regions(parsed, scripts, ["base_cwd", *keep]).where(~F.array_contains("been", F.col("path"))).withColumn("been", F.array_append("been", F.col("path")))
+            programs = programs.unionByName(read.select(*programs.columns))
+        programs = cut(programs)
+        programs_all.append(programs.withColumn("level", F.lit(level + 1)))
+        if level + 2 < depth:
+            children = child_lines(programs, "cmd_id", "command_index", *keep).withColumn("cwd", F.col("base_cwd")).withColumn("cmd_id", F.concat("cmd_id", F.lit("/p")))
+            waiting.setdefault(level + 2, []).append(_inner(children, F.col("command"), *keep))
+    gathered = []
+    for parts in (parsed_all, programs_all):
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        gathered.append(out.drop("been", "base_cwd", "command_index") if parts is programs_all else out.drop("been"))
+    return gathered[0], gathered[1]
