@@ -130,7 +130,7 @@ class Facts:
             folder = _folder(head.value) if isinstance(head, ast.Constant) and not self.path(node) else None
             tries += [[("dir", folder)] if folder else [], self.taint(node)]
         if any(tries):
-            self.sinks.append((access, [t for t in tries if t]))
+            self.sinks.append((access, self.source(node), [t for t in tries if t]))
 
     def call(self, node: ast.Call) -> None:
         args = [a for a in node.args if not isinstance(a, ast.Starred)]
@@ -148,7 +148,7 @@ class Facts:
         elif owner == "fileinput" and method == "input":
             for entry in first.elts if isinstance(first, ast.List) else [None]:
                 if entry is None:
-                    self.sinks.append(("read", [[("argvs", "")]]))
+                    self.sinks.append(("read", "", [[("argvs", "")]]))
                 else:
                     self.sink("read", entry)
         elif owner == "os" and method == "system":
@@ -196,11 +196,11 @@ _ORIGIN = pa.struct([("kind", pa.string()), ("value", pa.string())])
 _FACTS = pa.struct([
     ("binds", pa.list_(pa.struct([("name", pa.string()), ("origin", _ORIGIN)]))),
     ("edges", pa.list_(pa.struct([("name", pa.string()), ("origin", _ORIGIN)]))),
-    ("sinks", pa.list_(pa.struct([("access", pa.string()), ("tries", pa.list_(pa.list_(_ORIGIN)))]))),
+    ("sinks", pa.list_(pa.struct([("access", pa.string()), ("raw", pa.string()), ("tries", pa.list_(pa.list_(_ORIGIN)))]))),
     ("commands", pa.list_(pa.string())),
 ])
 _TEXT_ORIGIN = "struct<kind string, value string>"
-FACTS = f"struct<binds array<struct<name string, origin {_TEXT_ORIGIN}>>, edges array<struct<name string, origin {_TEXT_ORIGIN}>>, sinks array<struct<access string, tries array<array<{_TEXT_ORIGIN}>>>>, commands array<string>>"
+FACTS = f"struct<binds array<struct<name string, origin {_TEXT_ORIGIN}>>, edges array<struct<name string, origin {_TEXT_ORIGIN}>>, sinks array<struct<access string, raw string, tries array<array<{_TEXT_ORIGIN}>>>>, commands array<string>>"
 
 
 def read(text: str | None) -> dict:
@@ -215,7 +215,7 @@ def read(text: str | None) -> dict:
     return {
         "binds": [{"name": n, "origin": origin(o)} for _, n, o in facts.binds],
         "edges": [{"name": n, "origin": {"kind": k, "value": v}} for n, k, v in dict.fromkeys(facts.edges)],
-        "sinks": [{"access": a, "tries": [[origin(o) for o in t] for t in ts]} for a, ts in facts.sinks],
+        "sinks": [{"access": a, "raw": r, "tries": [[origin(o) for o in t] for t in ts]} for a, r, ts in facts.sinks],
         "commands": facts.commands,
     }
 
@@ -273,7 +273,7 @@ def tainted(edges: Column, paths_of) -> Column:
 
 
 def python_files(programs: DataFrame, *keys: str) -> DataFrame:
-    """keys, access (read or write), path of python programs (keys, lang, text, cwd, home, and argv: an array of literals, null ones unknown).
+    """keys, access (read or write), path, raw (what stands for it) of python programs (keys, lang, text, cwd, home, and argv: an array of literals, null ones unknown).
 
     open and io.open by mode, Path's read_ and write_ methods and open, read methods of what was opened, fileinput. A path is a literal,
     an argument, a name bound to one (its last binding), the fixed directory of an f-string, or the directory that a value was found in
@@ -284,7 +284,12 @@ def python_files(programs: DataFrame, *keys: str) -> DataFrame:
     rows = programs.where("lang = 'python'").select(*keys, "cwd", "home", F.coalesce(argv, F.array().cast("array<string>")).alias("_argv"), facts(F.col("text")).alias("_f")).where(F.size("_f.sinks") > 0)
     of = lambda names: lambda o: _amounts_to(o, F.col("_f.binds"), F.col("_argv"), F.col("cwd"), F.col("home"), names)
     rows = rows.withColumn("_names", tainted(F.col("_f.edges"), of(None)))
-    rows = rows.select(*keys, "cwd", "home", "_argv", "_f", "_names", F.explode("_f.sinks").alias("_s"))
+    sinks = F.transform("_f.sinks", lambda s: F.struct(s["access"].alias("access"), s["raw"].alias("raw"), _first(s["tries"], of(F.col("_names"))).alias("paths")))
+    rows = rows.select(*keys, F.explode(sinks).alias("_s")).select(*keys, F.col("_s.access").alias("access"), F.col("_s.raw").alias("raw"), F.explode("_s.paths").alias("path"))
+    return rows.groupBy(*keys, "access", "path").agg(F.min("raw").alias("raw"))
+
+
+def _first(tries: Column, paths_of) -> Column:
+    """The paths of the first try that has any."""
     none = F.array().cast("array<string>")
-    first = F.aggregate("_s.tries", none, lambda a, t: F.when(F.size(a) > 0, a).otherwise(F.flatten(F.transform(t, of(F.col("_names"))))))
-    return rows.select(*keys, F.col("_s.access").alias("access"), F.explode(first).alias("path")).distinct()
+    return F.aggregate(tries, none, lambda a, t: F.when(F.size(a) > 0, a).otherwise(F.flatten(F.transform(t, paths_of))))

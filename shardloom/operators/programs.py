@@ -1,7 +1,7 @@
 """Files that embedded programs read and write: a table of literal call forms, matched by Spark's own pattern functions.
 
 Only calls whose path is one literal string count: an escape, interpolation, variable or named argument
-drops the call. There is no data flow here; what passes through variables is not reported.
+drops the call, and so does a comment or a string around it. Python has its data flow instead (`dataflow`).
 """
 
 from __future__ import annotations
@@ -13,18 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import glob_prefix_dir, resolve_path
 from ..functions.text import let
+from .dataflow import facts, python_files
 
 Q = r"""('[^'\\\n]*'|"[^"\\$#{\n]*")"""  # one literal string
 PQ = r"""("[^"\\$@\n]*")"""  # one literal string of Perl
 
 # (language, read or write, whether the path is a glob, pattern). Group 1 is the quoted path, group 2 a bare one.
 FORMS = [
-    ("python", "read", False, rf"(?<![\w.])(?:io\.)?open\(\s*{Q}\s*(?:,\s*(?:mode\s*=\s*)?['\"](?:r[bt]?|[bt]?r)['\"]\s*)?(?:,\s*(?:encoding|errors|newline)\s*=[^)]*)?\)"),
-    ("python", "write", False, rf"(?<![\w.])(?:io\.)?open\(\s*{Q}\s*,\s*(?:mode\s*=\s*)?['\"](?=[rbt]*[wax+])[rwaxbt+]+['\"]"),
-    ("python", "read", False, rf"(?<!\w)(?:pathlib\.)?Path\(\s*{Q}\s*\)\.(?:read_text|read_bytes|open\(\s*\)|open\(\s*['\"]r)"),
-    ("python", "write", False, rf"(?<!\w)(?:pathlib\.)?Path\(\s*{Q}\s*\)\.(?:write_text|write_bytes)\("),
-    ("python", "read", False, rf"(?<!\w)os\.(?:walk|fwalk|scandir|listdir)\(\s*{Q}\s*[,)]"),
-    ("python", "read", True, rf"(?<!\w)glob\.i?glob\(\s*{Q}\s*[,)]"),
     ("javascript", "read", False, rf"(?<![\w.])fs\.(?:readFileSync|readFile|readdirSync|readdir|createReadStream|promises\.readFile)\(\s*{Q}\s*[,)]"),
     ("javascript", "write", False, rf"(?<![\w.])fs\.(?:writeFileSync|writeFile|appendFileSync|createWriteStream)\(\s*{Q}\s*[,)]"),
     ("javascript", "write", False, rf"(?<![\w.])fs\.openSync\(\s*{Q}\s*,\s*['\"][wa]"),
@@ -54,7 +49,21 @@ FORMS = [
     ("applescript", "read", False, r"(?m)(?<!\w)read\s+(?:POSIX\s+)?(?:file|alias)\s+(\"[^\"\\:\n]*\")(?!\s*&)"),
     ("applescript", "write", False, r"(?m)(?<!\w)write\s+[^\n]*?\bto\s+(?:POSIX\s+)?file\s+(\"[^\"\\:\n]*\")(?!\s*&)"),
 ]
-LANGUAGES = tuple(dict.fromkeys(f[0] for f in FORMS))
+LANGUAGES = ("python", *dict.fromkeys(f[0] for f in FORMS))
+
+# What is passed over where it begins outside a call form: strings and comments.
+SINGLE, DOUBLE = r"""'(?:[^'\\]|\\.)*+'""", r'"(?:[^"\\]|\\.)*+"'
+SLASHES, STARS, HASH, DASHES = r"//[^\n]*", r"/\*(?s:.*?)(?:\*/|\z)", r"(?<![$\w{])#[^\n]*", r"--[^\n]*"
+PASSED_OVER = {
+    "javascript": (SINGLE, DOUBLE, r"`(?:[^`\\]|\\.)*+`", SLASHES, STARS),
+    "ruby": (SINGLE, DOUBLE, HASH, r"(?m:^=begin\b)(?s:.*?)(?:(?m:^=end\b)|\z)"),
+    "php": (SINGLE, DOUBLE, SLASHES, HASH, STARS),
+    "perl": (SINGLE, DOUBLE, HASH, r"(?m:^=[a-z]\w*)(?s:.*?)(?:(?m:^=cut\b)|\z)"),
+    "awk": (DOUBLE, HASH),
+    "sed": (r"(?m:^)[ \t]*#[^\n]*",),
+    "sql": (r"'(?:[^']|'')*+'", r'"(?:[^"]|"")*+"', DASHES, STARS),
+    "applescript": (DOUBLE, DASHES, HASH, r"\(\*(?s:.*?)(?:\*\)|\z)"),
+}
 
 
 # Names that are taken out of fs: "read", "read: alias", "read as alias", between braces. Group 1 is what stands there.
@@ -73,32 +82,16 @@ def with_receivers(text: Column) -> Column:
     return F.aggregate(F.filter(names, lambda n: n["name"] != ""), text, put)
 
 
-def _matches(text: Column, access: str, glob: bool, pattern: str) -> Column:
-    """Paths of one form: array of (access, raw, path)."""
+def _matches(text: Column, lang: str, access: str, glob: bool, pattern: str) -> Column:
+    """Paths of one form: array of (access, raw, path). Where no form begins, a string or comment is passed over as a whole."""
     bare = "()(" in pattern
 
     def one(found: Column) -> Column:
         path = F.trim(found) if bare else F.substr(found, F.lit(2), F.length(found) - 2)
         return F.struct(F.lit(access).alias("access"), found.alias("raw"), (glob_prefix_dir(path) if glob else path).alias("path"))
 
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if bare else 1)), one)
-
-
-def with_arguments(text: Column, argv: Column) -> Column:
-    """A python program with argv[1], argv[2], ... replaced by the literals it is run with; null ones stay."""
-    numbered = F.coalesce(F.transform(argv, lambda v, i: F.struct(v.alias("v"), (i + 1).cast("string").alias("n"))), F.array().cast("array<struct<v:string,n:string>>"))
-
-    def put(t: Column, a: Column) -> Column:
-        sure = a["v"].isNotNull() & ~a["v"].rlike(r"['\\\n]")
-        literal = F.concat(F.lit("'"), a["v"], F.lit("'"))
-        name = F.concat(F.lit("argv["), a["n"], F.lit("]"))
-        return F.when(sure, F.replace(F.replace(t, F.concat(F.lit("sys."), name), literal), name, literal)).otherwise(t)
-
-    return F.aggregate(numbered, text, put)
-
-
-CALLS = rf"(?<!\w)os\.system\(\s*{Q}\s*\)"
-LISTS = r"(?<!\w)subprocess\.(?:run|call|check_call|check_output|Popen)\(\s*\[((?:\s*(?:'[^'\\\n]*'|\"[^\"\\\n]*\")\s*,?)+)\]"
+    either = "|".join(f"(?:{p})" for p in (pattern, *PASSED_OVER.get(lang, ())))
+    return F.transform(F.filter(F.regexp_extract_all(text, F.lit(either), F.lit(2 if bare else 1)), lambda x: x != ""), one)
 
 
 def child_lines(programs: DataFrame, *keys: str) -> DataFrame:
@@ -106,27 +99,25 @@ def child_lines(programs: DataFrame, *keys: str) -> DataFrame:
 
     os.system with one literal; subprocess calls with a list of literals, joined by spaces.
     """
-    text = F.col("text")
-    whole = F.transform(F.regexp_extract_all(text, F.lit(CALLS), F.lit(1)), lambda q: F.substr(q, F.lit(2), F.length(q) - 2))
-    words = F.transform(F.regexp_extract_all(text, F.lit(LISTS), F.lit(1)), lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit("'[^']*'|\"[^\"]*\""), F.lit(0)), lambda q: F.substr(q, F.lit(2), F.length(q) - 2)), " "))
-    rows = programs.where("lang = 'python'").select(*keys, F.col("cwd").alias("base_cwd"), "home", F.explode(F.concat(whole, words)).alias("command"))
+    rows = programs.where("lang = 'python'").select(*keys, F.col("cwd").alias("base_cwd"), "home", F.explode(facts(F.col("text"))["commands"]).alias("command"))
     return rows.select(*keys, "command", "base_cwd", "home")
 
 
 def program_files(programs: DataFrame, *keys: str, forms: Sequence[tuple[str, str, bool, str]] = FORMS) -> DataFrame:
-    """keys, lang, access (read or write), path, resolvable, raw for programs (keys, lang, text, cwd, home).
+    """keys, lang, access (read or write), path, resolvable, raw for programs (keys, lang, text, cwd, home, and argv for python).
 
-    Every language has its own forms; programs in other languages, null and empty ones have no rows.
+    Python's paths are those of `python_files`, all resolvable. Every other language has its own forms; programs in other languages, null and empty ones have no rows.
     `.output off` in SQL writes to /dev/null. The same path is reported once a program and access. forms:
     what counts as a call, for these languages or further ones; give [*FORMS, ...] to add some.
     """
-    programs = programs.withColumn("text", with_arguments(F.col("text"), F.col("argv"))) if "argv" in programs.columns else programs
+    flows = python_files(programs, *keys).select(*keys, F.lit("python").alias("lang"), "access", "path", F.lit(True).alias("resolvable"), "raw")
     found = None
     for lang in dict.fromkeys(f[0] for f in forms):
         text = with_receivers(F.col("text")) if lang == "javascript" else F.col("text")
-        arrays = let(text, lambda t: F.array_distinct(F.flatten(F.array(*[_matches(t, *form[1:]) for form in forms if form[0] == lang]))))  # noqa: B023
+        arrays = let(text, lambda t: F.array_distinct(F.flatten(F.array(*[_matches(t, *form) for form in forms if form[0] == lang]))))  # noqa: B023
         found = F.when(F.col("lang") == lang, arrays) if found is None else found.when(F.col("lang") == lang, arrays)
     rows = programs.select(*keys, "lang", "cwd", "home", F.explode(found).alias("_m")).where("_m.raw <> ''")
     path = F.when((F.col("lang") == "sql") & (F.col("_m.path") == "off"), F.lit("/dev/null")).otherwise(resolve_path(F.col("_m.path"), F.col("cwd"), F.col("home")))
     rows = rows.withColumn("path", path)
-    return rows.select(*keys, "lang", F.col("_m.access").alias("access"), "path", F.col("path").isNotNull().alias("resolvable"), F.col("_m.raw").alias("raw")).distinct()
+    rows = rows.select(*keys, "lang", F.col("_m.access").alias("access"), "path", F.col("path").isNotNull().alias("resolvable"), F.col("_m.raw").alias("raw"))
+    return rows.distinct().unionByName(flows)

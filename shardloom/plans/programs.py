@@ -15,7 +15,8 @@ CASES = [
     ("python", "open('a.go').read(); open('/r/o.go','w')", ["/repo/a.go"], ["/r/o.go"]),
     ("python", "from pathlib import Path\nPath('/r/a.go').read_text()\nPath('b').write_text('x')", ["/r/a.go"], ["/repo/b"]),
     ("python", "open(f'{x}.go')\nopen(name)", [], []),
-    ("python", 'import os\nfor r, d, f in os.walk("/abs/repo"): pass', ["/abs/repo"], []),
+    ("python", 'import os\nfor r, d, f in os.walk("/abs/repo"): pass', [], []),  # names alone are no content
+    ("python", 'import os\nfor r, d, f in os.walk("/abs/repo"):\n  for x in f: open(os.path.join(r, x))', ["/abs/repo"], []),
     ("javascript", "fs.readFileSync('/abs/y.js'); fs.writeFileSync('o.js', x)", ["/abs/y.js"], ["/repo/o.js"]),
     ("javascript", "fs.readFileSync(p); fs.readFileSync(`/a/${b}`); fs.readFileSync('/a\\\\b')", [], []),
     ("ruby", "File.read('/abs/y.rb')\nDir.glob('/abs/indexed/**/*.rb')\nFile.open('/abs/h.rb','w')", ["/abs/y.rb", "/abs/indexed"], ["/abs/h.rb"]),

@@ -149,3 +149,20 @@ def test_names_taken_out_of_fs(spark):
     for r in program_files(df, "cmd_id").collect():
         got[r.cmd_id].add(r.path)
     assert got == {i: want for i, (_, want) in enumerate(texts)}
+
+
+def test_no_path_from_comments_and_strings(spark):
+    texts = [
+        ("javascript", "// fs.readFileSync('c.js')\n/* fs.readFileSync('d.js') */ var s = \"fs.readFileSync('e.js')\"; fs.readFileSync('yes'); t = `fs.readFileSync('f.js')`"),
+        ("ruby", "# File.read('c')\n=begin\nFile.read('d')\n=end\nputs \"File.read('e')\"; File.read('yes')"),
+        ("php", "// readfile('c');\n# readfile('d');\n/* readfile('e'); */ echo \"readfile('f')\"; readfile('yes');"),
+        ("perl", "# open(F, \"<\", \"c\");\n=pod\nopen(F, \"<\", \"d\");\n=cut\nprint 'open(F, \"<\", \"e\")'; $n = $#x; open(F, \"<\", \"yes\");"),
+        ("awk", "# print > \"c\"\n{ x = \"getline < \\\"d\\\"\"; getline < \"yes\" }"), ("sed", "# r c\n/a/r yes"),
+        ("sql", "-- readfile('c')\n/* readfile('d') */ select 'readfile(''e'')', readfile('yes')"), ("applescript", "-- read file \"c\"\n(* read file \"d\" *)\nset x to \"read file y\"\nread file \"yes\""),
+        ("python", "# open('c')\nx = \"open('d')\"\n'''open('e')'''\nopen('yes')"), ("javascript", "/* fs.readFileSync('c')"), ("javascript", "x = '" + "a" * 200_000 + "'; fs.readFileSync('yes')"),
+    ]
+    df = spark.createDataFrame([(i, lang, t, "/w", "/h") for i, (lang, t) in enumerate(texts)], "k int, lang string, text string, cwd string, home string")
+    got = {i: set() for i in range(len(texts))}
+    for r in program_files(df, "k").collect():
+        got[r.k].add(r.path)
+    assert got == {i: {"/w/yes"} if "yes" in t else set() for i, (_, t) in enumerate(texts)}
