@@ -19,11 +19,12 @@ from .common import small_batches, table, tidied
 SKIPPED = frozenset("script style noscript template svg head title iframe object canvas audio video textarea select button option".split())
 RAW = frozenset("script style textarea title noscript iframe".split())  # no tags inside
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow ms msqrt mspace msub msubsup msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("svg a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow ms msqrt mspace msub msubsup msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 FRAME = frozenset("nav header footer aside form menu dialog".split())  # what stands around an article
 BODY = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 FRAME_NAMES = re.compile(r"(?i)\b(?:nav|navbar|menu|header|masthead|footer|sidebar|side|aside|widget|related|breadcrumbs?|share|social|promo|sponsor(?:ed)?|banner|ads?|advert\w*|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|search|form|comments?|replies|reply|disqus|respond|pagination|pager|tags?|toolbar|copyright|legal|disclaimer)\b")
+COMMENT_NAMES = re.compile(r"(?i)\b(?:comments?|replies|reply|disqus|respond)\b")
 BODY_NAMES = re.compile(r"(?i)\b(?:article|post|entry|story|content|body|main|text)\b")
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -44,21 +45,32 @@ class Block:
     heading: bool = False
     item: bool = False
     parts: list = field(default_factory=list)
-    frames: tuple = ()  # numbers of the framing elements around it
+    within: int = -1  # number of the innermost framing element around it
+
+
+@dataclass
+class Frame:
+    """An element that frames a page, by the blocks in front of its begin and its end. doubtful: by a name only; holds: the name is an article's too."""
+
+    outer: int
+    begin: int
+    doubtful: bool
+    holds: bool
+    end: int = -1
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; white space is one space, references are decoded."""
     out: list[Block] = []
-    # name, skipped, and of all elements from the outermost to this one: numbers of framing ones, whether one holds an article, heading, item, links
-    stack: list[tuple[str, str, tuple, bool, bool, bool, int]] = []
-    doubtful: dict[int, bool] = {}  # framing elements that are so by a name only, and whether the name is an article's too
-    framing = 0
+    frames: list[Frame] = []
+    # name, skipped, innermost framing element, whether one around holds an article, heading, item, links, number of its own frame
+    stack: list[tuple[str, str, int, bool, bool, bool, int, int]] = []
+    opened: dict[str, int] = {}  # how many elements of a name are open
     now = Block()
     at = 0
 
     def inside() -> tuple:
-        return stack[-1] if stack else ("", "", (), False, False, False, 0)
+        return stack[-1] if stack else ("", "", -1, False, False, False, 0, -1)
 
     def close() -> None:
         nonlocal now
@@ -74,9 +86,17 @@ def blocks_of(page: str) -> list[Block]:
         if not raw or inside()[1]:
             return
         if not now.parts:
-            now.frames, now.body, now.heading, now.item = inside()[2:6]
+            now.within, now.body, now.heading, now.item = inside()[2:6]
         now.parts.append((raw, inside()[6] > 0))
 
+    def leave(depth: int) -> None:
+        """Takes the elements from a depth on off the stack."""
+        while len(stack) > depth:
+            gone = stack.pop()
+            opened[gone[0]] -= 1
+            if gone[7] >= 0:
+                frames[gone[7]].end = len(out)
+
     while at <= len(page):
         m = TAG.search(page, at)
         put(page[at : m.start()] if m else page[at:])
@@ -87,25 +107,25 @@ def blocks_of(page: str) -> list[Block]:
         if not name:
             continue
         if m[1]:  # an end tag
-            if name not in INLINE:
+            if name not in INLINE and not inside()[1]:
                 close()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None and (name not in INLINE or all(x[0] in INLINE for x in stack[depth:])):
-                del stack[depth:]
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None) if opened.get(name) else None
+            if depth is not None and (name not in INLINE or inside()[1] or all(x[0] in INLINE for x in stack[depth:])):
+                leave(depth)
             continue
         if name == "br":
             put(" ")
-        if name not in INLINE and name not in RAW:
+        if name not in INLINE and name not in RAW and not inside()[1]:
             close()
-            if name in CLOSES_P:
+            if name in CLOSES_P and opened.get("p"):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
-                        del stack[i:]
+                        leave(i)
                         break
                     if stack[i][0] not in INLINE:
                         break
-            while name not in ("ul", "ol") and name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
+            while name == "li" and stack and stack[-1][0] == "li":
+                leave(len(stack) - 1)
         if name in VOID or m[3].endswith("/"):
             continue
         if name in RAW:  # nothing inside is markup
@@ -114,32 +134,42 @@ def blocks_of(page: str) -> list[Block]:
                 put(page[at : end.start()])
             at = max(end.end(), at + 1)
             continue
-        given = " ".join(next(filter(None, x), "") for x in NAMES.findall(m[3]))
-        frames = name in FRAME or bool(given and FRAME_NAMES.search(given.replace("_", "-")) and name not in ("body", "html"))
-        holds = name in BODY or bool(given and not frames and BODY_NAMES.search(given.replace("_", "-")))
-        if name == "header" and inside()[3]:  # an article's own heading
-            frames = False
-        framing += frames
-        if frames and (name == "form" or name not in FRAME):
-            doubtful[framing] = bool(given and BODY_NAMES.search(given.replace("_", "-")))
-        _, skip, around, body, heading, item, links = inside()
-        stack.append((name, skip or (name if name in SKIPPED else ""), (*around, framing) if frames else around, body or holds, heading or name in HEADINGS, item or name in ITEMS, links + (name == "a")))
+        given = " ".join(next(filter(None, x), "") for x in NAMES.findall(m[3])).replace("_", "-")
+        named = bool(given) and name not in ("body", "html") and bool((COMMENT_NAMES if name in BODY else FRAME_NAMES).search(given))
+        framing = (name in FRAME or named) and not (name == "header" and inside()[3])  # an article's own heading
+        of_article = name in BODY or bool(given and BODY_NAMES.search(given))
+        _, skip, within, body, heading, item, links, _ = inside()
+        if framing:
+            frames.append(Frame(within, len(out), name == "form" or name not in FRAME, of_article))
+        stack.append((name, skip or (name if name in SKIPPED else ""), len(frames) - 1 if framing else within, body or (of_article and not framing), heading or name in HEADINGS, item or name in ITEMS, links + (name == "a"), len(frames) - 1 if framing else -1))
+        opened[name] = opened.get(name, 0) + 1
     close()
-    for number, holds in doubtful.items():
-        if _holds_the_text(out, number):
-            for b in out:
-                if number in b.frames:
-                    b.frames, b.body = tuple(x for x in b.frames if x != number), b.body or holds
-    for b in out:
-        b.frame = bool(b.frames)
+    leave(0)
+    _judge_frames(out, frames)
     return out
 
 
-def _holds_the_text(blocks: list[Block], number: int) -> bool:
-    """Whether a framing element holds most of a page's text outside links, and no article stands beside it: its name misleads."""
-    inside = [b for b in blocks if number in b.frames]
-    free = sum(b.words - b.linked for b in inside)
-    return len(inside) >= 3 and free >= 60 and 2 * free > sum(b.words - b.linked for b in blocks) and not any(b.body and not b.frames for b in blocks)
+PROSE = 20  # words outside links: a block of so many is text
+
+
+def _judge_frames(blocks: list[Block], frames: list[Frame]) -> None:
+    """Sets frame and body of blocks: what is framed stays so unless the frame is one by name only and no article text stands outside all frames.
+
+    Then a name misleads if it is an article's too, or if the element holds most of the page's text in three blocks or more.
+    """
+    if any(b.within < 0 and not b.heading and b.words - b.linked >= PROSE for b in blocks):
+        lifted = [False] * len(frames)
+    else:
+        free = np.concatenate([[0], np.cumsum([b.words - b.linked for b in blocks])]).astype(int)
+        held = [int(free[f.end] - free[f.begin]) for f in frames]
+        lifted = [f.doubtful and (h >= PROSE if f.holds else f.end - f.begin >= 3 and h >= 3 * PROSE and 2 * h > free[-1]) for f, h in zip(frames, held)]
+    framed, holds = [], []
+    for f, off in zip(frames, lifted):  # outer frames come first
+        framed.append(not off or (f.outer >= 0 and framed[f.outer]))
+        holds.append((off and f.holds) or (f.outer >= 0 and holds[f.outer]))
+    for b in blocks:
+        if b.within >= 0:
+            b.frame, b.body = framed[b.within], b.body or holds[b.within]
 
 
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "frame", "body", "heading", "item")
@@ -156,7 +186,7 @@ def features(blocks: list[Block], page_has_body: bool) -> np.ndarray:
 
 
 # The labelled table: words, link density, the same before and after, frame, body, heading, item; 1: article text.
-# Marks alone decide nothing: short link-dense blocks of an article are out, long link-free ones with a like neighbour are in everywhere.
+# Short link-dense blocks of an article are out; framed ones are out at any length; long link-free ones without a mark are in.
 LABELLED = """
 40 0 12 0 60 0 0 1 0 0 1|95 .02 60 0 80 .01 0 1 0 0 1|6 0 8 0 70 0 0 1 1 0 1|1 0 90 0 80 0 0 1 0 0 1|2 0 1 0 1 0 0 1 0 0 1
 12 0 3 1 40 0 0 1 1 0 1|250 0 1 0 0 0 0 1 0 0 1|30 .1 40 0 6 1 0 1 0 0 1|5 0 4 0 5 0 0 1 0 1 1|18 .3 20 0 20 0 0 1 0 1 1
@@ -169,17 +199,17 @@ LABELLED = """
 9 0 80 0 0 0 1 0 0 0 0|6 0 90 0 0 0 1 0 0 0 0|5 .5 40 0 3 1 1 1 0 0 0|20 0 60 0 3 1 1 1 0 0 0|3 0 0 0 8 0 1 0 1 0 0
 25 0 9 0 12 0 1 .5 0 0 0|4 1 4 1 4 1 1 .5 0 1 0|50 0 0 0 4 1 1 .5 0 0 0|7 0 60 0 3 0 1 0 0 0 0|15 .2 6 0 10 0 1 1 0 0 0
 14 0 70 0 80 0 1 1 0 0 0|16 0 5 1 90 0 1 0 0 0 0|45 .6 50 .5 40 .7 1 0 0 0 0|80 .7 60 .6 70 .8 1 1 0 0 0|10 0 1 1 9 0 1 0 0 0 0
-60 0 50 0 40 0 1 0 0 0 1|45 0 60 0 35 0 1 1 0 0 1|80 0 70 0 60 0 1 .5 0 0 1|45 0 50 0 60 0 1 0 0 0 1|90 .05 40 0 0 0 1 0 0 0 1
-55 0 5 0 70 0 1 .5 0 0 1|70 0 60 0 80 0 1 1 0 0 1|120 0 45 0 3 1 1 0 0 0 1|65 .1 4 1 80 0 1 0 0 0 1|50 0 55 0 45 .1 1 1 0 0 1
+60 0 50 0 40 0 1 0 0 0 0|45 0 60 0 35 0 1 1 0 0 0|80 0 70 0 60 0 1 .5 0 0 0|45 0 50 0 60 0 1 0 0 0 0|90 .05 40 0 0 0 1 0 0 0 0
+55 0 5 0 70 0 1 .5 0 0 0|70 0 60 0 80 0 1 1 0 0 0|120 0 45 0 3 1 1 0 0 0 0|65 .1 4 1 80 0 1 0 0 0 0|50 0 55 0 45 .1 1 1 0 0 0
 8 .9 0 0 40 0 0 0 0 0 0|3 1 3 1 3 1 0 0 0 1 0|10 0 60 0 0 0 0 0 0 0 0|50 0 6 0 6 .5 0 0 0 0 0|4 0 0 0 5 1 0 0 1 0 0
 20 0 9 0 30 0 0 0 0 0 0|2 .5 3 1 60 0 0 0 0 0 0|30 .1 8 0 8 1 0 0 0 0 0|1 0 5 0 5 0 0 0 0 0 0|60 0 4 1 3 1 0 0 0 0 0
 120 0 40 0 9 0 0 0 0 0 1|60 0 50 0 70 0 0 0 0 0 1|45 0 60 0 50 0 0 0 0 0 1|80 .05 0 0 55 0 0 0 0 0 1|70 .1 90 0 4 1 0 0 0 0 1
 60 0 40 0 50 0 0 .5 0 0 1|35 .05 5 0 45 0 0 .5 0 0 1|90 .1 80 0 4 1 0 .5 0 0 1|25 0 70 0 60 .1 0 .5 0 0 1|8 0 4 1 50 0 0 .5 1 0 1
 5 1 4 1 6 1 0 .5 0 0 0|2 1 2 1 2 1 0 .5 0 1 0|3 .7 2 1 30 0 0 .5 0 0 0|6 .8 60 0 5 .9 0 .5 0 0 0|10 .6 9 .8 7 1 0 .5 0 1 0
 60 0 1 1 12 0 0 .5 0 0 1|50 0 70 0 4 0 0 .5 0 0 1|45 0 1 1 10 0 0 .5 0 0 1|70 0 6 1 5 0 0 .5 0 0 1|55 0 60 0 2 1 0 .5 0 0 1
-60 0 70 0 4 0 0 0 0 0 1|48 0 55 0 3 1 0 0 0 0 1|62 .1 45 0 8 0 0 0 0 0 1|60 0 70 0 2 0 1 0 0 0 1|61 0 71 0 1 1 1 0 0 0 1
-48 0 90 0 4 .5 1 1 0 0 1|40 0 3 1 2 1 1 0 0 0 0|50 0 9 0 3 0 1 0 0 0 0|55 0 2 1 4 0 1 .5 0 0 0|16 0 80 0 1 1 1 .5 0 0 0
-70 0 4 1 60 0 0 0 0 0 1|60 0 1 1 50 0 0 0 0 0 1|45 0 3 1 70 0 0 0 0 0 1|60 0 1 1 55 0 1 0 0 0 1|50 0 2 1 80 0 1 0 0 0 1
+60 0 70 0 4 0 0 0 0 0 1|48 0 55 0 3 1 0 0 0 0 1|62 .1 45 0 8 0 0 0 0 0 1|60 0 70 0 2 0 1 0 0 0 0|61 0 71 0 1 1 1 0 0 0 0
+48 0 90 0 4 .5 1 1 0 0 0|40 0 3 1 2 1 1 0 0 0 0|50 0 9 0 3 0 1 0 0 0 0|55 0 2 1 4 0 1 .5 0 0 0|16 0 80 0 1 1 1 .5 0 0 0
+70 0 4 1 60 0 0 0 0 0 1|60 0 1 1 50 0 0 0 0 0 1|45 0 3 1 70 0 0 0 0 0 1|60 0 1 1 55 0 1 0 0 0 0|50 0 2 1 80 0 1 0 0 0 0
 9 0 40 0 1 1 0 1 0 0 1|12 0 25 0 0 0 0 1 0 0 1|15 0 7 0 2 0 0 1 0 0 1|6 0 30 0 1 0 0 1 0 0 1|18 0 9 0 0 0 0 1 0 0 1
 5 0 6 0 2 0 0 1 0 0 1|30 0 12 0 8 0 0 1 0 0 1|45 0 1 1 9 0 0 1 0 0 1|10 0 8 0 12 0 0 1 1 0 1|28 0 3 0 1 0 0 1 0 0 1
 4 0 3 1 2 1 0 .5 0 0 0|6 .3 5 1 0 0 0 .5 0 0 0|7 0 40 0 50 0 0 .5 0 0 1|12 0 60 0 45 0 0 .5 0 0 1|9 .1 30 0 25 0 0 .5 0 1 1
