@@ -146,12 +146,26 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0xA0761D6478BD642F) + mix(b) + np.uint64(0x632BE59BD9B4E019))
 
 
+PIECE = 64
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of values[start:end] for each span, from one prefix sum."""
+    """Hashes of values[start:end] for each span, from one prefix sum.
+
+    A polynomial modulo 2**64 is the same for some long sequences whatever its base and values are, so a longer span is a chain of pieces.
+    """
     up, down = powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[:-1], out=total[1:])
-    out = (total[ends] - total[starts]) * down[starts]
+    piece = lambda a, b: (total[b] - total[a]) * down[a]
+    out = piece(starts, np.minimum(ends, starts + PIECE))
+    left = np.flatnonzero(ends - starts > PIECE)
+    at = starts[left] + PIECE
+    while len(left):
+        stop = np.minimum(at + PIECE, ends[left])
+        out[left] = pair(out[left], piece(at, stop))
+        more = stop < ends[left]
+        left, at = left[more], stop[more]
     return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
 

@@ -319,3 +319,13 @@ def test_tokens_of_templates_and_values_agree(spark):
     out = spark.createDataFrame(rows, "text string").select(decontaminate.template_tokens(F.col("text")).alias("t"), decontaminate.value_tokens(F.col("text")).alias("v")).collect()
     assert all(len(r.t) == len(r.v) for r in out)
     assert out[0].t == ["<N>", "bought", "<n>", "<u>", "<N>", "<n><u>", "at", "<N>", "if", "<N>", "went", "<N>", "left"] and out[0].v[0] == "mary ann lee".replace(" ", "")
+
+
+def test_words_that_polynomials_take_for_equal(spark):
+    """The doubling sequence and its complement, as letters of a word: one polynomial modulo 2**64, and two words."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    lead = " ".join(f"x{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{lead} {one}"), (2, f"{lead} {two}"), (3, f"{one} w"), (4, f"{two} w"), (5, f"{two} w")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.drop_repeats(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
