@@ -201,8 +201,8 @@ def _perl_operands(args: Column) -> Column:
     return F.when(loops & given, F.aggregate(args, state(F.lit(False), none), step, lambda a: a["out"])).otherwise(none)
 
 
-def reads(parsed: DataFrame) -> DataFrame:
-    """cmd_id, command_index, origin, argv0, path, resolvable, raw: files and folders that commands read."""
+def reads(parsed: DataFrame, *keep: str) -> DataFrame:
+    """cmd_id, command_index, origin, argv0, path, resolvable, raw, and columns to `keep`: files and folders that commands read."""
     git = (F.col("argv0") == "git") & (F.get("args", F.lit(0))["value"] == "grep")
     rows = parsed.withColumns({"_name": F.when(git, F.lit("git grep")).otherwise(F.col("argv0")), "_args": F.when(git, F.slice("args", F.lit(2), F.size("args"))).otherwise(F.col("args"))})
     around = F.col("_name").isin(*SEARCH_HERE) | F.exists("_args", lambda a: is_recursive_flag(F.coalesce(a["value"], F.lit(""))))
@@ -211,7 +211,7 @@ def reads(parsed: DataFrame) -> DataFrame:
     scanned = let(_scan(F.col("_name"), F.col("_args")), lambda p: F.when(F.size(p) > 0, p).otherwise(here))
     operands = F.when(F.col("kind").isin("read", "search") | (F.col("_name") == "git grep"), scanned).when(F.col("argv0") == "perl", _perl_operands(F.col("args"))).otherwise(none)
     given = F.filter("redirects", lambda r: r["op"].rlike("^[0-9]*<$") & ~r["text"].rlike(r"^[<>]\("))
-    return _resolved(rows, F.concat(_named(operands, "", F.col("_name")), _named(given, "redirect", F.col("argv0"))))
+    return _resolved(rows, F.concat(_named(operands, "", F.col("_name")), _named(given, "redirect", F.col("argv0"))), *keep)
 
 
 PATHS = "array<struct<text:string,value:string>>"
@@ -221,17 +221,17 @@ def _named(paths: Column, origin: str, argv0: Column) -> Column:
     return F.transform(paths, lambda p: F.struct(F.lit(origin).alias("origin"), argv0.alias("argv0"), p["text"].alias("text"), p["value"].alias("value")))
 
 
-def _resolved(rows: DataFrame, found: Column) -> DataFrame:
+def _resolved(rows: DataFrame, found: Column, *keep: str) -> DataFrame:
     """A row for each of `found` (origin, argv0, text, value), its path taken from the command's directory."""
-    rows = rows.select("cmd_id", "command_index", "cwd", "cwd_resolvable", "home", F.explode(found).alias("_p"))
+    rows = rows.select("cmd_id", "command_index", "cwd", "cwd_resolvable", "home", *keep, F.explode(found).alias("_p"))
     path = F.when(F.col("_p.value").isNotNull(), resolve_path(F.col("_p.value"), F.when(F.col("cwd_resolvable"), F.col("cwd")), F.col("home")))
     rows = rows.withColumn("path", path)
-    return rows.select("cmd_id", "command_index", "_p.origin", "_p.argv0", "path", F.col("path").isNotNull().alias("resolvable"), F.col("_p.text").alias("raw"))
+    return rows.select("cmd_id", "command_index", "_p.origin", "_p.argv0", "path", F.col("path").isNotNull().alias("resolvable"), F.col("_p.text").alias("raw"), *keep)
 
 
-def writes(parsed: DataFrame) -> DataFrame:
-    """cmd_id, command_index, origin, argv0, path, resolvable, raw: files that commands write."""
-    out = F.filter("redirects", lambda r: r["op"].rlike("^[0-9]*(?:>>?|>&|&>>?)$") & r["text"].isNotNull() & ~r["text"].rlike(r"^(?:[<>]\(|[0-9]+$|-$)"))
+def writes(parsed: DataFrame, *keep: str) -> DataFrame:
+    """cmd_id, command_index, origin, argv0, path, resolvable, raw, and columns to `keep`: files that commands write."""
+    out = F.filter("redirects", lambda r: r["op"].rlike("^[0-9]*(?:>>?|>&|&>>?)$") & r["text"].isNotNull() & ~r["text"].rlike(r"^[<>]\(") & ~(r["op"].endswith("&") & r["text"].rlike(r"^(?:[0-9]+|-)$")))
     pick = lambda x: F.struct(x["text"].alias("text"), x["value"].alias("value"))
     plain = F.transform(F.filter("args", lambda a: ~F.coalesce(a["value"], F.lit("")).startswith("-")), pick)
     first, last = F.get("args", F.lit(0))["value"], F.slice(plain, F.greatest(F.size(plain), F.lit(1)), F.lit(1))
@@ -247,7 +247,7 @@ def writes(parsed: DataFrame) -> DataFrame:
         .when((F.col("argv0") == "git") & (first == "apply"), F.when(F.size(plain) > 1, last).otherwise(none))
         .otherwise(none)
     )
-    return _resolved(parsed, F.concat(_named(out, "redirect", F.col("argv0")), _named(target, "argument", F.col("argv0"))))
+    return _resolved(parsed, F.concat(_named(out, "redirect", F.col("argv0")), _named(target, "argument", F.col("argv0"))), *keep)
 
 
 # docker's flags that take a value of their own.
@@ -401,7 +401,8 @@ def closure(lines: DataFrame, scripts: DataFrame | None = None, depth: int = 5,
         rows = cut(rows) if level else rows
         parsed = decompose(rows, keep)
         parsed_all.append(parsed.withColumn("level", F.lit(level)))
-        if level + 1 >= depth:
+        last = level + 1 >= depth
+        if last and programs_all:
             break
         found = _embedded(parsed)
         waiting.setdefault(level + 1, []).append(_inner(found.where("_r.lang = 'shell'"), F.col("_r.text"), *keep))
@@ -411,7 +412,7 @@ def closure(lines: DataFrame, scripts: DataFrame | None = None, depth: int = 5,
         if scripts is not None:
             read = script_regions(parsed, scripts, ["base_cwd", *keep]).where(~F.array_contains("been", F.col("path"))).withColumn("been", F.array_append("been", F.col("path")))
             programs = programs.unionByName(read.select(*programs.columns))
-        programs = cut(programs)
+        programs = programs.where(F.lit(False)) if last else cut(programs)
         programs_all.append(programs.withColumn("level", F.lit(level + 1)))
         if level + 2 < depth:
             children = child_lines(programs, "cmd_id", "command_index", *keep).withColumn("cwd", F.col("base_cwd")).withColumn("cmd_id", F.concat("cmd_id", F.lit("/p")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, programs, shell
+from . import chunks, lines, programs, shell
 
-QUERIES: dict = {**chunks.QUERIES, **shell.QUERIES, **programs.QUERIES}
-SQL: dict = {**chunks.SQL, **shell.SQL, **programs.SQL}
+QUERIES: dict = {**chunks.QUERIES, **shell.QUERIES, **programs.QUERIES, **lines.QUERIES}
+SQL: dict = {**chunks.SQL, **shell.SQL, **programs.SQL, **lines.SQL}

@@ -7,6 +7,7 @@ import pytest
 from shardloom.functions import paths as P
 from shardloom.operators import shell
 from shardloom.operators.programs import FORMS, child_lines, program_files
+from shardloom.sources.shared import written
 from pyspark.sql import functions as F
 
 LINES = [
@@ -166,3 +167,56 @@ def test_no_path_from_comments_and_strings(spark):
     for r in program_files(df, "k").collect():
         got[r.k].add(r.path)
     assert got == {i: {"/w/yes"} if "yes" in t else set() for i, (_, t) in enumerate(texts)}
+
+
+CONTROL = [
+    ("cat <<'EOF'\nabc def\nEOF\ncat x", [("cat", 0, 0, ["abc def"]), ("cat", 24, 0, [])]), ("cat <<A; tee <<B\n1\nA\n2\nB\nls", [("cat", 0, 0, ["1"]), ("tee", 9, 0, ["2"]), ("ls", 25, 0, [])]),
+    ("cat <<A\nprint A\nA \nA", [("cat", 0, 0, ["print A\nA "])]), ("cat <<-A\n\tx\n\tA\nls", [("cat", 0, 0, ["\tx"]), ("ls", 15, 0, [])]), ("cat <<A\nnever ended", [("cat", 0, 0, ["never ended"])]), ("cat <<A\nA\nls", [("cat", 0, 0, [""]), ("ls", 10, 0, [])]),
+    ("cat <<A | tee b\nq'\"\nA\nls é; pwd", [("cat", 0, 0, ["q'\""]), ("tee", 10, 0, []), ("ls", 22, 0, []), ("pwd", 29, 0, [])]), ("echo $(cat <<A\n) x", [("echo", 0, 0, [])]),
+    ("for f in a b; do cat $f; done", [("cat", 17, 0, [])]), ("for f\ndo ls\ndone", [("ls", 9, 0, [])]), ("for ((i=0; i<3; i++)); do ls; done", [("ls", 26, 0, [])]), ("select x in a; do ls; done", [("ls", 18, 0, [])]),
+    ("f() { ls; }", [("ls", 6, 0, [])]), ("function f { ls; }; f", [("ls", 13, 0, []), ("f", 20, 0, [])]), ("f () ( ls )", [("ls", 7, 1, [])]), ("case x in (a|b) ls;; *) pwd; esac", [("ls", 16, 0, []), ("pwd", 24, 0, [])]), ("case x in esac; ls", [("ls", 16, 0, [])]),
+    ("while ! a; do b; done", [("a", 8, 0, []), ("b", 14, 0, [])]), ("until a\ndo b\ndone", [("a", 6, 0, []), ("b", 11, 0, [])]), ("if a; then b; elif c; then d; else e; fi", [("a", 3, 0, []), ("b", 11, 0, []), ("c", 19, 0, []), ("d", 27, 0, []), ("e", 35, 0, [])]),
+    ("(a; (b); c) && (d)", [("a", 1, 1, []), ("b", 5, 2, []), ("c", 9, 1, []), ("d", 16, 3, [])]), ("((a = 1)); [ -f x ] && [[ -f y || b ]]; ls", [("ls", 40, 0, [])]), ("time ls # cat b\n# cat c\npwd", [("ls", 5, 0, []), ("pwd", 24, 0, [])]),
+    ("echo a#b 'c # d' #e", [("echo", 0, 0, [])]), ("echo if for done } {", [("echo", 0, 0, [])]), ("a=1 b=2; c=3 d", [("d", 9, 0, [])]), ("echo $'it\\'s' `ls` ${x:-y} $((1+2))", [("echo", 0, 0, [])]), ("a; b & c", [("a", 0, 0, []), ("b", 3, 0, []), ("c", 7, 0, [])]),
+    ("> only", []), ("{ a; } > o", [("a", 2, 0, [])]), ("if a; then b; fi > o | c", [("a", 3, 0, []), ("b", 11, 0, []), ("c", 23, 0, [])]), ("ls " + "x" * 60_000, [("ls", 0, 0, [])]), ("echo '" + "é" * 30_000 + "'; ls", [("echo", 0, 0, []), ("ls", 60_009, 0, [])]),
+    ("cat <<A\n" + "x 'y\n" * 20_000 + "A\nls", [("cat", 0, 0, [("x 'y\n" * 20_000)[:-1]]), ("ls", 100_010, 0, [])]),
+]
+BROKEN = ["echo 'a", 'echo "a', "echo `a", "(a", "a)", "{ a; ", "a; }", "if a; then b", "done", "for x in a; do b", "case x in a) b", "a ;; b", "if a; fi; fi", "do a; done", "echo $(a", "f() { a", "[[ -f a", "then a", "", None, " \n\t"]
+
+
+def test_control_words_and_heredocs(spark):
+    lines = [c for c, _ in CONTROL] + BROKEN
+    df = spark.createDataFrame(list(enumerate(lines)), "cmd_id int, command string").withColumns({"base_cwd": F.lit("/w"), "home": F.lit("/home/u")})
+    got = {i: [] for i in range(len(lines))}
+    for r in shell.decompose(df).where("named").orderBy("cmd_id", "command_index").collect():
+        got[r.cmd_id].append((r.argv0, r.start_byte, r.scope_id, r.bodies))
+    for i, line in enumerate(lines):
+        assert got[i] == (CONTROL[i][1] if i < len(CONTROL) else []), line
+    assert [r.opaque for r in shell.opaque(df).orderBy("cmd_id").collect()] == [i >= len(CONTROL) for i in range(len(lines))]
+    assert {r.token for r in shell.tokens(df.where("cmd_id = 0")).collect()} == {"cat", "<<", "'EOF'", "x"}
+
+
+def test_redirections_of_groups(spark):
+    lines = [("{ cd /z; cat a; } > o", {"/w/o"}, {"/z/a"}), ("(cd /z; cat a > b) > o", {"/w/o", "/z/b"}, {"/z/a"}), ("cd /y; { cd /z; } > o; cat a > p", {"/y/o", "/z/p"}, {"/z/a"}), ("for x in 1; do cat b; done < c >> 7", {"/w/7"}, {"/w/b", "/w/c"}), ("ls >& 2; ls 2>&1; ls >&-", set(), set())]
+    df = spark.createDataFrame([(i, c, "/w", "/home/u") for i, (c, *_) in enumerate(lines)], "cmd_id int, command string, base_cwd string, home string")
+    parsed = shell.decompose(df)
+    for rows, k in ((shell.writes(parsed), 1), (shell.reads(parsed), 2)):
+        got = {i: set() for i in range(len(lines))}
+        for r in rows.where("resolvable").collect():
+            got[r.cmd_id].add(r.path)
+        assert got == {i: x[k] for i, x in enumerate(lines)}
+    assert {r.argv0 for r in shell.commands(parsed).collect()} == {"cd", "cat", "ls"}
+
+
+def test_closure(spark):
+    lines = ["bash <<A\nbash <<B\nbash <<C\nbash <<D\nbash <<E\ncat deep\nE\ncat five\nD\nC\nB\nA", "python /s/a.py", "python3 -m pkg.mod x", "python -m http.server", "cd \"$V\"; bash -c 'cat rel /abs'", "python -c \"import os; os.system('cat inner')\"", "python /s/none.py"]
+    scripts = [("/s/a.py", "import subprocess\nsubprocess.run(['python', '/s/b.py'])\nopen('a')"), ("/s/b.py", "import os\nos.system('python /s/a.py')\nopen('b')"), ("/w/pkg/mod/__main__.py", "import sys\nopen(sys.argv[1])")]
+    df = spark.createDataFrame([(i, c, "/w", "/home/u") for i, c in enumerate(lines)], "cmd_id int, command string, base_cwd string, home string")
+    files = spark.createDataFrame(scripts, "path string, content string")
+    parsed, programs = shell.closure(df, files, cut=written)
+    got = {(r.root, r.level, r.path) for r in shell.reads(parsed.where("level > 0"), "root", "level").where("resolvable").collect()}
+    got |= {(r.root, r.level, r.path) for r in program_files(programs, "root", "level").collect()}
+    assert got == {("0", 4, "/w/five"), ("1", 1, "/w/a"), ("1", 3, "/w/b"), ("2", 1, "/w/x"), ("4", 1, "/abs"), ("5", 2, "/w/inner")}
+    assert shell.closure(df, None, 1)[0].select("level").distinct().count() == 1
+    levels = shell.nested(df.where("cmd_id = 0"), 5, written)
+    assert [shell.reads(p).where("resolvable and path = '/w/five'").count() for _, p in levels] == [0, 0, 0, 0, 1]
