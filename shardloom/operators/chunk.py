@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import grammar_supported, language_for_path
+from ..functions.nesting import nested_split
 from ..functions.separators import CHAINS, KEY_OF, chain_for
 from ..functions.text import let, line_count, newlines, nonwhite_bytes, recursive_split, suffix
 
@@ -77,30 +78,34 @@ def trimmed(text: Column) -> Column:
     return F.trim(text, F.lit(SPACES))
 
 
-def syntax_chunks(text: Column, language: Column | str, sizes: Sizes) -> Column:
+def syntax_chunks(text: Column, language: Column | str, sizes: Sizes, nesting: bool = True) -> Column:
     """Chunks of a file that has a grammar.
 
-    A file within the budget is one trimmed chunk: no tree is needed. A larger one is cut at the
-    declarations that its language's chain names and merged up to the budget, by bytes other than
-    white space; a syntax tree would cut at nodes, so these boundaries are approximate.
+    A file within the budget is one trimmed chunk: no tree is needed. A larger one is cut between its blocks, by the depth of
+    brackets or indentation, and merged up to the budget, by bytes other than white space (`nested_split`); without `nesting` at the
+    declarations that its language's chain names. A syntax tree would cut at nodes, so these boundaries are approximate.
     """
     body = trimmed(F.coalesce(text, F.lit("")))
     lead = newlines(F.regexp_extract(F.coalesce(text, F.lit("")), f"^[{SPACE}]*", 0))
     whole = F.array(F.struct(body.alias("content"), (lead + 1).alias("start_line"), (lead + 1 + newlines(body)).alias("end_line")))
-    pieces = numbered(let(_chain(language), lambda s: recursive_split(text, s, sizes.syntax_size, nonwhite_bytes)))
+    named = language if isinstance(language, Column) else F.lit(language)
+    if nesting:
+        pieces = numbered(let(_chain(language), lambda s: nested_split(F.coalesce(text, F.lit("")), named, s, sizes.syntax_size, nonwhite_bytes)))
+    else:
+        pieces = numbered(let(_chain(language), lambda s: recursive_split(text, s, sizes.syntax_size, nonwhite_bytes)))
     lead_of = lambda c: newlines(F.regexp_extract(c["content"], f"^[{SPACE}]*", 0)) - c["content"].startswith("\n").cast("int")
     one = lambda c: let(F.struct(trimmed(c["content"]).alias("t"), (c["start_line"] + lead_of(c)).alias("line")), lambda x: F.struct(x["t"].alias("content"), x["line"].alias("start_line"), (x["line"] + newlines(x["t"])).alias("end_line")))
     cut = F.filter(F.transform(pieces, one), lambda c: c["content"] != "")
     return F.when(body == "", F.array().cast("array<struct<content:string,start_line:int,end_line:int>>")).when(nonwhite_bytes(text) <= sizes.syntax_size, whole).otherwise(add_overlap(cut, sizes.syntax_overlap))
 
 
-def chunk_files(files: DataFrame, path: str = "path", content: str = "content", kind: Column | None = None, sizes: Sizes = Sizes(), language: str | None = None) -> DataFrame:
+def chunk_files(files: DataFrame, path: str = "path", content: str = "content", kind: Column | None = None, sizes: Sizes = Sizes(), language: str | None = None, nesting: bool = True) -> DataFrame:
     """files with language, strategy and chunks (array of content, start_line, end_line).
 
     kind "langchain" (any case, blanks around it ignored) asks for the recursive splitter; else files
     with a grammar have strategy ast, all others fallback. Null and empty contents have no chunks.
-    `language` fixes the language of all rows and keeps the plan small. Columns named like a result
-    are replaced.
+    `language` fixes the language of all rows and keeps the plan small; `nesting` as in `syntax_chunks`.
+    Columns named like a result are replaced.
     """
     kept = [c for c in files.columns if c not in ("language", "strategy", "chunks")]
     rows = files.select(*kept, (F.lit(language) if language else language_for_path(F.col(path))).alias("language"))
@@ -108,7 +113,7 @@ def chunk_files(files: DataFrame, path: str = "path", content: str = "content",
     rows = rows.withColumn("strategy", F.when(asked, F.lit("langchain")).when(grammar_supported(F.col("language")), F.lit("ast")).otherwise(F.lit("fallback")))
     lang = language or F.col("language")
     plain = split_text(F.col(content), lang, sizes.size, sizes.overlap)
-    return rows.withColumn("chunks", F.when(F.col("strategy") == "ast", syntax_chunks(F.col(content), lang, sizes)).otherwise(plain))
+    return rows.withColumn("chunks", F.when(F.col("strategy") == "ast", syntax_chunks(F.col(content), lang, sizes, nesting)).otherwise(plain))
 
 
 def chunk_rows(chunked: DataFrame, *keys: str) -> DataFrame:

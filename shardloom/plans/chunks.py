@@ -81,7 +81,7 @@ def chunk_pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ast_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a language with a grammar: one trimmed chunk within the budget, else cut at declarations."""
-    rows = chunk_files(table(spark, sf_dir, "documents").select("doc_id", "text"), content="text", language="go")
+    rows = chunk_files(table(spark, sf_dir, "documents").select("doc_id", "text"), content="text", language="go", nesting=False)
     return chunk_rows(rows, "doc_id").select("doc_id", "strategy", "chunk_index", "content", "start_line", "end_line")
 
 

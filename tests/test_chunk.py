@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shardloom.functions import nesting as N
 from shardloom.functions import text as T
 from shardloom.functions.languages import command_kind, grammar_supported, language_for_path
 from shardloom.functions.separators import CHAINS, chain_for
@@ -122,3 +123,54 @@ def test_hard_split(spark):
             want.append(raw[at:end].decode())
             at = end
         assert spark.range(1).select(T.hard_split(F.lit(text), size)).first()[0] == want
+
+
+def test_levels_of_lines(spark):
+    go = "package p\n\nfunc a() {\n\tif x { // }\n\t\ts := \"}{\"\n\t}\n}\n/* {\n{ */\nvar b = []int{\n1,\n}"
+    python = "import a\n\n@x\ndef f(\n    a,\n):\n    '''doc\n{\n    '''\n    return [\n1]\nclass C:\n  x = 1 # (\n"
+    bash = "f() {\n  echo '{' # {\n}\nf"
+    far = N.FAR
+    for lang, text, want in (("go", go, [0, far, 0, 1, 2, 2, 1, 0, far, 0, 1, 1]), ("python", python, [0, far, 0, 0, far, far, 4, far, far, 4, far, 0, 2, far]), ("bash", bash, [0, 1, 1, 0])):
+        assert spark.range(1).select(N.line_levels(F.lit(text), F.lit(lang))).first()[0] == want, lang
+
+
+def generated(rnd, lang):
+    """A source file and its functions, as they stand in it; nesting and strings with brackets in them at random."""
+    parts, functions = [], []
+    for i in range(rnd.randrange(3, 14)):
+        name, body = f"f{i}", []
+        for _ in range(rnd.randrange(1, 30)):
+            indent = "    " * rnd.randrange(1, 3)
+            body.append(indent + rnd.choice(["x = 1", 's = "}{)("', "call(a, b)", "y = g(h([1, 2]))"]) + rnd.choice(["", "  " + {"python": "# ({", "go": "// ({"}[lang]]))
+        if lang == "go":
+            text = f"func {name}() {{\n" + "\n".join(body) + rnd.choice(["\n", "\n    if x {\n        z(1)\n    }\n", "\n\n"]) + "}"
+        else:
+            text = f"def {name}(a,\n  b):\n    pass\n" + "\n".join(body) + "\n    return 1"
+        functions.append(text)
+        parts += [rnd.choice(["", "\n", {"python": "# note\n", "go": "// note\n"}[lang]]), text, "\n"]
+    return "".join(parts), functions
+
+
+@pytest.mark.parametrize("lang", ["go", "python"])
+def test_no_block_that_fits_is_cut(spark, lang):
+    rnd = random.Random(lang)
+    files = [generated(rnd, lang) for _ in range(25)] + [("x" * 900 + "\n" + "(" * 50 + "\n" + ")" * 60, []), ("", []), ("\n\n", []), ("}" * 10, [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(files)], "i int, t string")
+    dark = lambda x: len("".join(x.split()).encode())
+    for limit in (120, 300, 700):
+        rows = df.select("i", N.nested_split(F.col("t"), F.lit(lang), F.lit(chain_for(lang)), limit, T.nonwhite_bytes).alias("p")).collect()
+        for r in rows:
+            text, functions = files[r.i]
+            assert "".join(r.p) == text and all(dark(p) <= limit for p in r.p)
+            for f in functions:
+                if dark(f) <= limit:
+                    assert any(f in p for p in r.p), (limit, f)
+            assert len(r.p) <= 2 + 2.2 * dark(text) / limit + sum(dark(f) > limit for f in functions)  # blocks are joined again
+
+
+def test_large_files_are_cut_between_blocks(spark):
+    text = "package p\n" + "".join(f"\nfunc F{i}() int {{\n\tif a {{\n\t\treturn {i}\n\t}}\n\treturn 0\n}}\n" for i in range(60))
+    got = chunks(spark, text, "a.go", syntax_size=200, syntax_overlap=0)
+    assert all(c.count("{") == c.count("}") for _, c, *_ in got) and len(got) > 5
+    lines = text.split("\n")
+    assert all("\n".join(lines[a - 1 : b]).strip() == c for _, c, a, b in got)
