@@ -2,7 +2,7 @@
 
 A text becomes tokens; numbers, names and units turn into typed placeholders, so that a question
 with other values keeps its template. Windows of the template are hash-joined with those of the
-benchmark. Where a window holds placeholders, the values behind them must map one to one.
+benchmark. Where a window holds placeholders, the names behind them must map one to one; numbers and units may coincide or part.
 """
 
 from __future__ import annotations
@@ -92,14 +92,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items = benchmark.select(F.col(item_id).alias("_item"), F.col(text).alias("_text")).distinct()
     forms = F.array(*[F.struct(F.lit(k).alias("form"), template_tokens(F.col("_text"), k == 0).alias("t"), value_tokens(F.col("_text"), k == 0).alias("values")) for k in (0, 1)])
     forms = F.filter(forms, lambda f: (f["form"] == 0) | (f["t"] != F.get(forms, F.lit(0))["t"]))  # as it is, and without names, as in a text all in lower case
-    items = items.select("_item", F.explode(forms).alias("_f")).select("_item", "_f.form", F.col("_f.t").alias("_t"), "_f.values").where(F.size("_t") > 0)
-    index = items.select("_item", "form", F.size("_t").alias("_size"), F.posexplode(windows(F.col("_t"))).alias("_place", "_h"), "_t")
+    items = items.select("_item", F.explode(forms).alias("_f")).select("_item", F.col("_f.t").alias("_t"), "_f.values").where(F.size("_t") > 0).withColumn("_template", F.xxhash64("_t", F.size("_t")))
+    templates = items.select("_template", "_t").dropDuplicates(["_template"])  # items that differ in their values alone share one
+    index = templates.select("_template", F.size("_t").alias("_size"), F.posexplode(windows(F.col("_t"))).alias("_place", "_h"), "_t")
     mine = F.slice("_t", F.col("_place") + 1, WINDOW)
     index = index.withColumn("_slots", F.exists(mine, _is_slot)).where(F.exists(mine, lambda w: ~_is_slot(w))).drop("_t")
-    short = sorted(r[0] for r in items.select(F.size("_t")).where(F.size("_t").between(SHORT, WINDOW - 1)).distinct().collect())  # WINDOW - SHORT sizes at most
-    keys = items.select(F.explode(F.concat(windows(F.col("_t"), PROBE), F.when(F.size("_t") < WINDOW, windows(F.col("_t"))).otherwise(F.array().cast("array<bigint>")))).alias("_h")).distinct()
-    few = keys.count() <= BROADCAST_ROWS
-    small = lambda df: F.broadcast(df) if few else df
+    short = sorted(r[0] for r in templates.select(F.size("_t")).where(F.size("_t").between(SHORT, WINDOW - 1)).distinct().collect())  # WINDOW - SHORT sizes at most
+    keys = templates.select(F.explode(F.concat(windows(F.col("_t"), PROBE), F.when(F.size("_t") < WINDOW, windows(F.col("_t"))).otherwise(F.array().cast("array<bigint>")))).alias("_h")).distinct()
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
     # Every run of WINDOW tokens holds a run of PROBE that starts at a STEP-th token. Short items are looked for whole at every token.
     own, folder = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")), shared_dir(docs.sparkSession)
@@ -110,10 +110,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     places = at(WINDOW)
     for n in short:
         places = places.unionByName(at(n))
-    hits = places.join(small(index), "_h").select("_doc", "_item", "form", "_size", "_place", "_slots", (F.col("_at") - F.col("_place")).alias("_line"))
-    lines = hits.groupBy("_doc", "_item", "form", "_size", "_line").agg(F.array_sort(F.collect_set("_place")).alias("_places"), F.max("_slots").alias("_slots"))
+    hits = places.join(small(index), "_h").select("_doc", "_template", "_size", "_place", "_slots", (F.col("_at") - F.col("_place")).alias("_line"))
+    lines = hits.groupBy("_doc", "_template", "_size", "_line").agg(F.array_sort(F.collect_set("_place")).alias("_places"), F.max("_slots").alias("_slots"))
     half = F.floor(F.col("_line") / (BAND // 2))
-    bands = lines.withColumn("_band", F.explode(F.array(half, half - 1))).groupBy("_doc", "_item", "form", "_size", "_band").agg(F.collect_list(F.struct("_line", "_places")).alias("_lines"), F.max("_slots").alias("_slots"))
+    bands = lines.withColumn("_band", F.explode(F.array(half, half - 1))).groupBy("_doc", "_template", "_size", "_band").agg(F.collect_list(F.struct("_line", "_places")).alias("_lines"), F.max("_slots").alias("_slots"))
     bands = bands.withColumn("_places", F.array_sort(F.array_distinct(F.flatten(F.transform("_lines", lambda x: x["_places"])))))
     shared = F.aggregate(  # tokens under the windows; each adds what the one before has not covered
         "_places", F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end")),
@@ -123,7 +123,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     bands = bands.withColumn("n_tokens", shared.cast("int")).withColumn("n_windows", F.size("_places"))
     bands = bands.where(F.col("n_tokens") >= F.least(F.ceil(F.col("_size") * share), F.lit(least))).drop("_places")
     bands = stored(bands, folder, "bands")
-    sure = bands.where(~F.col("_slots")).select("_doc", "_item", "n_tokens", "n_windows")
+    sure = bands.where(~F.col("_slots")).join(items, "_template").select("_doc", "_item", "n_tokens", "n_windows")
     found = sure.unionByName(_consistent(bands.where("_slots"), own, items))
     best = found.groupBy("_doc", "_item").agg(F.max(F.struct("n_tokens", "n_windows")).alias("_best"))
     return best.select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id), F.col("_best.n_tokens").cast("long").alias("n_tokens"), F.col("_best.n_windows").cast("long").alias("n_windows"))
@@ -141,17 +141,18 @@ def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _consistent(bands: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Bands of lines whose slot values map one to one between item and document, under the windows that they share.
+    """Bands of lines whose names map one to one between item and document, under the windows that they share, for each item of the template.
 
-    Only documents with such bands are read again.
+    Numbers and units don't contradict: other values may be equal where the item's differ, and the other way round. Only documents
+    with such bands are read again.
     """
-    texts = _only(docs, bands.select("_doc").distinct()).select("_doc", value_tokens(F.col("_text")).alias("_ours"))
-    both = bands.join(items, ["_item", "form"]).where(F.size("_t") == F.col("_size")).join(texts, "_doc")
+    texts = _only(docs, bands.select("_doc").distinct()).select(F.col("_doc").alias("_own"), value_tokens(F.col("_text")).alias("_ours"))
+    both = bands.join(items, "_template").where(F.size("_t") == F.col("_size")).join(texts, F.col("_doc").eqNullSafe(F.col("_own")))
     both = both.select("_doc", "_item", "n_tokens", "n_windows", F.struct("_t", "values", "_ours", "_lines", "_size").alias("_p"))
     slot = lambda p, i, line: F.struct(F.get(p["_t"], i).alias("kind"), F.get(p["values"], i).alias("item"), F.get(p["_ours"], i + line).alias("doc"))
     under = lambda p, x: F.array_distinct(F.flatten(F.transform(x["_places"], lambda a: F.sequence(a, F.least(a + WINDOW, p["_size"]) - 1))))
-    slots = lambda p: F.array_distinct(F.flatten(F.transform(p["_lines"], lambda x: F.filter(F.transform(under(p, x), lambda i: slot(p, i, x["_line"])), lambda s: _is_slot(s["kind"])))))
-    one = lambda s, side: F.size(F.array_distinct(F.transform(s, lambda x: F.struct(x["kind"], x[side])))) == F.size(s)
+    slots = lambda p: F.array_distinct(F.flatten(F.transform(p["_lines"], lambda x: F.filter(F.transform(under(p, x), lambda i: slot(p, i, x["_line"])), lambda s: s["kind"] == "<N>"))))
+    one = lambda s, side: F.size(F.array_distinct(F.transform(s, lambda x: x[side]))) == F.size(s)
     agrees = _let(F.col("_p"), lambda p: _let(slots(p), lambda s: one(s, "item") & one(s, "doc")))
     return both.where(agrees).select("_doc", "_item", "n_tokens", "n_windows")
 

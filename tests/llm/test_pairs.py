@@ -262,15 +262,15 @@ def test_templates(spark):
     items = [(1, "If Anna buys 12 apples for 3 dollars each and pays with 50 dollars then how many dollars does she get back from the shop"), (2, "a wholly different text about rivers and the sea that runs on for a while without numbers"), (3, None), (4, "")]
     texts = [
         (1, "Intro words. If Anna buys 7 apples for 4 euros each and pays with 90 euros then how many euros does she get back from the shop. End"),  # other values, one to one
-        (2, "If Anna buys 7 apples for 7 euros each and pays with 8 dollars then how many euros does she get back from the shop"),  # 12 and 3 both became 7
+        (2, "If Anna buys 7 apples for 7 euros each and pays with 8 dollars then how many euros does she get back from the shop"),  # 12 and 3 both became 7: values may coincide
         (3, "Something else entirely, with 12 apples and 3 dollars each."),
         (4, "X! A WHOLLY different text, about rivers and the sea that runs on for a while; without numbers. Y"),
         (5, None), (6, ""), (None, items[1][1]), (8, "w " * 50000),
     ]
     df, bench = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(9))
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
-    assert got == {(1, 1), (4, 2), (None, 2)}
-    assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {2, 3, 5, 6, 8}
+    assert got == {(1, 1), (2, 1), (4, 2), (None, 2)}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {3, 5, 6, 8}
 
 
 STORIES = [
@@ -307,13 +307,33 @@ def test_reparameterised_questions_are_found(spark):
     texts += [(1000 + i, t) for i, t in enumerate(clean)]
     texts += [(2000, "He asked: what is the capital of Peru? Nobody knew."), (2001, "What is the capital of Chile?"), (2002, "Name it."), (2003, "name it. or not, at a longer length than that"), (2004, " ".join(map(str, range(4000))))]
     want |= {(2000, 50), (2001, 50), (2002, 51)}
-    swapped = "Tom has 12 apples and eats 12. Tom then buys 12 more at the market. How many apples does Tom have now?"  # three numbers of the item became one
-    texts.append((3000, swapped))
+    texts.append((3000, "Tom has 12 apples and eats 4. Anna then buys 7 more at the market. How many apples does Omar have now?"))  # one name of the item became three
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, texts), spark.createDataFrame([*items, (60, "1 2 3 4 5 6 7 8 9 10 11 12")], "item_id long, text string")).collect()}
     assert got <= want, sorted(got - want)
     assert len(got & want) >= 0.95 * len(want), [(t, items[k][1]) for i, t in texts for j, k in want - got if i == j and k < 50]
 
 
+@pytest.mark.parametrize("values", [range(2, 5000), range(1, 5), range(3, 4)])
+def test_recall_with_values_that_coincide(spark, values):
+    """Numbers may be equal in the document where the item's differ, and differ where the item's are equal."""
+    rnd, names = random.Random(len(values)), ["Tom", "Anna", "Omar", "Li", "Zoé"]
+    tell = lambda s, v: s.format(**dict(zip("AB", rnd.sample(names, 2))), **{k: rnd.choice(v) for k in "nmk"})
+    items = [(i, tell(s, values)) for i, s in enumerate(STORIES)]
+    texts = [(i, "Consider this: " + tell(STORIES[i % len(STORIES)], rnd.choice([range(2, 5000), range(1, 5), range(7, 8)]))) for i in range(80)]
+    texts.append((None, texts[0][1]))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(i, (i or 0) % len(STORIES)) for i, _ in texts}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_many_items_of_few_templates(spark):
+    """A template is looked up once, however many items have it."""
+    items = spark.range(20_000).select(F.col("id").alias("item_id"), F.concat(F.lit("Tom has "), F.col("id").cast("string"), F.lit(" apples and eats 3 of them every day until none are left in box "), (F.col("id") % 2).cast("string"), F.lit(" or any other")).alias("text"))
+    docs = [(1, "Ann has 7 apples and eats 9 of them every day until none are left in box 4 or any other"), (2, "nothing of that kind is to be seen in this text, not a bit of it")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert [tuple(r) for r in got.groupBy("doc_id").count().collect()] == [(1, 20_000)]
+
+
 def test_tokens_of_templates_and_values_agree(spark):
     rows = [("Mary Ann Lee bought 3.5 kg, (Tom's) 7kg at New York. If Anna went: “Bob” left",), ("",), (None,), ("Tom Anna, Li Tom",), ("a  b\tC Dd\nEe",)]
     out = spark.createDataFrame(rows, "text string").select(decontaminate.template_tokens(F.col("text")).alias("t"), decontaminate.value_tokens(F.col("text")).alias("v")).collect()
