@@ -148,15 +148,18 @@ def digests(lines: bytes, pattern: str):
     @tidied
     def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(lines, pattern)
-        for batch in values:
-            out: tuple[list, list, list] = ([], [], [])
-            for value in batch:
-                ids = own.ids_text(value.as_py() or "")
-                decoded = own.decode(map(int, ids.split()))
-                out[0].append(ids.count(" ") + 1 if ids else 0)
-                out[1].append(hashlib.sha256(ids.encode()).hexdigest())
-                out[2].append(hashlib.sha256(decoded).hexdigest())
-            yield pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in values:
+                out: tuple[list, list, list] = ([], [], [])
+                for value in batch:
+                    ids = own.ids_text(value.as_py() or "")
+                    decoded = own.decode(map(int, ids.split()))
+                    out[0].append(ids.count(" ") + 1 if ids else 0)
+                    out[1].append(hashlib.sha256(ids.encode()).hexdigest())
+                    out[2].append(hashlib.sha256(decoded).hexdigest())
+                yield pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:  # the worker is used again, by other stages too
+            own.cache.clear()
 
     return run
 
