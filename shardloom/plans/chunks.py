@@ -49,6 +49,11 @@ def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces).alias("piece_index", "piece"))
 
 
+def hard_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 500 bytes at most, cut between characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.hard_split(F.col("text"), 500)).alias("piece_index", "piece"))
+
+
 def separator_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How long the chain of each document's language is, and its first separator."""
     rows = _paths(spark, sf_dir).select("doc_id", separators_of(languages.language_for_path(F.col("path"))).alias("chain"))
@@ -92,7 +97,7 @@ def split_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (language_for_path, grammar_supported, nonwhite_bytes, byte_alignment, split_lines, merged_lines, separator_chains, chunk_documents_default,
+    for f in (language_for_path, grammar_supported, nonwhite_bytes, byte_alignment, split_lines, merged_lines, hard_splits, separator_chains, chunk_documents_default,
               chunk_documents_plain, chunk_stats_by_lang, chunk_pages_html, ast_files, split_strategy)
 }
 
@@ -175,6 +180,9 @@ SELECT d.doc_id, CAST(o AS INTEGER) AS byte_offset, CAST(u.e AS INTEGER) AS up,
 FROM d ASOF JOIN b u ON d.doc_id = u.doc_id AND d.o <= u.e ASOF JOIN b w ON d.doc_id = w.doc_id AND d.o >= w.e""",
     "split_lines": f"SELECT doc_id, CAST(generate_subscripts({_keep('text', chr(10))}, 1) - 1 AS INTEGER) AS piece_index, unnest({_keep('text', chr(10))}) AS piece FROM documents",
     "merged_lines": f"WITH p AS (SELECT doc_id, {_merge(_keep('text', chr(10)), 500)} AS cs FROM documents WHERE text <> '') SELECT doc_id, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS piece_index, unnest(cs) AS piece FROM p",
+    "hard_splits": """WITH RECURSIVE p AS (SELECT doc_id, 0 AS i, text AS rest FROM documents WHERE text <> ''
+UNION ALL SELECT doc_id, i + 1, right(rest, length(rest) - (SELECT max(k) FROM range(1, 501) t(k) WHERE k <= length(rest) AND (strlen(left(rest, k)) <= 500 OR k = 1))) FROM p WHERE strlen(rest) > 500)
+SELECT doc_id, CAST(i AS INTEGER) AS piece_index, left(rest, (SELECT max(k) FROM range(1, 501) t(k) WHERE k <= length(rest) AND (strlen(left(rest, k)) <= 500 OR k = 1))) AS piece FROM p""",
     "separator_chains": f"""WITH {_FILES} SELECT doc_id, CAST(CASE language {' '.join(f"WHEN '{v}' THEN {len(chain_for(v))}" for v in sorted(set(EXTENSIONS.values())))} ELSE 4 END AS INTEGER) AS n_separators,
 CASE language {' '.join("WHEN '%s' THEN '%s'" % (v, chain_for(v)[0].replace("'", "''")) for v in sorted(set(EXTENSIONS.values())))} ELSE chr(10) || chr(10) END AS first_separator FROM l""",
     "chunk_documents_default": f"WITH {_DOCS},\n{_lined(200)} SELECT id AS doc_id, chunk_index, 'fallback' AS strategy, content, start_line, end_line FROM lined",

@@ -105,6 +105,13 @@ def line_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shell.opaque(_lines(spark, sf_dir)).withColumnRenamed("cmd_id", "doc_id")
 
 
+def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a variable stands for behind the end of each line, outside subshells."""
+    rows = _lines(spark, sf_dir)
+    asked = rows.select("cmd_id", F.explode(F.array(F.lit("$D"), F.lit('"${D}"'), F.lit("$f"))).alias("text"), F.lit(0).alias("scope_id"), F.octet_length("command").alias("byte"))
+    return shell.resolve_word(shell.decompose(rows), asked).select(F.col("cmd_id").alias("doc_id"), "text", "value")
+
+
 def embedded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths that programs below the lines read and write, at all levels: shells in shells, scripts, commands of programs."""
     facts = _facts(spark, sf_dir)
@@ -123,7 +130,7 @@ def python_dataflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return python_files(rows, "doc_id").select("doc_id", "access", "path")
 
 
-QUERIES = {f.__name__: f for f in (line_commands, line_files, line_regions, line_opaque, embedded_files, python_dataflow)}
+QUERIES = {f.__name__: f for f in (line_commands, line_files, line_regions, line_opaque, line_words, embedded_files, python_dataflow)}
 
 # -- expected rows, by case --------------------------------------------------------------------
 
@@ -153,6 +160,7 @@ SQL = {
     "line_files": _sql(len(CASES), "access, path", [(k, a, _path(p)) for k, c in _ALL for a, ps in (("read", c[2]), ("write", c[3])) for p in ps], f"access, {_filled('path')} AS path"),
     "line_regions": _sql(len(CASES), "lang, text", [(k, lang, t) for k, c in _ALL for lang, t in c[4]], f"lang, {_filled('text')} AS text"),
     "line_opaque": f"SELECT doc_id, doc_id % {len(CASES)} IN ({', '.join(str(k) for k, c in _ALL if c[1] is None)}) AS opaque FROM documents",
+    "line_words": f"WITH {_FACTS}, x(text) AS (VALUES ('$D'), ('\"${{D}}\"'), ('$f')) SELECT doc_id, text, CASE WHEN doc_id % {len(CASES)} = {next(k for k, c in _ALL if c[0].startswith('D='))} AND text <> '$f' THEN '/d/' || w END AS value FROM f CROSS JOIN x",
     "embedded_files": _sql(len(CASES), "level, access, path", [(k, n, a, _path(p)) for k, c in _ALL for n, a, p in c[5]], f"CAST(level AS INTEGER) AS level, access, {_filled('path')} AS path"),
     "python_dataflow": _sql(len(PROGRAMS), "access, path", [(k, a, _path(p)) for k, c in enumerate(PROGRAMS) for a, ps in (("read", c[1]), ("write", c[2])) for p in ps], f"access, {_filled('path')} AS path"),
 }
