@@ -284,7 +284,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """docs without those whose score is 0.5 or more; null and empty texts are scored like any other."""
     own = spare(docs, "_score")
-    return score(docs, learn(docs, labels), column=own).where(F.col(own) < 0.5).drop(own)
+    return score(docs, learn(docs, labels, bounds), column=own).where(F.col(own) < 0.5).drop(own)

@@ -10,6 +10,7 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(s >= 0.5 for s in good) / len(good) > 0.85 and sum(s >= 0.5 for s in bad) / len(bad) < 0.02
 
 
+def test_risk_gradient_is_that_of_the_risk():
+    """Against differences of the risk; where the second part is negative, against those of its reverse."""
+    rnd = np.random.default_rng(4)
+    l = lambda z: np.logaddexp(0, z)  # noqa: E731, E741
+    both = [0, 0]
+    for _ in range(40):
+        zp, zu, prior = rnd.normal(rnd.uniform(-2, 4), 1, 7), rnd.normal(rnd.uniform(-6, 1), 1, 9), rnd.uniform(0.05, 0.6)
+        rest = lambda p, u: l(u).mean() - prior * l(p).mean()  # noqa: E731, B023
+        risk = (lambda p, u: prior * l(-p).mean() + rest(p, u)) if rest(zp, zu) >= 0 else (lambda p, u: -rest(p, u))  # noqa: B023
+        both[int(rest(zp, zu) >= 0)] += 1
+        gp, gu = toxicity.risk_gradient(zp, zu, prior)
+        for g, z, at in ((gp, zp, 0), (gu, zu, 1)):
+            for i in range(len(z)):
+                moved = [[zp.copy(), zu.copy()] for _ in range(2)]
+                moved[0][at][i] += 1e-5
+                moved[1][at][i] -= 1e-5
+                assert abs((risk(*moved[0]) - risk(*moved[1])) / 2e-5 - g[i]) < 1e-6
+    assert min(both) > 3
+
+
 def test_toxicity_of_odd_input(spark):
     docs = spark.createDataFrame([(1, "you idiot"), (2, None), (3, ""), (4, "fine " * 40000), (4, "fine"), (None, "idiot")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (4, 0), (2, None), (None, 1)], "doc_id long, toxic int")
