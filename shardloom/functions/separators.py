@@ -2,51 +2,70 @@
 
 from __future__ import annotations
 
-_LAST = ["\n\n", "\n", " ", ""]
-_LOOPS = ["\nif ", "\nfor ", "\nwhile "]
-
-
-def _lines(*starts: str) -> list[str]:
-    return [f"\n{s} " for s in starts]
-
-
-# The chain of each key. A chain's order is the order in which separators are tried.
+# The chain of each key, in the order in which separators are tried.
 CHAINS: dict[str, list[str]] = {
-    "js": _lines("function", "const", "let", "var", "class", "if", "for", "while", "switch", "case", "default") + _LAST,
-    "python": ["\nclass ", "\ndef ", "\n\tdef "] + _LAST,
-    "java": _lines("class", "public", "protected", "private", "static", "if", "for", "while", "switch", "case") + _LAST,
-    "c": _lines("class", "void", "int", "float", "double", "if", "for", "while", "switch", "case") + _LAST,
-    "go": _lines("func", "var", "const", "type", "if", "for", "switch", "case") + _LAST,
-    "rust": _lines("fn", "const", "let", "if", "while", "for", "loop", "match") + _LAST,
-    "php": _lines("function", "class", "if", "foreach", "while", "do", "switch", "case") + _LAST,
-    "ruby": _lines("def", "class", "if", "unless", "while", "for", "do", "begin", "rescue", "case") + _LAST,
-    "swift": _lines("func", "class", "struct", "enum", "actor", "if", "for", "while", "do", "switch", "case") + _LAST,
-    "scala": _lines("class", "object", "def", "val", "var", "if", "for", "while", "match", "case") + _LAST,
-    "csharp": _lines("interface", "enum", "implements", "delegate", "event", "class", "abstract", "public", "protected", "private", "static", "return",
-                     "if", "continue", "for", "foreach", "while", "switch", "break", "case") + _LAST,
-    "html": [f"<{t}" for t in "body div p br li h1 h2 h3 h4 h5 h6 span table tr td th ul ol header footer nav head style script meta title".split()] + [""],
-    "markdown": _lines("##", "###", "####", "#####", "######") + ["```\n\n", "\n\n***\n\n", "\n\n---\n\n", "\n\n___\n\n"] + _LAST,
-    "latex": [f"\n\\{c}{{" for c in ("chapter", "section", "subsection", "subsubsection")]
-    + [f"\n\\begin{{{e}}}" for e in "enumerate itemize description list quote quotation verse verbatim align".split()] + ["$$", "$", " ", ""],
-    "solidity": _lines("pragma", "using", "contract", "interface", "library", "constructor", "type", "function", "event", "modifier", "error", "struct",
-                       "enum", "if", "for", "while", "do while", "assembly") + _LAST,
-    "kotlin": _lines("fun", "class", "object", "interface", "data class", "sealed class", "enum class", "val", "var", "if", "for", "while", "when") + _LAST,
-    "objc": _lines("@interface", "@implementation", "@protocol", "@property") + ["\n- (", "\n+ ("] + _LOOPS + ["\nswitch "] + _LAST,
-    "dart": _lines("class", "abstract class", "enum", "mixin", "extension", "typedef", "void") + ["\nFuture", "\nStream"] + _LOOPS + ["\nswitch "] + _LAST,
-    "bash": ["\nfunction ", "\n# "] + _LOOPS + ["\nuntil ", "\ncase "] + _LAST,
-    "json": ["\n\n", '\n  "', '\n\t"', "\n", " ", ""],
+    "js": ["\nfunction ", "\nconst ", "\nlet ", "\nvar ", "\nclass ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\ndefault ", "\n\n",
+        "\n", " ", ""],
+    "python": ["\nclass ", "\ndef ", "\n\tdef ", "\n\n", "\n", " ", ""],
+    "java": ["\nclass ", "\npublic ", "\nprotected ", "\nprivate ", "\nstatic ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\n\n", "\n",
+        " ", ""],
+    "c": ["\nclass ", "\nvoid ", "\nint ", "\nfloat ", "\ndouble ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\n\n", "\n", " ", ""],
+    "go": ["\nfunc ", "\nvar ", "\nconst ", "\ntype ", "\nif ", "\nfor ", "\nswitch ", "\ncase ", "\n\n", "\n", " ", ""],
+    "rust": ["\nfn ", "\nconst ", "\nlet ", "\nif ", "\nwhile ", "\nfor ", "\nloop ", "\nmatch ", "\n\n", "\n", " ", ""],
+    "php": ["\nfunction ", "\nclass ", "\nif ", "\nforeach ", "\nwhile ", "\ndo ", "\nswitch ", "\ncase ", "\n\n", "\n", " ", ""],
+    "ruby": ["\ndef ", "\nclass ", "\nif ", "\nunless ", "\nwhile ", "\nfor ", "\ndo ", "\nbegin ", "\nrescue ", "\ncase ", "\n\n", "\n", " ", ""],
+    "swift": ["\nfunc ", "\nclass ", "\nstruct ", "\nenum ", "\nactor ", "\nif ", "\nfor ", "\nwhile ", "\ndo ", "\nswitch ", "\ncase ", "\n\n",
+        "\n", " ", ""],
+    "scala": ["\nclass ", "\nobject ", "\ndef ", "\nval ", "\nvar ", "\nif ", "\nfor ", "\nwhile ", "\nmatch ", "\ncase ", "\n\n", "\n", " ", ""],
+    "csharp": ["\ninterface ", "\nenum ", "\nimplements ", "\ndelegate ", "\nevent ", "\nclass ", "\nabstract ", "\npublic ", "\nprotected ",
+        "\nprivate ", "\nstatic ", "\nreturn ", "\nif ", "\ncontinue ", "\nfor ", "\nforeach ", "\nwhile ", "\nswitch ", "\nbreak ", "\ncase ",
+        "\n\n", "\n", " ", ""],
+    "html": ["<body", "<div", "<p", "<br", "<li", "<h1", "<h2", "<h3", "<h4", "<h5", "<h6", "<span", "<table", "<tr", "<td", "<th", "<ul", "<ol",
+        "<header", "<footer", "<nav", "<head", "<style", "<script", "<meta", "<title", ""],
+    "markdown": ["\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "```\n\n", "\n\n***\n\n", "\n\n---\n\n", "\n\n___\n\n", "\n\n", "\n", " ",
+        ""],
+    "latex": ["\n\\chapter{", "\n\\section{", "\n\\subsection{", "\n\\subsubsection{", "\n\\begin{enumerate}", "\n\\begin{itemize}",
+        "\n\\begin{description}", "\n\\begin{list}", "\n\\begin{quote}", "\n\\begin{quotation}", "\n\\begin{verse}", "\n\\begin{verbatim}",
+        "\n\\begin{align}", "$$", "$", " ", ""],
+    "solidity": ["\npragma ", "\nusing ", "\ncontract ", "\ninterface ", "\nlibrary ", "\nconstructor ", "\ntype ", "\nfunction ", "\nevent ",
+        "\nmodifier ", "\nerror ", "\nstruct ", "\nenum ", "\nif ", "\nfor ", "\nwhile ", "\ndo while ", "\nassembly ", "\n\n", "\n", " ", ""],
+    "kotlin": ["\nfun ", "\nclass ", "\nobject ", "\ninterface ", "\ndata class ", "\nsealed class ", "\nenum class ", "\nval ", "\nvar ", "\nif ",
+        "\nfor ", "\nwhile ", "\nwhen ", "\n\n", "\n", " ", ""],
+    "objc": ["\n@interface ", "\n@implementation ", "\n@protocol ", "\n@property ", "\n- (", "\n+ (", "\nif ", "\nfor ", "\nwhile ", "\nswitch ",
+        "\n\n", "\n", " ", ""],
+    "dart": ["\nclass ", "\nabstract class ", "\nenum ", "\nmixin ", "\nextension ", "\ntypedef ", "\nvoid ", "\nFuture", "\nStream", "\nif ",
+        "\nfor ", "\nwhile ", "\nswitch ", "\n\n", "\n", " ", ""],
+    "bash": ["\nfunction ", "\n# ", "\nif ", "\nfor ", "\nwhile ", "\nuntil ", "\ncase ", "\n\n", "\n", " ", ""],
+    "json": ["\n\n", "\n  \"", "\n\t\"", "\n", " ", ""],
     "css": ["\n\n", "}\n", "\n", " ", ""],
-    "": _LAST,
+    "": ["\n\n", "\n", " ", ""],
 }
 
 # Language ids and aliases of each key.
-ALIASES = {
-    "js": "javascript js typescript ts jsx tsx", "python": "python py", "java": "java", "c": "cpp c++ c", "go": "go", "rust": "rust rs", "php": "php",
-    "ruby": "ruby rb", "swift": "swift", "scala": "scala", "csharp": "csharp cs", "html": "html", "markdown": "markdown md", "latex": "latex tex",
-    "solidity": "solidity sol", "kotlin": "kotlin kt kts", "objc": "objective-c objc objectivec", "dart": "dart", "bash": "bash sh shell", "json": "json",
-    "css": "css scss",
+ALIASES: dict[str, list[str]] = {
+    "js": ["javascript", "js", "typescript", "ts", "jsx", "tsx"],
+    "python": ["python", "py"],
+    "java": ["java"],
+    "c": ["cpp", "c++", "c"],
+    "go": ["go"],
+    "rust": ["rust", "rs"],
+    "php": ["php"],
+    "ruby": ["ruby", "rb"],
+    "swift": ["swift"],
+    "scala": ["scala"],
+    "csharp": ["csharp", "cs"],
+    "html": ["html"],
+    "markdown": ["markdown", "md"],
+    "latex": ["latex", "tex"],
+    "solidity": ["solidity", "sol"],
+    "kotlin": ["kotlin", "kt", "kts"],
+    "objc": ["objective-c", "objc", "objectivec"],
+    "dart": ["dart"],
+    "bash": ["bash", "sh", "shell"],
+    "json": ["json"],
+    "css": ["css", "scss"],
 }
-KEY_OF = {alias: key for key, aliases in ALIASES.items() for alias in aliases.split()}
+KEY_OF = {alias: key for key, aliases in ALIASES.items() for alias in aliases}
 
 
 def chain_for(language: str | None) -> list[str]:
