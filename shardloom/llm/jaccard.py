@@ -300,27 +300,36 @@ class Index:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.lists: dict[int, list[int]] = {}
+        self.keys: list[np.ndarray] = []  # shingles of each hub
         self.order: list[tuple[int, int]] = []
         self.owner: dict[int, int] = {}  # a hub of each root's region
         self.first: list[int] = []  # the region of each hub
-        self.frozen: tuple[dict[int, np.ndarray], np.ndarray] | None = None
+        self.frozen: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None  # shingles, where their lists begin, lists, regions
 
     def add(self, row: dict) -> None:
         own = len(self.order)
-        for k in expand(row["shared"], np.uint64).tolist():
-            self.lists.setdefault(k, []).append(own)
+        self.keys.append(expand(row["shared"], np.uint64))
         self.order.append((row["n"], row["node"]))
         self.first.append(self.owner.setdefault(row["root"], own))
 
+    def _freeze(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The lists behind one another, in the order of their shingles; hubs ascend in each."""
+        keys, hub = np.concatenate(self.keys), np.repeat(np.arange(len(self.keys)), [len(k) for k in self.keys])
+        self.keys = []
+        order = np.argsort(keys, kind="stable")
+        keys, first = np.unique(keys[order], return_index=True)
+        return keys, np.append(first, len(order)), hub[order], np.array(self.first)
+
     def links(self, row: dict) -> list[tuple[int, int]]:
         """Links of a query with the regions of all smaller hubs that it is linked to and not joined with yet.
 
         Each pair of a list is looked at once; hubs that are joined with the query leave the lists before the search.
         """
+        if not self.order:
+            return []
         if self.frozen is None:
-            self.frozen = {k: np.array(x) for k, x in self.lists.items()}, np.array(self.first)
-        arrays, region = self.frozen
+            self.frozen = self._freeze()
+        keys, begins, postings, region = self.frozen
         n, node = row["n"], row["node"]
         lo = bisect_left(self.order, (-(-self.num * n // self.den),))
         hi = min(bisect_left(self.order, (n, node)), bisect_right(self.order, (row["most"], math.inf)))
@@ -332,7 +341,10 @@ class Index:
         fit[lo:hi] = True if mine is None else region[lo:hi] != mine
         if not fit.any():
             return []
-        lists = [x for k in expand(row["shared"], np.uint64).tolist() if (x := arrays.get(k)) is not None]
+        own = expand(row["shared"], np.uint64)
+        place = np.searchsorted(keys, own)
+        place = place[(place < len(keys)) & (keys[np.minimum(place, len(keys) - 1)] == own)]
+        lists = [postings[a:b] for a, b in zip(begins[place].tolist(), begins[place + 1].tolist())]
         least = required(n, self.order[lo][0], self.num, self.den)
         if len(lists) < least:
             return []

@@ -154,6 +154,10 @@ def _result(own: Words, gone: np.ndarray, with_kept: bool) -> pa.RecordBatch:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row of `documents`: without the words of runs of 20 that also start earlier.
+
+    A null text has no words; its row has the digest of the empty text. Null ids come last; see `drop_repeats`.
+    """
     return drop_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
 
 
