@@ -90,6 +90,21 @@ def ast_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_rows(rows, "doc_id").select("doc_id", "strategy", "chunk_index", "content", "start_line", "end_line")
 
 
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and a source file of every document: a function for each 25 words of its text."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z]+"), lambda w: w != "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    numbers = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.ceil(F.size("w") / 25).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    function = lambda i: F.concat(F.lit("\nfunc f"), i.cast("string"), F.lit('() {\n\tprint("'), F.array_join(F.slice("w", i * 25 + 1, 25), " "), F.lit('")\n}\n'))
+    return rows.select("doc_id", F.concat(F.lit("package p\n"), F.array_join(F.transform(numbers, function), "")).alias("text"))
+
+
+def nested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files with functions of every document's words: larger ones are cut between functions, never inside one."""
+    rows = chunk_files(source_files(spark, sf_dir), content="text", language="go")
+    return chunk_rows(rows, "doc_id").select("doc_id", "strategy", "chunk_index", "content", "start_line", "end_line")
+
+
 def split_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _paths(spark, sf_dir).withColumn("kind", F.when(F.col("doc_id") % 5 == 0, F.lit(" LangChain ")).otherwise(F.lit("auto")))
     return chunk_files(rows.select("doc_id", "path", "text", "kind"), content="text", kind=F.col("kind")).groupBy("language", "strategy").agg(F.count("*").alias("n_files"))
@@ -98,7 +113,7 @@ def split_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (language_for_path, grammar_supported, nonwhite_bytes, byte_alignment, split_lines, merged_lines, hard_splits, separator_chains, chunk_documents_default,
-              chunk_documents_plain, chunk_stats_by_lang, chunk_pages_html, ast_files, split_strategy)
+              chunk_documents_plain, chunk_stats_by_lang, chunk_pages_html, ast_files, nested_chunks, split_strategy)
 }
 
 # -- the same in DuckDB ------------------------------------------------------------------------
@@ -191,5 +206,10 @@ CASE language {' '.join("WHEN '%s' THEN '%s'" % (v, chain_for(v)[0].replace("'",
     "chunk_pages_html": f"WITH {_levels('pages', 'page_id', 'html', CHAINS['html'], 1000)},\n{_lined(200)} SELECT id AS page_id, chunk_index, 'langchain' AS strategy, content, start_line, end_line FROM lined",
     "split_strategy": f"WITH {_FILES} SELECT language, CASE WHEN doc_id % 5 = 0 THEN 'langchain' WHEN {_HAS} THEN 'ast' ELSE 'fallback' END AS strategy, count(*) AS n_files FROM l GROUP BY ALL",
     "ast_files": f"""WITH {_levels("documents", "doc_id", "text", CHAINS["go"], 2500, _DARK)},
+{_TRIMMED} SELECT id AS doc_id, 'ast' AS strategy, chunk_index, content, start_line, end_line FROM lined""",
+    "nested_chunks": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[^A-Za-z]+'), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT doc_id, list_concat(['package p' || chr(10)], list_transform(range(0, CAST(ceil(len(w) / 25.0) AS BIGINT)), lambda i: chr(10) || 'func f' || i || '() {{' || chr(10) || chr(9) || 'print("'
+      || array_to_string(w[i * 25 + 1 : i * 25 + 25], ' ') || '")' || chr(10) || '}}' || chr(10))) AS units FROM w),
+m0 AS (SELECT doc_id AS id, CASE WHEN {_DARK.format("array_to_string(units, '')")} <= 2500 THEN [array_to_string(units, '')] ELSE {_merge("units", 2500, _DARK)} END AS cs FROM u),
 {_TRIMMED} SELECT id AS doc_id, 'ast' AS strategy, chunk_index, content, start_line, end_line FROM lined""",
 }

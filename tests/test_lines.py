@@ -8,7 +8,7 @@ import pytest
 from shardloom.plans import chunks, lines
 
 SF = "/root/testdata/sf0.001"
-CASES = {**{k: (q, lines.SQL[k]) for k, q in lines.QUERIES.items()}, "hard_splits": (chunks.hard_splits, chunks.SQL["hard_splits"])}
+CASES = {**{k: (q, lines.SQL[k]) for k, q in lines.QUERIES.items()}, **{k: (chunks.QUERIES[k], chunks.SQL[k]) for k in ("hard_splits", "nested_chunks")}}
 
 
 @pytest.mark.parametrize("name", list(CASES))
