@@ -56,6 +56,9 @@ class Frame:
     pipes: int = 0
     begin: int | None = None
     members: list = field(default_factory=list)
+    filled: bool = False  # whether something runs in it, since its last control word
+    ready: bool = False  # whether its then or do has come
+    header: bool = False  # whether names stand in front of its do, and no commands
 
 
 class Line:
@@ -68,6 +71,8 @@ class Line:
         self.first, self.until, self.patterns = True, None, False
         self.waiting: list[tuple[dict, str, bool]] = []
         self.target = False  # whether a redirection waits for its word
+        self.group = False  # whether a group has just ended: only redirections and control words follow it
+        self.joint = ""  # the operator that a command must follow yet, or () for a function's body
         self.last = 0  # end byte of the last token of the pipeline
         self.run()
 
@@ -80,6 +85,8 @@ class Line:
                 end, kind = (found if (found := text.find("\n", at)) >= 0 else len(text)), "blank"
             elif kind == "operator" and text[at] == "(" and self.first and not self.patterns and (skipped := ARITHMETIC.match(text, at)):
                 end, kind, self.first = skipped.end(), "blank", self.until is not None
+                self.group = self.until is None
+                self.fill()
             size = len(text[at:end].encode("utf-8", "surrogatepass"))
             if kind == "operator":
                 self.operator(m[0], byte, byte + size)
@@ -92,13 +99,14 @@ class Line:
             elif kind == "redirect":
                 self.redirect(m[0], byte, byte + size)
             elif kind == "process":
+                self.broken |= self.group and not self.target
                 self.put(m[0], "target" if self.target else "word", byte, byte + size)
                 self.target = self.first = False
             elif kind == "other":
                 self.broken = True
             at, byte = end, byte + size
         self.finish()
-        self.broken |= len(self.frames) > 1 or self.until is not None
+        self.broken |= len(self.frames) > 1 or self.until is not None or bool(self.joint)
         for c in self.commands:
             c["closes"] = self.closes.get(c["scope_id"], FAR)
 
@@ -109,6 +117,8 @@ class Line:
         if self.until or self.patterns:
             return
         frame = self.frames[-1]
+        self.broken |= self.joint == "()"  # a function's body is a group
+        self.fill()
         if self.now is None:
             self.now = self.command(start, start, end, frame.scope, frame.pipes)
             frame.members.append(self.now)
@@ -118,6 +128,9 @@ class Line:
         self.now["end_byte"] = max(self.now["end_byte"], end)
         self.last = end
 
+    def fill(self) -> None:
+        self.frames[-1].filled, self.joint = True, ""
+
     def command(self, pos: int, start: int, end: int, scope: int, stage: int) -> dict:
         made = {"command": len(self.commands), "pos": pos, "start_byte": start, "end_byte": end, "scope_id": scope, "closes": FAR, "stage": stage, "pipeline_start": 0, "pipeline_end": 0, "tokens": [], "bodies": []}
         self.commands.append(made)
@@ -146,7 +159,10 @@ class Line:
         if self.until in ("in", "fi", "esac"):
             self.broken = token not in ("\n",)
             return
-        self.until = None
+        if token in (";", "&", "&&", "||", "|", "|&"):
+            self.broken = self.until is None and self.first
+            self.joint = token if token not in (";", "&") else ""
+        self.until, self.group = None, False
         if token == "(":
             if not self.first:
                 self.broken = True
@@ -174,17 +190,19 @@ class Line:
             outer.begin = frame.pos
         if frame.closer != ")":
             frame.scope = outer.scope
-        self.now, self.first = None, True
+        self.now, self.first, self.joint = None, True, ""
         self.frames.append(frame)
 
     def close(self, closer: str, start: int, end: int) -> None:
         """Ends a group; redirections behind it are read where the group began, outside it."""
         self.finish()
         frame = self.frames[-1]
-        if frame.closer != closer:
+        if frame.closer != closer or self.joint or not (frame.filled or closer == "esac") or not (frame.ready or closer not in ("fi", "done")):
             self.broken = True
             return
         self.frames.pop()
+        self.group = True
+        self.fill()
         if closer == ")":
             self.closes[frame.scope] = start
         outer = self.frames[-1]
@@ -205,34 +223,44 @@ class Line:
                 self.close("esac", start, stop)
             return end
         if self.until:
-            if token == self.until:
-                self.patterns, self.until = token == "in", None
+            if token == self.until and token != "do":
+                self.patterns, self.group, self.until = token == "in", token == "]]", None
                 self.first = False
+                self.fill()
             elif self.until == "do" and token == "do":
                 self.until, self.first = None, True
+                self.frames[-1].ready, self.frames[-1].filled = True, False
             return end
-        if self.first:
+        if self.first or (self.group and (token in CLOSES or token in WITHIN)):
+            self.group = False
             return self.leading(token, end, start, stop)
+        self.broken |= self.group
         self.put(token, "word", start, stop)
         return end
 
     def leading(self, token: str, end: int, start: int, stop: int) -> int:
         """Takes the first word of a command: a control word, a function's name, a test, or the command itself."""
         if token in OPENS:
-            self.open(Frame(OPENS[token], start))
+            self.open(Frame(OPENS[token], start, header=token in ("for", "select")))
             self.until = {"for": "do", "select": "do", "case": "in"}.get(token)
         elif token in WITHIN:
             self.finish()
-            self.broken = self.frames[-1].closer != WITHIN[token]
+            frame, self.first = self.frames[-1], True
+            self.broken = frame.closer != WITHIN[token] or bool(self.joint) or not (frame.filled or token == "do" and not frame.ready and frame.header)
+            frame.ready, frame.filled = token != "elif", False
         elif token in CLOSES:
             self.close(token, start, stop)
         elif token in PREFIXES:
+            self.broken = token == "!" and self.joint in ("|", "|&") or self.joint == "()"
+            self.joint = self.joint if token == "!" else ""
             self.frames[-1].begin = start if self.frames[-1].begin is None else self.frames[-1].begin
         elif token in ("[[", "["):
             self.until, self.first = "]]" if token == "[[" else "]", False
         elif token == "function" and (m := re.compile(r"[ \t]+[^\s(){};|&<>]+(?:[ \t]*\([ \t]*\))?").match(self.text, end)):
+            self.joint = "()"
             return m.end()
         elif m := PARENTHESES.match(self.text, end):
+            self.joint = "()"
             return m.end()
         else:
             self.first = False

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import random
+import shutil
+import subprocess
+
 import pytest
 
 from shardloom.functions import paths as P
 from shardloom.operators import shell
+from shardloom.operators.scan import read
 from shardloom.operators.programs import FORMS, child_lines, program_files
 from shardloom.sources.shared import written
 from pyspark.sql import functions as F
@@ -220,3 +225,19 @@ def test_closure(spark):
     assert shell.closure(df, None, 1)[0].select("level").distinct().count() == 1
     levels = shell.nested(df.where("cmd_id = 0"), 5, written)
     assert [shell.reads(p).where("resolvable and path = '/w/five'").count() for _, p in levels] == [0, 0, 0, 0, 1]
+
+
+def test_broken_lines_are_those_of_the_shell(tmp_path):
+    """Random lines against the shell's own check of its grammar: none that it accepts is broken, and hardly any other way round."""
+    bash = shutil.which("bash")
+    if not bash:
+        pytest.skip("no shell here")
+    rnd = random.Random(11)
+    tokens = ["a", "b c", "x=1", "if", "then", "else", "fi", "while", "do", "done", "for i in 1 2", "case x in", "a)", "esac", ";;", ";", "\n", "&&", "||", "|", "&", "(", ")", "{", "}", "!", "> f", "2>&1", "'q'", '"d $(e)"', "[[ -f a ]]", "f()", "# c\n", "((1))"]
+    groups = ["if {} ; then {} ; fi", "while {} ; do {} ; done", "{{ {} ; }} && {}", "( {} ) | {}", "for i in 1 ; do {} ; done ; {}", "case x in a) {} ;; b) {} ;; esac", "f() {{ {} ; }} ; {}"]
+    lines = [" ".join(rnd.choices(tokens, k=rnd.randrange(1, 7))) for _ in range(150)]
+    lines += [" ".join([rnd.choice(groups).format(*(" ; ".join(rnd.choices(["a", "b c", "(d)", "[[ f ]]", "x=1"], k=2)) for _ in range(2))), *rnd.choices(tokens, k=rnd.randrange(2))]) for _ in range(150)]
+    said = [subprocess.run([bash, "-n", "-c", x], capture_output=True, check=False).returncode == 0 for x in lines]
+    mine = [not read(x)["broken"] for x in lines]
+    assert not [x for x, s, m in zip(lines, said, mine) if s and not m and x.split("#")[0].strip()]
+    assert sum(m and not s for s, m in zip(said, mine)) <= 3 and 50 < sum(said) < 250
