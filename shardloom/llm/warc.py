@@ -20,7 +20,7 @@ from .common import shared_dir, small_batches, stored, table, tidied
 
 SEGMENT_BYTES, CHUNK_BYTES = 16 << 10, 4 << 10
 FILE_BYTES = 64 << 20  # of records in a file, about: a file is read by one task
-BROADCAST_DIGESTS = 50_000
+BROADCAST_BYTES = 16 << 20  # of repeated digests, with the first page's id and address, up to which they are broadcast
 LEAST_BYTES = 0  # of payloads that are told by revisits
 DATE = "2000-01-01T00:00:00Z"  # pages have no date; the format wants one
 END, BASE32 = "\r\n", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -73,7 +73,8 @@ def described(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "copies")).alias("first")
     repeated = copies.groupBy("sha").agg(first, F.sum("copies").alias("n")).where("n > 1").select("sha", "first.page_id", "first.url", "first.copies")
     repeated = stored(repeated.select("sha", *[F.col(c).alias(f"first_{c}") for c in ("page_id", "url", "copies")]), shared_dir(pages.sparkSession), "repeated")
-    out = named.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_DIGESTS else repeated, "sha", "left")
+    size = repeated.agg(F.sum(F.lit(200) + F.coalesce(F.octet_length("first_url"), F.lit(0)))).first()[0] or 0
+    out = named.join(F.broadcast(repeated) if size <= BROADCAST_BYTES else repeated, "sha", "left")
     is_first = F.col("first_copies").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_page_id")) & F.col("url").eqNullSafe(F.col("first_url"))
     out = out.withColumn("copy", F.when(is_first | F.col("first_copies").isNull(), F.lit(1)))
     if not repeated.where("first_copies > 1").isEmpty():

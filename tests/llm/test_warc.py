@@ -46,9 +46,9 @@ def shown(df):
     return sorted((tuple(r) for r in df.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
 
 
-@pytest.mark.parametrize(("segment", "chunk", "broadcast"), [(16 << 10, 4 << 10, 50_000), (700, 64, 0)])
+@pytest.mark.parametrize(("segment", "chunk", "broadcast"), [(16 << 10, 4 << 10, 16 << 20), (700, 64, 0)])
 def test_round_trip(spark, tmp_path, monkeypatch, segment, chunk, broadcast):
-    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", broadcast)
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", broadcast)
     df = spark.createDataFrame(pages(), PAGES).repartition(3)
     path = f"{tmp_path}/a"
     warc.write_archives(df.select("page_id", "url", F.col("html").alias("payload")), path, segment, chunk)
