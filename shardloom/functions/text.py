@@ -68,9 +68,20 @@ def merge_adjacent(pieces: Column, size: int, measure: Callable[[Column], Column
     return F.transform(_joined(measured, F.lit(0), size), lambda p: p["t"])
 
 
+def _bytes(text: Column) -> Column:
+    """A text of one character for each byte of text, as patterns count characters."""
+    return F.decode(text.cast("binary"), "ISO-8859-1")
+
+
+def _of_bytes(text: Column) -> Column:
+    """The text that `_bytes` was given."""
+    return F.encode(text, "ISO-8859-1").cast("string")
+
+
 def hard_split(text: Column, size: int) -> Column:
     """Pieces of at most `size` bytes, as long as whole characters allow; a longer character is a piece of its own."""
-    return merge_adjacent(split_keep(text, F.lit("")), size)
+    pattern = rf"(?s).{{1,{max(size, 1)}}}(?![\x80-\xBF])|.[\x80-\xBF]+"
+    return F.transform(F.regexp_extract_all(_bytes(text), F.lit(pattern), F.lit(0)), _of_bytes)
 
 
 PIECES = "array<struct<t:string,b:int,m:int>>"  # text, level of the separator that it begins with, measure

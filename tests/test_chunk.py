@@ -125,6 +125,17 @@ def test_hard_split(spark):
         assert spark.range(1).select(T.hard_split(F.lit(text), size)).first()[0] == want
 
 
+def test_hard_split_of_a_large_text(spark):
+    """As many steps as pieces, not as characters: a fold over these took minutes."""
+    import time
+
+    text = spark.range(1).select(F.repeat(F.lit("aé😀b\n"), 1_000_000).alias("t"))
+    text.select(F.size(T.hard_split(F.lit("a"), 500))).collect()
+    began = time.perf_counter()
+    rows = text.select("t", F.explode(T.hard_split(F.col("t"), 500)).alias("p")).agg(F.count("*"), F.max(F.octet_length("p")), F.sum(F.octet_length("p")), F.min(F.octet_length("p"))).first()
+    assert tuple(rows)[1:3] == (500, 9_000_000) and rows[0] <= 9_000_000 / 497 + 1 and time.perf_counter() - began < 30
+
+
 def test_levels_of_lines(spark):
     go = "package p\n\nfunc a() {\n\tif x { // }\n\t\ts := \"}{\"\n\t}\n}\n/* {\n{ */\nvar b = []int{\n1,\n}"
     python = "import a\n\n@x\ndef f(\n    a,\n):\n    '''doc\n{\n    '''\n    return [\n1]\nclass C:\n  x = 1 # (\n"
