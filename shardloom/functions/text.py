@@ -103,7 +103,37 @@ def _joined(pieces: Column, level: Column, size: int) -> Column:
         zero = F.lit(0)
         return F.aggregate(all_, state(F.array().cast(PIECES), zero, zero, zero, F.lit(-1)), step, done)
 
-    return let(pieces, lambda x: F.when(F.size(x) < 2, x).otherwise(fold(x)))
+    return let(pieces, lambda x: F.when((F.size(x) < 2) | ~F.exists(x, lambda p: p["b"] >= level), x).otherwise(fold(x)))
+
+
+SHORTEST = 8  # sizes below it are cut piece by piece
+
+
+def _packed(text: Column, separator: Column, next_: Column, size: int) -> Column:
+    """Pieces of a text of more than `size` bytes as `split_keep` and `_joined` would give them, cut and joined by one pattern; not joined where it can't be told.
+
+    Pieces begin at a separator of one byte, so a joined one is the longest run of at most `size` bytes in front of a separator or the
+    end. A piece that is too large for that is cut between characters, if those are next in the chain: its first part is joined to up to
+    three bytes before it (a character's) if it leaves room for them, its last one to what follows. Other large pieces, and longer
+    separators, are left to the fold.
+    """
+    quoted = F.concat(F.lit(r"\Q"), separator, F.lit(r"\E"))
+    filled = lambda form: F.replace(F.lit(form), F.lit("<sep>"), quoted)
+    characters = rf".{{1,{size}}}(?![\x80-\xBF])"
+    whole = rf".{{1,{size}}}(?=<sep>|\z)"
+    room = "|".join(rf".{{{j}}}(?=<sep>[^<sep>]{{{size - j}}}[\x80-\xBF]{{{j}}}).{{1,{size - j}}}(?![\x80-\xBF])" for j in (1, 2, 3))
+    large = filled(rf"(?s)(?:\A[^<sep>]|<sep>)[^<sep>]{{{size}}}")
+
+    def found(t: Column) -> Column:
+        cut = lambda form: F.transform(F.regexp_extract_all(t, form, F.lit(0)), _of_bytes)
+        return (
+            F.when(separator == "", cut(F.lit(f"(?s){characters}")))
+            .when((F.octet_length(separator) == 1) & (next_ == ""), cut(filled(f"(?s){room}|{whole}|{characters}")))
+            .when((F.octet_length(separator) == 1) & ~F.regexp_like(t, large), cut(filled(f"(?s){whole}")))
+            .otherwise(split_keep(text, separator))
+        )
+
+    return let(_bytes(text), found)
 
 
 def recursive_split(text: Column, separators: Column, size: int, measure: Callable[[Column], Column] = F.octet_length) -> Column:
@@ -115,9 +145,11 @@ def recursive_split(text: Column, separators: Column, size: int, measure: Callab
     put together are text.
     """
     piece = lambda t, b: F.struct(t.alias("t"), b.alias("b"), measure(t).cast("int").alias("m"))
+    native = measure is F.octet_length and size >= SHORTEST
 
     def cut(pieces: Column, i: Column) -> Column:
-        parts = lambda p: F.transform(split_keep(p["t"], F.get(separators, i)), lambda x, j: piece(x, F.when(j == 0, p["b"]).otherwise(i)))
+        split = lambda t: _packed(t, F.get(separators, i), F.get(separators, i + 1), size) if native else split_keep(t, F.get(separators, i))
+        parts = lambda p: F.transform(split(p["t"]), lambda x, j: piece(x, F.when(j == 0, p["b"]).otherwise(i)))
         large = F.flatten(F.transform(pieces, lambda p: F.when(p["m"] <= size, F.array(p)).otherwise(parts(p)))).cast(PIECES)
         return F.when(F.exists(pieces, lambda p: p["m"] > size), large).otherwise(pieces)
 

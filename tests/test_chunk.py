@@ -77,6 +77,29 @@ def test_every_chain_matches_the_model(spark, key):
         assert "".join(got[i]) == t and all(size(p) <= 40 for p in got[i])
 
 
+def test_words_around_large_ones_match_the_model(spark):
+    """Words as large as a chunk or larger, of characters of one to four bytes, short ones and runs of separators beside them."""
+    rnd = random.Random(3)
+    for limit in (8, 11, 40):
+        word = lambda: rnd.choice(["a", "é", "", "€", "ab", "x" * rnd.randrange(limit - 4, limit * 3)] + ["".join(rnd.choice("aé€😀") for _ in range(rnd.randrange(limit // 4, limit)))] * 3)  # noqa: E731, B023
+        texts = ["".join(word() + rnd.choice([" ", " ", "  ", "\n", "\n\n", ""]) for _ in range(rnd.randrange(1, 25))) for _ in range(300)]
+        for chain in (CHAINS[""], [" ", ""], ["\n", " ", ""], [" ", "\n"], [""], ["$$", "$", " ", ""]):
+            df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+            got = {r.i: r.p for r in df.select("i", T.recursive_split(F.col("t"), F.lit(chain), limit).alias("p")).collect()}
+            for i, t in enumerate(texts):
+                assert got[i] == model(t, chain, limit), (limit, chain, t)
+
+
+def test_large_line_is_split_in_its_own_time(spark):
+    """Chunks grow with a text's bytes; folds over its words that copy what they have took minutes."""
+    import time
+
+    began = time.perf_counter()
+    text = spark.range(1).select(F.repeat(F.lit("aé bcd "), 500_000).alias("t"))
+    n, largest = text.select(F.explode(T.recursive_split(F.col("t"), F.lit(CHAINS[""]), 1000)).alias("p")).agg(F.count("*"), F.max(F.octet_length("p"))).first()
+    assert n >= 4000 and 990 < largest <= 1000 and time.perf_counter() - began < 30
+
+
 def test_markdown_sections(spark):
     doc = "# T\n\nintro words here\n\n" + "".join(f"\n## S{i}\n\n" + "word " * 14 for i in range(3))
     got = chunks(spark, doc, "r.md", size=100, overlap=0)
