@@ -221,8 +221,10 @@ def read(text: str | None) -> dict:
 
 
 def _facts(programs: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Equal programs of a batch are read once."""
     for batch in programs:
-        yield pa.array([read(x.as_py()) for x in batch], _FACTS)
+        equal = batch.dictionary_encode("encode")
+        yield pa.array([read(x) for x in equal.dictionary.to_pylist()], _FACTS).take(equal.indices)
 
 
 def facts(program: Column) -> Column:
@@ -281,7 +283,8 @@ def python_files(programs: DataFrame, *keys: str) -> DataFrame:
     ones have no rows; relative paths need a cwd.
     """
     argv = F.col("argv") if "argv" in programs.columns else F.lit(None).cast("array<string>")
-    rows = programs.where("lang = 'python'").select(*keys, "cwd", "home", F.coalesce(argv, F.array().cast("array<string>")).alias("_argv"), facts(F.col("text")).alias("_f")).where(F.size("_f.sinks") > 0)
+    # Programs that open nothing go when sinks are exploded: a filter on their number would have Spark read each program twice.
+    rows = programs.where("lang = 'python'").select(*keys, "cwd", "home", F.coalesce(argv, F.array().cast("array<string>")).alias("_argv"), facts(F.col("text")).alias("_f"))
     of = lambda names: lambda o: _amounts_to(o, F.col("_f.binds"), F.col("_argv"), F.col("cwd"), F.col("home"), names)
     rows = rows.withColumn("_names", tainted(F.col("_f.edges"), of(None)))
     sinks = F.transform("_f.sinks", lambda s: F.struct(s["access"].alias("access"), s["raw"].alias("raw"), _first(s["tries"], of(F.col("_names"))).alias("paths")))

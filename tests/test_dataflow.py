@@ -104,3 +104,14 @@ def test_flows_of_random_programs(spark, seed):
     got = found(spark, programs)
     for i, (program, _, reads, writes) in enumerate(programs):
         assert got[i] == (reads, writes), program
+
+
+def test_programs_are_read_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "python", f"open('{i % 2}')", "/w", "/h") for i in range(6)], "i int, lang string, text string, cwd string, home string")
+    plan = dataflow.python_files(rows, "i")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    texts, seen = ["open('a')", None, "open('b')", "open('a')", "(", None], []
+    real = dataflow.read
+    monkeypatch.setattr(dataflow, "read", lambda text: seen.append(text) or real(text))
+    (got,) = dataflow._facts(iter([dataflow.pa.array(texts)]))
+    assert got.to_pylist() == [real(t) for t in texts] and len(seen) == len(set(seen)) == 4
