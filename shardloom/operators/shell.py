@@ -386,7 +386,8 @@ def closure(lines: DataFrame, scripts: DataFrame | None = None, depth: int = 5,
 
     A frontier of lines a level: shell regions make lines of the next level; programs, scripts (path, content) among them, stand a level
     below their command, and the commands that python programs run a level below those. A script that a branch has been in is not
-    entered again. programs: cmd_id, root, level, lang, text, argv, cwd, home, path (of scripts). `cut` as in `nested`.
+    entered again. programs: cmd_id, root, level, lang, text, argv, cwd, home, path (of scripts). `cut` is applied to what is parsed and to
+    the programs of each level: give one that writes them, as each is read several times, by the next levels and by whoever asks for paths.
     """
     keep = ["root", "been"]
     none = F.array().cast("array<string>")
@@ -398,8 +399,7 @@ def closure(lines: DataFrame, scripts: DataFrame | None = None, depth: int = 5,
         rows = waiting[level][0]
         for more in waiting[level][1:]:
             rows = rows.unionByName(more)
-        rows = cut(rows) if level else rows
-        parsed = decompose(rows, keep)
+        parsed = cut(decompose(rows, keep))
         parsed_all.append(parsed.withColumn("level", F.lit(level)))
         last = level + 1 >= depth
         if last and programs_all:

@@ -79,8 +79,12 @@ def _put(template: Column) -> Column:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines_of(_facts(spark, sf_dir))
+
+
+def _lines_of(facts: DataFrame) -> DataFrame:
     pick = F.get(F.lit([c[0] for c in CASES]), F.pmod("doc_id", F.lit(len(CASES))).cast("int"))
-    return _facts(spark, sf_dir).select(F.col("doc_id").alias("cmd_id"), _put(pick).alias("command"), F.concat(F.lit("/w/"), F.col("s")).alias("base_cwd"), F.lit(HOME).alias("home"))
+    return facts.select(F.col("doc_id").alias("cmd_id"), _put(pick).alias("command"), F.concat(F.lit("/w/"), F.col("s")).alias("base_cwd"), F.lit(HOME).alias("home"))
 
 
 def line_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +118,10 @@ def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths that programs below the lines read and write, at all levels: shells in shells, scripts, commands of programs."""
-    facts = _facts(spark, sf_dir)
+    tasks = 4 * spark.sparkContext.defaultParallelism  # a number that isn't made smaller: the work isn't in the bytes, nor in how documents are stored
+    facts = written(_facts(spark, sf_dir).repartition(tasks, "doc_id"))
     scripts = facts.select(F.explode(F.array(*[F.struct(_put(F.lit(p)).alias("path"), _put(F.lit(c)).alias("content")) for p, c in SCRIPTS])).alias("_s")).select("_s.*").dropDuplicates(["path"])
-    parsed, programs = shell.closure(_lines(spark, sf_dir), scripts, cut=written)
+    parsed, programs = shell.closure(_lines_of(facts), scripts, cut=written)
     below = parsed.where("level > 0")
     of_shells = shell.reads(below, "root", "level").withColumn("access", F.lit("read")).unionByName(shell.writes(below, "root", "level").withColumn("access", F.lit("write"))).where("resolvable").select("root", "level", "access", "path")
     of_programs = program_files(programs, "cmd_id", "root", "level").where("resolvable").select("root", "level", "access", "path")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from shardloom.plans import chunks, lines
+from shardloom.sources.shared import written
 
 SF = "/root/testdata/sf0.001"
 CASES = {**{k: (q, lines.SQL[k]) for k, q in lines.QUERIES.items()}, **{k: (chunks.QUERIES[k], chunks.SQL[k]) for k in ("hard_splits", "nested_chunks")}}
@@ -23,3 +24,18 @@ def test_query_equals_sql(spark, name):
     got = query(spark, SF)
     assert sorted(got.columns) == columns
     assert sorted((tuple(r) for r in got.select(*columns).collect()), key=str) == rows and rows
+
+
+def test_embedded_files_read_documents_once(spark, monkeypatch):
+    """However many levels there are; their lines lie in many files, though the documents are one."""
+    of_documents = []
+
+    def noted(df):
+        out = written(df)
+        if any(f.endswith("/documents.parquet") for f in df.inputFiles()):
+            of_documents.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(lines, "written", noted)
+    assert lines.embedded_files(spark, SF).count()
+    assert len(of_documents) == 1 and of_documents[0] > 4

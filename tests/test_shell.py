@@ -227,6 +227,17 @@ def test_closure(spark):
     assert [shell.reads(p).where("resolvable and path = '/w/five'").count() for _, p in levels] == [0, 0, 0, 0, 1]
 
 
+def test_closure_parses_each_level_once(spark):
+    """What is given back reads what was written, and works out no line again; a level's lines are not written apart."""
+    df = spark.createDataFrame([(0, "bash -c 'bash -c \"cat a\"'", "/w", "/home/u")], "cmd_id int, command string, base_cwd string, home string")
+    wrote = []
+    cut = lambda d: wrote.append(d) or written(d)
+    parsed, programs = shell.closure(df, None, 3, cut)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (parsed, programs, *wrote)]
+    assert [p.count("_scanned(") for p in plans] == [0, 0, 1, 0, 1, 0, 1]
+    assert [(r.level, r.path) for r in shell.reads(parsed, "level").collect()] == [(2, "/w/a")]
+
+
 def test_broken_lines_are_those_of_the_shell(tmp_path):
     """Random lines against the shell's own check of its grammar: none that it accepts is broken, and hardly any other way round."""
     bash = shutil.which("bash")
