@@ -232,6 +232,16 @@ def facts(program: Column) -> Column:
     return F.arrow_udf(_facts, FACTS)(program)
 
 
+def with_facts(programs: DataFrame) -> DataFrame:
+    """programs (lang, text) with python_facts: to be written with them, where they are asked for more than once. Other programs have none."""
+    return programs.withColumn("python_facts", facts(F.when(F.col("lang") == "python", F.col("text"))))
+
+
+def facts_of(programs: DataFrame) -> Column:
+    """Facts of python programs (text): those that `with_facts` has put there, or read now."""
+    return F.col("python_facts") if "python_facts" in programs.columns else facts(F.col("text"))
+
+
 # -- what the facts amount to ------------------------------------------------------------------
 
 NAMED = "array<struct<name:string,path:string>>"
@@ -280,11 +290,11 @@ def python_files(programs: DataFrame, *keys: str) -> DataFrame:
     open and io.open by mode, Path's read_ and write_ methods and open, read methods of what was opened, fileinput. A path is a literal,
     an argument, a name bound to one (its last binding), the fixed directory of an f-string, or the directory that a value was found in
     by walking it: then the directory is read. Each path once a program and access. Programs that aren't python, null, empty or broken
-    ones have no rows; relative paths need a cwd.
+    ones have no rows; relative paths need a cwd. Programs `with_facts` are not read again.
     """
     argv = F.col("argv") if "argv" in programs.columns else F.lit(None).cast("array<string>")
     # Programs that open nothing go when sinks are exploded: a filter on their number would have Spark read each program twice.
-    rows = programs.where("lang = 'python'").select(*keys, "cwd", "home", F.coalesce(argv, F.array().cast("array<string>")).alias("_argv"), facts(F.col("text")).alias("_f"))
+    rows = programs.where("lang = 'python'").select(*keys, "cwd", "home", F.coalesce(argv, F.array().cast("array<string>")).alias("_argv"), facts_of(programs).alias("_f"))
     of = lambda names: lambda o: _amounts_to(o, F.col("_f.binds"), F.col("_argv"), F.col("cwd"), F.col("home"), names)
     rows = rows.withColumn("_names", tainted(F.col("_f.edges"), of(None)))
     sinks = F.transform("_f.sinks", lambda s: F.struct(s["access"].alias("access"), s["raw"].alias("raw"), _first(s["tries"], of(F.col("_names"))).alias("paths")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import glob_prefix_dir, resolve_path
 from ..functions.text import let
-from .dataflow import facts, python_files
+from .dataflow import facts_of, python_files
 
 Q = r"""('[^'\\\n]*'|"[^"\\$#{\n]*")"""  # one literal string
 PQ = r"""("[^"\\$@\n]*")"""  # one literal string of Perl
@@ -99,7 +99,7 @@ def child_lines(programs: DataFrame, *keys: str) -> DataFrame:
 
     os.system with one literal; subprocess calls with a list of literals, joined by spaces.
     """
-    rows = programs.where("lang = 'python'").select(*keys, F.col("cwd").alias("base_cwd"), "home", F.explode(facts(F.col("text"))["commands"]).alias("command"))
+    rows = programs.where("lang = 'python'").select(*keys, F.col("cwd").alias("base_cwd"), "home", F.explode(facts_of(programs)["commands"]).alias("command"))
     return rows.select(*keys, "command", "base_cwd", "home")
 
 

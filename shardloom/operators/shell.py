@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.languages import command_kind
 from ..functions.paths import NAME, base_name, is_assignment, is_recursive_flag, literal_value, resolve_path, safe_unquoted
 from ..functions.text import let
+from .dataflow import with_facts
 from .programs import child_lines
 from .scan import FAR, scan
 
@@ -386,7 +387,7 @@ def closure(lines: DataFrame, scripts: DataFrame | None = None, depth: int = 5,
 
     A frontier of lines a level: shell regions make lines of the next level; programs, scripts (path, content) among them, stand a level
     below their command, and the commands that python programs run a level below those. A script that a branch has been in is not
-    entered again. programs: cmd_id, root, level, lang, text, argv, cwd, home, path (of scripts). `cut` is applied to what is parsed and to
+    entered again. programs: cmd_id, root, level, lang, text, argv, cwd, home, path (of scripts), python_facts. `cut` is applied to what is parsed and to
     the programs of each level: give one that writes them, as each is read several times, by the next levels and by whoever asks for paths.
     """
     keep = ["root", "been"]
@@ -412,7 +413,8 @@ def closure(lines: DataFrame, scripts: DataFrame | None = None, depth: int = 5,
         if scripts is not None:
             read = script_regions(parsed, scripts, ["base_cwd", *keep]).where(~F.array_contains("been", F.col("path"))).withColumn("been", F.array_append("been", F.col("path")))
             programs = programs.unionByName(read.select(*programs.columns))
-        programs = programs.where(F.lit(False)) if last else cut(programs)
+        programs = with_facts(programs.where(F.lit(False)) if last else programs)
+        programs = programs if last else cut(programs)
         programs_all.append(programs.withColumn("level", F.lit(level + 1)))
         if level + 2 < depth:
             children = child_lines(programs, "cmd_id", "command_index", *keep).withColumn("cwd", F.col("base_cwd")).withColumn("cmd_id", F.concat("cmd_id", F.lit("/p")))

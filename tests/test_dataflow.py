@@ -8,6 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardloom.operators import dataflow
+from shardloom.operators.dataflow import with_facts
+from shardloom.operators.programs import child_lines, program_files
+from shardloom.sources.shared import written
 
 # Program, arguments, what it reads, what it writes; the directory is /repo.
 PROGRAMS = [
@@ -115,3 +118,14 @@ def test_programs_are_read_once(spark, monkeypatch):
     monkeypatch.setattr(dataflow, "read", lambda text: seen.append(text) or real(text))
     (got,) = dataflow._facts(iter([dataflow.pa.array(texts)]))
     assert got.to_pylist() == [real(t) for t in texts] and len(seen) == len(set(seen)) == 4
+
+
+def test_facts_that_are_there_are_not_read_again(spark):
+    rows = [(0, "python", "import os\nos.system('cat a')\nopen('b')"), (1, "ruby", "File.read('c')"), (2, "python", None), (3, "python", "open(")]
+    df = spark.createDataFrame([(i, lang, t, None, "/w", "/h") for i, lang, t in rows], "k int, lang string, text string, argv array<string>, cwd string, home string")
+    once = written(with_facts(df))
+    for made, want in ((program_files, {(0, "/w/b"), (1, "/w/c")}), (child_lines, {(0, "cat a")})):
+        out = made(once, "k")
+        assert "_facts(" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {(r.k, r.path if made is program_files else r.command) for r in out.collect()} == want
+        assert sorted(map(str, out.collect())) == sorted(map(str, made(df, "k").collect()))
