@@ -97,6 +97,15 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as the side of a join that is never broadcast: it grows with the input.
+
+    Spark takes a written table for as small as its packed files are. What it broadcasts then is
+    unpacked in the driver, many times as large, once a join.
+    """
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

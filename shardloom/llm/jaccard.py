@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, answer, answers_of, ask, buckets_for, counts, distinct, each, pack, squeeze
 from .blocks import expand
-from .common import LOWER, discard, mix, rolling, shared_dir, spare, stored, table, tidied, words
+from .common import LOWER, discard, mix, rolling, shared_dir, shuffled, spare, stored, table, tidied, words
 
 SHINGLE = 5
 MASK = np.uint64((1 << 64) - (1 << 20))  # frequencies are those of the upper 44 bits of a shingle; they only order
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, size: int =
     """
     rooted = labelled(docs, num, den, size, doc_id, text)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(least, "root", "left")
+    out = rooted.join(shuffled(least), "root", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -170,7 +170,7 @@ def labelled(docs: DataFrame, num: int = 75, den: int = 100, size: int = SHINGLE
             block = Block.of(row)
             yield _describe(block, Sets(block, size), answers_of(row["answers"], np.uint32), num, den)
 
-    info = stored(packed.join(frequencies, "block", "left").mapInArrow(tidied(describe), INFO), folder, "info")
+    info = stored(packed.join(shuffled(frequencies), "block", "left").mapInArrow(tidied(describe), INFO), folder, "info")
     discard(spark, folder, "packed", "frequencies")
     classes = info.where("prefix is not null").select("node", "n_shingles", "most", "prefix", "shared").dropDuplicates(["node"])
     classes = stored(classes, folder, "classes")
@@ -180,7 +180,7 @@ def labelled(docs: DataFrame, num: int = 75, den: int = 100, size: int = SHINGLE
         labels = spark.createDataFrame([], "node long, root long")
     else:
         labels = components(links, folder, "labels")
-    return info.select("doc_id", "mark", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "mark", "n_shingles", F.coalesce("root", "node").alias("root"))
+    return info.select("doc_id", "mark", "n_shingles", "node").join(shuffled(labels), "node", "left").select("doc_id", "mark", "n_shingles", F.coalesce("root", "node").alias("root"))
 
 
 def _describe(block: Block, sets: Sets, said: np.ndarray, num: int, den: int) -> pa.RecordBatch:
@@ -226,7 +226,7 @@ def _links(classes: DataFrame, folder: str, num: int, den: int) -> DataFrame | N
             break
         if hubs == 1:  # the smallest set of a list can be linked with most others; lists with one such lead become one
             lead = lists.groupBy("key").agg(F.min(F.struct("n", "node"))["node"].alias("lead"))
-            lists = stored(lists.join(lead, "key").select(F.col("lead").alias("key"), "node", "n", "most", "root").distinct(), folder, "led")
+            lists = stored(lists.join(shuffled(lead), "key").select(F.col("lead").alias("key"), "node", "n", "most", "root").distinct(), folder, "led")
             chosen, asking = lists.where("node = key"), lists.where("node <> key")
         else:
             rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "node"))
@@ -237,9 +237,9 @@ def _links(classes: DataFrame, folder: str, num: int, den: int) -> DataFrame | N
         if hubs is None:
             break
         # A hub has met its whole list, and leaves it.
-        lists = lists.join(chosen.select("key", "node"), ["key", "node"], "left_anti").drop("root")
+        lists = lists.join(shuffled(chosen.select("key", "node")), ["key", "node"], "left_anti").drop("root")
         labels = components(links, folder, f"labels{r}")
-        lists = stored(_possible(lists.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))), folder, f"lists{r}")
+        lists = stored(_possible(lists.join(shuffled(labels), "node", "left").withColumn("root", F.coalesce("root", "node"))), folder, f"lists{r}")
         discard(spark, folder, "led", "lists", f"chosen{r}", f"lists{r - 1}")
     return links
 
@@ -253,7 +253,7 @@ def _possible(lists: DataFrame) -> DataFrame:
     for _ in range(2):
         joined = F.min("root") != F.max("root") if "root" in lists.columns else F.count("*") > 1
         bounds = lists.groupBy("key").agg(F.min("n").alias("_n"), F.max("most").alias("_most"), joined.alias("_open")).where("_open")
-        lists = lists.join(bounds, "key").where("most >= _n and n <= _most").drop("_n", "_most", "_open")
+        lists = lists.join(shuffled(bounds), "key").where("most >= _n and n <= _most").drop("_n", "_most", "_open")
     return lists
 
 
@@ -265,19 +265,19 @@ def _search(chosen: DataFrame, lists: DataFrame, sets: DataFrame, num: int, den:
     """
     if whole:
         parts = chosen.groupBy("key").agg(F.ceil(F.count("*") / LEAD_HUBS).cast("int").alias("_parts"))
-        chosen = chosen.join(parts, "key").withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
-        lists = lists.join(parts, "key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        chosen = chosen.join(shuffled(parts), "key").withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
+        lists = lists.join(shuffled(parts), "key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     else:
         chosen, lists = chosen.withColumn("_part", F.lit(0)), lists.withColumn("_part", F.lit(0))
     groups = max(1, -(-chosen.count() // GROUP_HUBS))
     entry = [F.pmod(F.xxhash64("key", "_part"), F.lit(groups)).alias("group"), "node", "n", "most", "root"]
     hubs, queries = chosen.select(*entry).distinct(), lists.select(*entry).distinct()
     subs = queries.groupBy("group").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("subs"))
-    hubs = hubs.join(subs, "group").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("query", F.lit(0))
-    queries = queries.join(subs, "group").withColumn("sub", F.pmod(F.xxhash64("node", F.lit(1)), F.col("subs")).cast("int")).withColumn("query", F.lit(1))
+    hubs = hubs.join(shuffled(subs), "group").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("query", F.lit(0))
+    queries = queries.join(shuffled(subs), "group").withColumn("sub", F.pmod(F.xxhash64("node", F.lit(1)), F.col("subs")).cast("int")).withColumn("query", F.lit(1))
     place = ["group", "sub", "query", "n", "node"]
     tasks = max(4 * chosen.sparkSession.sparkContext.defaultParallelism, groups)  # a number that isn't made smaller: the work isn't in the bytes
-    rows = hubs.unionByName(queries).drop("subs").join(sets, "node").repartition(tasks, "group", "sub").sortWithinPartitions(*place)
+    rows = hubs.unionByName(queries).drop("subs").join(shuffled(sets), "node").repartition(tasks, "group", "sub").sortWithinPartitions(*place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, index = None, None
@@ -380,13 +380,13 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     labels = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root"))
     labels = stored(labels, folder, f"{name}-0")
     for i in itertools.count(1):
-        near = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("_near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("_old"), "_near", F.least("root", "_near").alias("_mid"))
+        near = both.join(shuffled(labels.select(F.col("node").alias("other"), "root")), "other").groupBy("node").agg(F.min("root").alias("_near"))
+        step = labels.join(shuffled(near), "node").select("node", F.col("root").alias("_old"), "_near", F.least("root", "_near").alias("_mid"))
         jump = labels.select(F.col("node").alias("_mid"), F.col("root").alias("_far"))
         offer = lambda node, root, old: F.struct(node.alias("node"), root.alias("root"), old.alias("_old"))
         own = offer(F.col("node"), F.least("_mid", "_far"), F.col("_old"))
         hook = offer(F.col("_old"), F.col("_near"), F.lit(None).cast("long"))
-        offers = step.join(jump, "_mid").select(F.inline(F.when(F.col("_near") < F.col("_old"), F.array(own, hook)).otherwise(F.array(own))))
+        offers = step.join(shuffled(jump), "_mid").select(F.inline(F.when(F.col("_near") < F.col("_old"), F.array(own, hook)).otherwise(F.array(own))))
         step = stored(offers.groupBy("node").agg(F.max("_old").alias("_old"), F.min("root").alias("root")), folder, f"{name}-{i}")
         labels = step.select("node", "root")
         discard(links.sparkSession, folder, f"{name}-{i - 1}")
@@ -410,7 +410,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     rows = stored(rows, shared_dir(docs.sparkSession), "rows")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("_best"))
     beaten = ~(F.col("_best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_best.mark") == F.col("mark")))
-    gone = rows.join(best, "root").where(beaten).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"))
+    gone = rows.join(shuffled(best), "root").where(beaten).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"))
     mark = spare(docs, "_mark")
     marked = docs.withColumn(mark, F.xxhash64("text"))
     same = lambda keys: marked["doc_id"].eqNullSafe(keys["_id"]) & (marked[mark] == keys["_of"])

@@ -156,6 +156,20 @@ def test_jaccard_of_a_large_drifting_group(spark, monkeypatch):
         assert sorted(map(tuple, jaccard.near_duplicates(frame(spark, rows)).collect()), key=str) == component_model(rows)
 
 
+def test_jaccard_broadcasts_nothing(spark, docs):
+    """What would be broadcast grows with the input and is unpacked in the driver."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    ran = store.executionsList()
+    before = max((ran.apply(i).executionId() for i in range(ran.size())), default=-1)
+    jaccard.near_duplicates(frame(spark, docs)).collect()
+    bus.waitUntilEmpty(30_000)
+    ran = store.executionsList()
+    plans = [x.physicalPlanDescription() for x in map(ran.apply, range(ran.size())) if x.executionId() > before]
+    assert sum("SortMergeJoin" in x for x in plans) > 3
+    assert not [x for x in plans if "Broadcast" in x]
+
+
 def test_one_of_each_group_stays(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     rows = [(5, a), (3, f"{a} x"), (3, b), (9, f"{b} y"), (9, f"{b} y"), (None, a), (None, f"{a} z"), (7, a), (3, f"{a} x"), (1, ""), (1, ""), (None, None), (2, "only this")]
